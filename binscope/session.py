@@ -20,6 +20,7 @@ _DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # GB18030 / GBK / Big5 readers (A4b) need Java's full charset list
     "spark.sql.legacy.javaCharsets": "true",
 }
