@@ -15,6 +15,10 @@ LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_q
                     "l_extendedprice", "l_discount", "l_tax"]
 REG_X = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"]
 BIN_X = ["l_quantity", "l_extendedprice", "l_discount"]
+# fixed splits for the binning-table checks (bins (-inf,s1), [s1,s2), ..., [sk,inf))
+REG_SPLITS = {"l_quantity": [13.0, 26.0, 38.0], "l_discount": [0.02, 0.05, 0.08], "l_tax": [0.02, 0.04, 0.06]}
+BIN_SPLITS = {"l_quantity": [13.0, 26.0, 38.0], "l_extendedprice": [10000.0, 30000.0, 50000.0],
+              "l_discount": [0.02, 0.05, 0.08]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

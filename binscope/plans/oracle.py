@@ -291,3 +291,221 @@ SQL["word_frequencies"] = f"""SELECT 'text' AS column_name, token, count(*) AS c
 
 SQL["word_frequencies_tokens"] = f"""SELECT 'text' AS column_name, token, count(*) AS cnt FROM
   (SELECT unnest(regexp_extract_all(text, {q(TOKEN_RE)})) AS token FROM conversations) GROUP BY token"""
+
+
+# ---------------------------------------------------------------------------
+# E: binning tables with fixed splits
+# ---------------------------------------------------------------------------
+def _fmt2(v: float) -> str:
+    return f"{v:.2f}"
+
+
+def skeleton_sql(splits: dict[str, list[float]], label_length: int | None = None) -> str:
+    rows = []
+    for p, (f, cuts) in enumerate(splits.items()):
+        edges = [None] + list(cuts) + [None]
+        for i in range(len(cuts) + 1):
+            lo, hi = edges[i], edges[i + 1]
+            if lo is None and hi is None:
+                label = "(-inf, inf)"
+            elif lo is None:
+                label = f"(-inf, {_fmt2(hi)})"
+            elif hi is None:
+                label = f"[{_fmt2(lo)}, inf)"
+            else:
+                label = f"[{_fmt2(lo)}, {_fmt2(hi)})"
+            if label_length and len(label) > label_length:
+                label = label[:label_length] + "..."
+            rows.append(f"({q(f)}, {p}, {i}, {'NULL' if lo is None else lo}, {'NULL' if hi is None else hi}, "
+                        f"'regular', {q(label)})")
+        rows.append(f"({q(f)}, {p}, {len(cuts) + 1}, NULL, NULL, 'special', 'Special')")
+        rows.append(f"({q(f)}, {p}, {len(cuts) + 2}, NULL, NULL, 'missing', 'Missing')")
+    return ("sk AS (SELECT factor, CAST(position AS INTEGER) AS position, CAST(bin_id AS INTEGER) AS bin_id, "
+            "CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, kind, bin FROM (VALUES "
+            + ", ".join(rows) + ") v(factor, position, bin_id, lo, hi, kind, bin))")
+
+
+def assigned_sql(src: str, splits: dict[str, list[float]], y_sql: str) -> str:
+    parts = []
+    for p, (f, cuts) in enumerate(splits.items()):
+        x = f"CAST({f} AS DOUBLE)"
+        case = f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN {len(cuts) + 2} " + \
+            " ".join(f"WHEN {x} < {c} THEN {i}" for i, c in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+        parts.append(f"SELECT {q(f)} AS factor, {p} AS position, CAST({case} AS INTEGER) AS bin_id, "
+                     f"{x} AS x, {y_sql} AS y FROM {src}")
+    return "d AS (" + union(parts) + ")"
+
+
+def continuous_table_sql(src: str, cte: str, splits, y: str, label_length=None) -> str:
+    return with_ctes(cte, skeleton_sql(splits, label_length), assigned_sql(src, splits, f"CAST({y} AS DOUBLE)"),
+                     """st AS (SELECT factor, bin_id, count(*) AS n, sum(y) AS sum_y, sum(y * y) AS sum_y2,
+  min(y) AS min_y, max(y) AS max_y, count(*) FILTER (WHERE y = 0) AS zeros, min(x) AS min_x, max(x) AS max_x
+  FROM d WHERE y IS NOT NULL GROUP BY 1, 2)""",
+                     """t AS (SELECT sk.*, coalesce(n, 0) AS n, coalesce(sum_y, 0) AS sum_y,
+  coalesce(sum_y2, 0) AS sum_y2, min_y, max_y, coalesce(zeros, 0) AS zeros, min_x, max_x,
+  sum(coalesce(n, 0)) OVER (PARTITION BY sk.factor) AS tot_n,
+  sum(coalesce(sum_y, 0)) OVER (PARTITION BY sk.factor) AS tot_sum
+  FROM sk LEFT JOIN st ON sk.factor = st.factor AND sk.bin_id = st.bin_id)""",
+                     """r AS (SELECT factor, position, bin_id, bin, kind, lo, hi, CAST(n AS BIGINT) AS count,
+  n / nullif(tot_n, 0) AS count_pct, sum_y AS sum,
+  sqrt(greatest(sum_y2 / nullif(n, 0) - (sum_y / nullif(n, 0)) * (sum_y / nullif(n, 0)), 0)) AS std,
+  sum_y / nullif(n, 0) AS mean, min_y AS min, max_y AS max, CAST(zeros AS BIGINT) AS zeros,
+  coalesce(sum_y / nullif(n, 0) - tot_sum / nullif(tot_n, 0), 0) AS woe,
+  coalesce(abs(sum_y / nullif(n, 0) - tot_sum / nullif(tot_n, 0)) * n / nullif(tot_n, 0), 0) AS iv,
+  sum_y2, min_x, max_x FROM t)""",
+                     """tt AS (SELECT factor, position, sum(count) AS count, sum(sum) AS sum, sum(sum_y2) AS sum_y2,
+  min(min) AS min, max(max) AS max, sum(zeros) AS zeros, sum(abs(woe)) AS woe, sum(iv) AS iv,
+  min(min_x) AS min_x, max(max_x) AS max_x FROM r GROUP BY 1, 2)""") + \
+        """SELECT factor, position, bin_id, bin, kind, round(lo, 6) AS lo, round(hi, 6) AS hi, count,
+  round(count_pct, 6) AS count_pct, round(sum, 2) AS sum, round(std, 4) AS std, round(mean, 4) AS mean,
+  round(min, 6) AS min, round(max, 6) AS max, zeros, round(woe, 4) AS woe, round(iv, 4) AS iv,
+  round(min_x, 6) AS min_x, round(max_x, 6) AS max_x FROM r
+UNION ALL
+SELECT factor, position, CAST(NULL AS INTEGER), 'Totals', 'totals', NULL, NULL, CAST(count AS BIGINT),
+  CASE WHEN count > 0 THEN 1.0 END, round(sum, 2),
+  round(sqrt(greatest(sum_y2 / nullif(count, 0) - (sum / nullif(count, 0)) * (sum / nullif(count, 0)), 0)), 4),
+  round(sum / nullif(count, 0), 4), round(min, 6), round(max, 6), CAST(zeros AS BIGINT), round(woe, 4),
+  round(iv, 4), round(min_x, 6), round(max_x, 6) FROM tt"""
+
+
+def binary_table_body_sql() -> list[str]:
+    return ["""st AS (SELECT factor, bin_id, count(*) AS n, sum(y) AS events, min(x) AS min_x, max(x) AS max_x
+  FROM d WHERE y IS NOT NULL GROUP BY 1, 2)""",
+            """t AS (SELECT sk.*, coalesce(n, 0) AS n, coalesce(events, 0) AS e, min_x, max_x,
+  sum(coalesce(n, 0)) OVER (PARTITION BY sk.factor) AS tot_n,
+  sum(coalesce(events, 0)) OVER (PARTITION BY sk.factor) AS tot_e
+  FROM sk LEFT JOIN st ON sk.factor = st.factor AND sk.bin_id = st.bin_id)""",
+            """pq AS (SELECT *, (n - e) / nullif(tot_n - tot_e, 0) AS p, e / nullif(tot_e, 0) AS q FROM t)""",
+            """r AS (SELECT factor, position, bin_id, bin, kind, lo, hi, CAST(n AS BIGINT) AS count,
+  n / nullif(tot_n, 0) AS count_pct, CAST(n - e AS BIGINT) AS non_event, CAST(e AS BIGINT) AS event,
+  e / nullif(n, 0) AS event_rate,
+  CASE WHEN e > 0 AND n - e > 0 THEN ln(p / q) ELSE 0 END AS woe,
+  CASE WHEN e > 0 AND n - e > 0 THEN (p - q) * ln(p / q) ELSE 0 END AS iv,
+  coalesce(0.5 * (CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+                + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END), 0) AS js,
+  min_x, max_x FROM pq)"""]
+
+
+def binary_table_sql(src: str, cte: str, splits, y_sql: str) -> str:
+    return with_ctes(cte, skeleton_sql(splits), assigned_sql(src, splits, y_sql), *binary_table_body_sql()) + \
+        """SELECT factor, position, bin_id, bin, kind, round(lo, 6) AS lo, round(hi, 6) AS hi, count,
+  round(count_pct, 6) AS count_pct, non_event, event, round(event_rate, 6) AS event_rate, round(woe, 6) AS woe,
+  round(iv, 6) AS iv, round(js, 6) AS js, round(min_x, 6) AS min_x, round(max_x, 6) AS max_x FROM r
+UNION ALL
+SELECT factor, position, CAST(NULL AS INTEGER), 'Totals', 'totals', NULL, NULL, CAST(sum(count) AS BIGINT),
+  CASE WHEN sum(count) > 0 THEN 1.0 END, CAST(sum(non_event) AS BIGINT), CAST(sum(event) AS BIGINT),
+  round(sum(event) / nullif(sum(count), 0), 6), NULL, round(sum(iv), 6), round(sum(js), 6),
+  round(min(min_x), 6), round(max(max_x), 6) FROM r GROUP BY factor, position"""
+
+
+def multiclass_table_sql(src: str, cte: str, splits, y_sql: str) -> str:
+    return with_ctes(cte, skeleton_sql(splits), assigned_sql(src, splits, y_sql),
+                     "st AS (SELECT factor, bin_id, y AS class, count(*) AS n FROM d WHERE y IS NOT NULL GROUP BY 1, 2, 3)",
+                     "cl AS (SELECT DISTINCT factor, class FROM st)",
+                     """j AS (SELECT sk.*, cl.class, coalesce(st.n, 0) AS n FROM sk JOIN cl ON sk.factor = cl.factor
+  LEFT JOIN st ON sk.factor = st.factor AND sk.bin_id = st.bin_id AND cl.class = st.class)""",
+                     """r AS (SELECT factor, position, bin_id, bin, kind, lo, hi, class,
+  sum(n) OVER (PARTITION BY factor, bin_id) AS count, n AS event,
+  n / nullif(sum(n) OVER (PARTITION BY factor, bin_id), 0) AS event_rate,
+  sum(n) OVER (PARTITION BY factor, bin_id) / nullif(sum(n) OVER (PARTITION BY factor), 0) AS count_pct FROM j)""",
+                     """tt AS (SELECT factor, position, class, sum(event) AS event FROM r GROUP BY 1, 2, 3)""") + \
+        """SELECT factor, position, bin_id, bin, kind, round(lo, 6) AS lo, round(hi, 6) AS hi, class,
+  CAST(count AS BIGINT) AS count, CAST(event AS BIGINT) AS event, round(event_rate, 6) AS event_rate,
+  round(count_pct, 6) AS count_pct FROM r
+UNION ALL
+SELECT factor, position, CAST(NULL AS INTEGER), 'Totals', 'totals', NULL, NULL, class,
+  CAST(sum(event) OVER (PARTITION BY factor) AS BIGINT), CAST(event AS BIGINT),
+  round(event / nullif(sum(event) OVER (PARTITION BY factor), 0), 6),
+  CASE WHEN sum(event) OVER (PARTITION BY factor) > 0 THEN 1.0 END FROM tt"""
+
+
+_LI = "lineitem"
+_REG_Y = "l_extendedprice"
+SQL["binning_table_continuous"] = continuous_table_sql(_LI, "", X.REG_SPLITS, _REG_Y)
+SQL["binning_table_binary"] = binary_table_sql("bin_lineitem", X.BIN_LINEITEM_SQL, X.BIN_SPLITS, "y")
+SQL["binning_table_multiclass"] = multiclass_table_sql(_LI, "", X.BIN_SPLITS, "l_returnflag")
+
+SQL["assign_bin"] = with_ctes(assigned_sql(_LI, X.BIN_SPLITS, f"CAST({_REG_Y} AS DOUBLE)")) + \
+    "SELECT factor, position, bin_id, x, y FROM d"
+
+SQL["bin_labels"] = with_ctes(skeleton_sql(X.REG_SPLITS, 9)) + "SELECT factor, bin_id, bin FROM sk " \
+    "UNION ALL SELECT DISTINCT factor, CAST(NULL AS INTEGER), 'Totals' FROM sk"
+
+
+def trend_sql(table_sql: str, metric: str, group: str = "factor") -> str:
+    """E15 over the regular bins of a table given as SQL."""
+    return f"""SELECT {group}, CASE WHEN count(*) <= 1 THEN 'undefined'
+    WHEN count(*) FILTER (WHERE dd < 0) = 0 THEN 'ascending'
+    WHEN count(*) FILTER (WHERE dd > 0) = 0 THEN 'descending'
+    WHEN max(bin_id) FILTER (WHERE dd > 0) < min(bin_id) FILTER (WHERE dd < 0) THEN 'peak'
+    WHEN max(bin_id) FILTER (WHERE dd < 0) < min(bin_id) FILTER (WHERE dd > 0) THEN 'valley'
+    ELSE 'no monotonic' END AS monotonic_trend
+FROM (SELECT {group}, bin_id, {metric} - lag({metric}) OVER (PARTITION BY {group} ORDER BY bin_id) AS dd
+      FROM ({table_sql}) WHERE kind = 'regular') GROUP BY {group}"""
+
+
+def _unrounded_cont_sql() -> str:
+    return with_ctes(skeleton_sql(X.REG_SPLITS), assigned_sql(_LI, X.REG_SPLITS, f"CAST({_REG_Y} AS DOUBLE)"),
+                     """st AS (SELECT factor, bin_id, count(*) AS n, sum(y) AS sum_y FROM d WHERE y IS NOT NULL
+  GROUP BY 1, 2)""",
+                     """t AS (SELECT sk.*, coalesce(n, 0) AS n, coalesce(sum_y, 0) AS sum_y,
+  sum(coalesce(n, 0)) OVER (PARTITION BY sk.factor) AS tot_n,
+  sum(coalesce(sum_y, 0)) OVER (PARTITION BY sk.factor) AS tot_sum
+  FROM sk LEFT JOIN st ON sk.factor = st.factor AND sk.bin_id = st.bin_id)""") + \
+        """SELECT factor, position, bin_id, kind, sum_y / nullif(n, 0) AS mean,
+  coalesce(sum_y / nullif(n, 0) - tot_sum / nullif(tot_n, 0), 0) AS woe,
+  coalesce(abs(sum_y / nullif(n, 0) - tot_sum / nullif(tot_n, 0)) * n / nullif(tot_n, 0), 0) AS iv FROM t"""
+
+
+def _unrounded_bin_sql() -> str:
+    return with_ctes(X.BIN_LINEITEM_SQL, skeleton_sql(X.BIN_SPLITS), assigned_sql("bin_lineitem", X.BIN_SPLITS, "y"),
+                     *binary_table_body_sql()) + "SELECT * FROM r"
+
+
+SQL["monotonic_trend"] = trend_sql(_unrounded_cont_sql(), "mean")
+
+SQL["continuous_summary"] = f"""WITH c AS ({_unrounded_cont_sql()}),
+tr AS ({trend_sql('SELECT * FROM c', 'mean')})
+SELECT c.factor, min(position) AS position, CAST(count(*) FILTER (WHERE kind = 'regular') AS INTEGER) AS n_bins,
+  round(sum(abs(woe)), 4) AS woe, round(sum(iv), 4) AS iv, min(tr.monotonic_trend) AS monotonic_trend
+FROM c JOIN tr ON c.factor = tr.factor GROUP BY c.factor"""
+
+SQL["iv_js_gini"] = f"""WITH b AS ({_unrounded_bin_sql()}),
+tr AS ({trend_sql('SELECT * FROM b', 'event_rate')}),
+g0 AS (SELECT factor, event / sum(event) OVER (PARTITION BY factor) AS e,
+              non_event / sum(non_event) OVER (PARTITION BY factor) AS ne, event_rate, bin_id
+       FROM b WHERE count > 0),
+g1 AS (SELECT factor, e, ne, sum(e) OVER (PARTITION BY factor ORDER BY event_rate DESC, bin_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ce FROM g0),
+g AS (SELECT factor, abs(2 * sum(ne * (2 * ce - e) / 2) - 1) AS gini FROM g1 GROUP BY factor)
+SELECT b.factor, min(position) AS position, CAST(count(*) FILTER (WHERE kind = 'regular') AS INTEGER) AS n_bins,
+  round(sum(iv), 6) AS iv, round(sum(js), 6) AS js, round(coalesce(min(g.gini), 0), 6) AS gini,
+  min(tr.monotonic_trend) AS monotonic_trend
+FROM b JOIN tr ON b.factor = tr.factor LEFT JOIN g ON b.factor = g.factor GROUP BY b.factor"""
+
+SQL["event_rates"] = f"""WITH b AS ({_unrounded_bin_sql()})
+SELECT factor, string_agg(bin, '|' ORDER BY bin_id) AS bins,
+  string_agg(printf('%.6f', event_rate), '|' ORDER BY bin_id) AS event_rates
+FROM b WHERE kind = 'regular' GROUP BY factor"""
+
+SQL["multiclass_summary"] = with_ctes(
+    skeleton_sql(X.BIN_SPLITS), assigned_sql(_LI, X.BIN_SPLITS, "l_returnflag"),
+    "st AS (SELECT factor, bin_id, y AS class, count(*) AS n FROM d WHERE y IS NOT NULL GROUP BY 1, 2, 3)",
+    "cl AS (SELECT DISTINCT factor, class FROM st)",
+    """j AS (SELECT sk.*, cl.class, coalesce(st.n, 0) AS n FROM sk JOIN cl ON sk.factor = cl.factor
+  LEFT JOIN st ON sk.factor = st.factor AND sk.bin_id = st.bin_id AND cl.class = st.class)""",
+    """r AS (SELECT factor, position, bin_id, kind, class, n AS event,
+  n / nullif(sum(n) OVER (PARTITION BY factor, bin_id), 0) AS event_rate,
+  n / nullif(sum(n) OVER (PARTITION BY factor, class), 0) AS p FROM j)""",
+    """h AS (SELECT factor, class, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS h FROM r GROUP BY 1, 2)""",
+    """mh AS (SELECT factor, avg(h) AS mh, count(*) AS nc FROM h GROUP BY 1)""",
+    """mx AS (SELECT r.factor, sum(p) / min(nc) AS m FROM r JOIN mh ON r.factor = mh.factor GROUP BY r.factor, bin_id)""",
+    """js AS (SELECT mx.factor, sum(CASE WHEN m > 0 THEN -m * ln(m) ELSE 0 END) - min(mh.mh) AS js
+  FROM mx JOIN mh ON mx.factor = mh.factor GROUP BY mx.factor)""",
+    f"""tr AS ({trend_sql('SELECT * FROM r', 'event_rate', 'factor, class')})""",
+    """trs AS (SELECT factor, string_agg(printf('Class[%d]]:%s=%s', i, class, monotonic_trend), ' , ' ORDER BY i) AS t
+  FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY class) - 1 AS i FROM tr) GROUP BY factor)""") + \
+    """SELECT s.factor, min(s.position) AS position, CAST(count(DISTINCT s.bin_id) AS INTEGER) AS n_bins,
+  round(min(js.js), 6) AS js, min(trs.t) AS monotonic_trend
+FROM sk s JOIN js ON s.factor = js.factor JOIN trs ON s.factor = trs.factor WHERE s.kind = 'regular'
+GROUP BY s.factor"""

@@ -167,3 +167,80 @@ def q_word_frequencies_tokens(spark, d):
 
 
 FLAGSHIP = "profile_numeric"
+
+
+# ---------------------------------------------------------------------------
+# E: binning tables for given splits, summaries, arrays
+# ---------------------------------------------------------------------------
+from binscope.operators.binning import tables as B  # noqa: E402
+
+_CONT_ROUND = {"sum": 2, "std": 4, "mean": 4, "woe": 4, "iv": 4}
+
+
+def _reg_table(spark, d, label_length=None):
+    li = X.table(spark, d, "lineitem")
+    return B.binning_table_continuous(li, list(X.REG_SPLITS), "l_extendedprice", X.REG_SPLITS,
+                                      label_length=label_length)
+
+
+def _bin_table(spark, d):
+    return B.binning_table_binary(X.bin_lineitem(spark, d), list(X.BIN_SPLITS), "y", X.BIN_SPLITS)
+
+
+def _multi_table(spark, d):
+    return B.binning_table_multiclass(X.table(spark, d, "lineitem"), list(X.BIN_SPLITS), "l_returnflag",
+                                      X.BIN_SPLITS)
+
+
+@register("assign_bin")
+def q_assign_bin(spark, d):
+    li = X.table(spark, d, "lineitem")
+    return B.assign_bins(li, list(X.BIN_SPLITS), X.BIN_SPLITS, y="l_extendedprice")
+
+
+@register("bin_labels")
+def q_bin_labels(spark, d):
+    return _reg_table(spark, d, label_length=9).select("factor", "bin_id", "bin")
+
+
+@register("binning_table_continuous")
+def q_table_cont(spark, d):
+    return rounded(_reg_table(spark, d), overrides=_CONT_ROUND)
+
+
+@register("binning_table_binary")
+def q_table_bin(spark, d):
+    return rounded(_bin_table(spark, d))
+
+
+@register("binning_table_multiclass")
+def q_table_multi(spark, d):
+    return rounded(_multi_table(spark, d))
+
+
+@register("monotonic_trend")
+def q_trend(spark, d):
+    return B.monotonic_trend(_reg_table(spark, d), "mean")
+
+
+@register("iv_js_gini")
+def q_iv_js_gini(spark, d):
+    return rounded(B.binary_summary(_bin_table(spark, d)))
+
+
+@register("continuous_summary")
+def q_cont_summary(spark, d):
+    return rounded(B.continuous_summary(_reg_table(spark, d)), overrides={"woe": 4, "iv": 4})
+
+
+@register("multiclass_summary")
+def q_multi_summary(spark, d):
+    return rounded(B.multiclass_summary(_multi_table(spark, d)))
+
+
+@register("event_rates")
+def q_event_rates(spark, d):
+    a = B.bin_arrays(_bin_table(spark, d), "event_rate")
+    return a.select("factor", F.array_join("bins", "|").alias("bins"),
+                    F.array_join(F.transform("event_rates", lambda v: F.format_string("%.6f", v)), "|")
+                    .alias("event_rates"))
