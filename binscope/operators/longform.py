@@ -81,14 +81,21 @@ def with_value_buckets(df: DataFrame, group: str, value: str, n_buckets: int,
     return j.withColumn(out, below * 2 + hit).drop("__cuts")
 
 
+def buckets_for(largest: int) -> int:
+    """Rank buckets so that no bucket holds more than RANK_BUCKET_ROWS distinct values."""
+    return int(min(MAX_RANK_BUCKETS, max(1, math.ceil((largest or 0) / RANK_BUCKET_ROWS))))
+
+
 def ranked_values(counts: DataFrame, group: str = "factor", value: str = "x",
-                  cnt: str = "cnt") -> DataFrame:
+                  cnt: str = "cnt", n_buckets: int | None = None) -> DataFrame:
     """Add ``cum_before`` (rows with a smaller value) and ``distinct_before``.
 
     ``counts`` holds one row per (group, value).  The running sum runs per
     value-range bucket; bucket offsets come from a table of bucket totals.
+    ``n_buckets`` (from a known bound on distinct values per group) saves the
+    sizing job.
     """
-    nb = _bucket_count(counts, group)
+    nb = n_buckets if n_buckets is not None else _bucket_count(counts, group)
     b = with_value_buckets(counts, group, value, nb)
     totals = (b.groupBy(group, "bucket")
               .agg(F.sum(cnt).alias("__bt"), F.count(F.lit(1)).alias("__bd")))

@@ -509,3 +509,44 @@ SQL["multiclass_summary"] = with_ctes(
   round(min(js.js), 6) AS js, min(trs.t) AS monotonic_trend
 FROM sk s JOIN js ON s.factor = js.factor JOIN trs ON s.factor = trs.factor WHERE s.kind = 'regular'
 GROUP BY s.factor"""
+
+
+# ---------------------------------------------------------------------------
+# Rank correlations
+# ---------------------------------------------------------------------------
+_RANK_X = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def spearman_sql(src: str, xs: list[str], y: str) -> str:
+    parts = []
+    for f in xs:
+        parts.append(f"""SELECT {q(f)} AS factor, round(corr(xr.r, yr.r), 8) AS spearman FROM
+  (SELECT CAST({f} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {f} IS NOT NULL AND {y} IS NOT NULL) l
+  JOIN (SELECT v, sum(c) OVER (ORDER BY v) - c + (c + 1) / 2.0 AS r FROM
+        (SELECT CAST({f} AS DOUBLE) AS v, count(*) AS c FROM {src} WHERE {f} IS NOT NULL AND {y} IS NOT NULL
+         GROUP BY 1)) xr ON l.x = xr.v
+  JOIN (SELECT v, sum(c) OVER (ORDER BY v) - c + (c + 1) / 2.0 AS r FROM
+        (SELECT CAST({y} AS DOUBLE) AS v, count(*) AS c FROM {src} WHERE {f} IS NOT NULL AND {y} IS NOT NULL
+         GROUP BY 1)) yr ON l.y = yr.v""")
+    return union(parts)
+
+
+def kendall_pairs_sql(src: str, xs: list[str], y: str) -> str:
+    """tau-b from a self-join of the weighted distinct (x, y) pairs (cheap when pairs are few)."""
+    parts = []
+    for f in xs:
+        parts.append(f"""SELECT {q(f)} AS factor, round(CASE WHEN (n0 - n1) * (n0 - n2) > 0
+    THEN s / sqrt((n0 - n1) * (n0 - n2)) END, 8) AS kendall_tau_b FROM
+  (SELECT sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / 2.0 AS s FROM p_{f} a, p_{f} b),
+  (SELECT sum(w) * (sum(w) - 1) / 2.0 AS n0 FROM p_{f}),
+  (SELECT sum(t * (t - 1) / 2.0) AS n1 FROM (SELECT sum(w) AS t FROM p_{f} GROUP BY x)),
+  (SELECT sum(t * (t - 1) / 2.0) AS n2 FROM (SELECT sum(w) AS t FROM p_{f} GROUP BY y))""")
+    ctes = [f"p_{f} AS (SELECT CAST({f} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w "
+            f"FROM {src} WHERE {f} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2)" for f in xs]
+    return with_ctes(*ctes) + union(parts)
+
+
+SQL["spearman"] = spearman_sql("lineitem", _RANK_X, "l_extendedprice")
+SQL["kendall_tau_b_supplier"] = kendall_pairs_sql("supplier", ["s_nationkey"], "s_acctbal")
+SQL["kendall_tau_b_ties"] = kendall_pairs_sql("lineitem", ["l_linenumber", "l_quantity"], "l_tax")
+SQL["kendall_tau_b_bucketed"] = SQL["kendall_tau_b_ties"]

@@ -244,3 +244,43 @@ def q_event_rates(spark, d):
     return a.select("factor", F.array_join("bins", "|").alias("bins"),
                     F.array_join(F.transform("event_rates", lambda v: F.format_string("%.6f", v)), "|")
                     .alias("event_rates"))
+
+
+# ---------------------------------------------------------------------------
+# Rank correlations
+# ---------------------------------------------------------------------------
+from binscope.operators import ranks as R  # noqa: E402
+from binscope.operators.longform import to_long  # noqa: E402
+
+RANK_X = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _rank_long(spark, d, factors, y, table="lineitem"):
+    return to_long(X.table(spark, d, table), factors, target=y)
+
+
+@register("spearman")
+def q_spearman(spark, d):
+    return rounded(R.spearman(_rank_long(spark, d, RANK_X, "l_extendedprice")), 8)
+
+
+@register("kendall_tau_b")
+def q_kendall(spark, d):
+    return rounded(R.kendall_tau_b(_rank_long(spark, d, RANK_X, "l_extendedprice")), 8)
+
+
+@register("kendall_tau_b_supplier")
+def q_kendall_supplier(spark, d):
+    return rounded(R.kendall_tau_b(_rank_long(spark, d, ["s_nationkey"], "s_acctbal", "supplier")), 8)
+
+
+@register("kendall_tau_b_ties")
+def q_kendall_ties(spark, d):
+    return rounded(R.kendall_tau_b(_rank_long(spark, d, ["l_linenumber", "l_quantity"], "l_tax")), 8)
+
+
+@register("kendall_tau_b_bucketed")
+def q_kendall_bucketed(spark, d):
+    # small local groups force the bucketed path (within x, within y, bucket grid)
+    return rounded(R.kendall_tau_b(_rank_long(spark, d, ["l_linenumber", "l_quantity"], "l_tax"),
+                                   local_pairs=40), 8)
