@@ -64,6 +64,11 @@ def _regular_bin_id(x: Column, cuts: Sequence[float]) -> Column:
     return bin_index_expr(x, cuts)
 
 
+# above this many cuts a comparison tree gets too large for Java codegen: use MLlib's
+# Bucketizer (binary search in the JVM, one pass over all columns)
+TREE_MAX_CUTS = 32
+
+
 def assign_bins(df: DataFrame, factors: Sequence[str], splits: Mapping[str, Sequence[float]],
                 y: str | None = None, y_expr: Column | None = None,
                 special_codes: Sequence[float] = ()) -> DataFrame:
@@ -73,23 +78,33 @@ def assign_bins(df: DataFrame, factors: Sequence[str], splits: Mapping[str, Sequ
     """
     dt = _dtypes(df)
     splits = normalise_splits(splits)
+    xs = {f: as_double(F.col(f), dt[f]) for f in factors}
+    has_y = y is not None or y_expr is not None
+    base = [xs[f].alias(f"__x{p}") for p, f in enumerate(factors)]
+    if has_y:
+        base.append((y_expr if y_expr is not None else as_double(F.col(y), dt[y])).alias("y"))
+    wide = df.select(*base)
+    big = [p for p, f in enumerate(factors) if len(splits.get(f, [])) > TREE_MAX_CUTS]
+    if big:
+        from pyspark.ml.feature import Bucketizer
+        inf = float("inf")
+        bk = Bucketizer(splitsArray=[[-inf, *splits[factors[p]], inf] for p in big],
+                        inputCols=[f"__x{p}" for p in big], outputCols=[f"__b{p}" for p in big],
+                        handleInvalid="keep")
+        wide = bk.transform(wide)
     structs = []
     for p, f in enumerate(factors):
         cuts = splits.get(f, [])
-        x = as_double(F.col(f), dt[f])
+        x = F.col(f"__x{p}")
         k = len(cuts)
         b = F.when(x.isNull(), F.lit(k + 2))
         if special_codes:
             b = b.when(x.isin(*[float(s) for s in special_codes]), F.lit(k + 1))
-        b = b.otherwise(_regular_bin_id(x, cuts))
+        b = b.otherwise(F.col(f"__b{p}").cast("int") if p in big else _regular_bin_id(x, cuts))
         structs.append(F.struct(F.lit(f).alias("factor"), F.lit(p).alias("position"),
                                 b.cast("int").alias("bin_id"), x.alias("x")))
-    cols = [F.explode(F.array(*structs)).alias("__s")]
-    if y is not None or y_expr is not None:
-        yy = y_expr if y_expr is not None else as_double(F.col(y), dt[y])
-        cols.append(yy.alias("y"))
-    out = df.select(*cols)
-    return out.select("__s.*", *(["y"] if len(cols) > 1 else []))
+    out = wide.select(F.explode(F.array(*structs)).alias("__s"), *(["y"] if has_y else []))
+    return out.select("__s.*", *(["y"] if has_y else []))
 
 
 # ---------------------------------------------------------------------------
@@ -378,3 +393,28 @@ def bin_arrays(table: DataFrame, metric: str) -> DataFrame:
     s = reg.groupBy("factor").agg(F.array_sort(F.collect_list(F.struct("bin_id", "bin", metric))).alias("__a"))
     return s.select("factor", F.transform("__a", lambda r: r["bin"]).alias("bins"),
                     F.transform("__a", lambda r: r[metric]).alias(metric + "s"))
+
+
+def skeleton_from_splits(splits_df: DataFrame, label_length: int | None = None) -> DataFrame:
+    """Like :func:`bin_skeleton`, built in Spark from ``(factor, position, splits)`` rows."""
+    sp = splits_df.select("factor", "position", "splits")
+    k = F.size("splits")
+    reg = sp.select("factor", "position", "splits", F.explode(F.sequence(F.lit(0), k)).alias("bin_id"))
+    i = F.col("bin_id")
+    reg = reg.select("factor", "position", "bin_id",
+                     F.when(i > 0, F.element_at("splits", i)).alias("lo"),
+                     F.when(i < F.size("splits"), F.element_at("splits", i + 1)).alias("hi"),
+                     F.lit("regular").alias("kind"))
+    extra = sp.select("factor", "position", F.explode(F.array(
+        F.struct((k + 1).alias("bin_id"), F.lit("special").alias("kind")),
+        F.struct((k + 2).alias("bin_id"), F.lit("missing").alias("kind")))).alias("__e"))
+    extra = extra.select("factor", "position", F.col("__e.bin_id").alias("bin_id"),
+                         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+                         F.col("__e.kind").alias("kind"))
+    sk = reg.unionByName(extra)
+    label = (F.when(F.col("kind") == "special", F.lit(SPECIAL))
+             .when(F.col("kind") == "missing", F.lit(MISSING))
+             .otherwise(bin_label(F.col("lo"), F.col("hi"))))
+    if label_length:
+        label = short_label(label, label_length)
+    return sk.withColumn("bin", label)

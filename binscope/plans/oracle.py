@@ -550,3 +550,63 @@ SQL["spearman"] = spearman_sql("lineitem", _RANK_X, "l_extendedprice")
 SQL["kendall_tau_b_supplier"] = kendall_pairs_sql("supplier", ["s_nationkey"], "s_acctbal")
 SQL["kendall_tau_b_ties"] = kendall_pairs_sql("lineitem", ["l_linenumber", "l_quantity"], "l_tax")
 SQL["kendall_tau_b_bucketed"] = SQL["kendall_tau_b_ties"]
+
+
+# ---------------------------------------------------------------------------
+# F: chart series, G: statistics and encodings
+# ---------------------------------------------------------------------------
+SQL["bin_series"] = f"""WITH b AS ({_unrounded_bin_sql()})
+SELECT factor, CAST(row_number() OVER (PARTITION BY factor ORDER BY bin_id) - 1 AS INTEGER) AS x, count,
+  round(event_rate, 6) AS metric, kind,
+  CASE WHEN length(bin) > 10 THEN substr(bin, 1, 10) || '...' ELSE bin END AS label
+FROM b WHERE kind IN ('regular', 'special', 'missing')"""
+
+SQL["actual_scale_series"] = with_ctes(
+    skeleton_sql(X.REG_SPLITS), assigned_sql(_LI, X.REG_SPLITS, f"CAST({_REG_Y} AS DOUBLE)"),
+    """st AS (SELECT factor, bin_id, count(*) AS n, sum(y) AS sum_y FROM d WHERE y IS NOT NULL GROUP BY 1, 2)""",
+    """mm AS (SELECT factor, min(x) AS lo_x, max(x) AS hi_x FROM d WHERE y IS NOT NULL GROUP BY 1)""",
+    """t AS (SELECT sk.*, coalesce(n, 0) AS n, sum_y FROM sk LEFT JOIN st ON sk.factor = st.factor
+  AND sk.bin_id = st.bin_id)""") + \
+    """SELECT t.factor, bin_id, round(coalesce(lo, lo_x), 4) AS "left", round(coalesce(hi, hi_x), 4) AS "right",
+  round(coalesce(hi, hi_x) - coalesce(lo, lo_x), 4) AS width, round((coalesce(lo, lo_x) + coalesce(hi, hi_x)) / 2, 4) AS mid,
+  CAST(n AS BIGINT) AS count, round(sum_y / nullif(n, 0), 4) AS metric
+FROM t JOIN mm ON t.factor = mm.factor WHERE kind = 'regular'"""
+
+SQL["multiclass_series"] = with_ctes(
+    skeleton_sql(X.BIN_SPLITS), assigned_sql(_LI, X.BIN_SPLITS, "l_returnflag"),
+    "st AS (SELECT factor, bin_id, y AS class, count(*) AS n FROM d WHERE y IS NOT NULL GROUP BY 1, 2, 3)",
+    "cl AS (SELECT DISTINCT factor, class FROM st)",
+    """j AS (SELECT sk.*, cl.class, coalesce(st.n, 0) AS n FROM sk JOIN cl ON sk.factor = cl.factor
+  LEFT JOIN st ON sk.factor = st.factor AND sk.bin_id = st.bin_id AND cl.class = st.class
+  WHERE sk.kind = 'regular')""") + \
+    """SELECT factor, CAST(dense_rank() OVER (PARTITION BY factor ORDER BY bin_id) - 1 AS INTEGER) AS x, bin_id, class,
+  CAST(n AS BIGINT) AS count,
+  CAST(coalesce(sum(n) OVER (PARTITION BY factor, bin_id ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING
+       AND 1 PRECEDING), 0) AS BIGINT) AS base,
+  round(n / nullif(sum(n) OVER (PARTITION BY factor, bin_id), 0), 6) AS event_rate, kind
+FROM j"""
+
+SQL["factor_stats"] = with_ctes(X.NULLS_ORDERS_SQL) + union([
+    f"""SELECT {q(c)} AS factor, {i} AS position, round(round((count(*) - count({c})) / count(*), 2), 4) AS missing,
+  {f'round(stddev_samp(CAST({c} AS DOUBLE)), 4)' if num else '0.0'} AS std,
+  {f'round(min(CAST({c} AS DOUBLE)), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS min_value,
+  {f'round(max(CAST({c} AS DOUBLE)), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS max_value FROM nulls_orders"""
+    for i, (c, num) in enumerate([("o_totalprice", True), ("o_custkey", True), ("o_orderpriority", False),
+                                  ("o_orderstatus", False)])])
+
+SQL["label_encode"] = with_ctes(X.NULLS_ORDERS_SQL) + union([
+    f"""SELECT {q(c)} AS column_name, v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM nulls_orders WHERE {c} IS NOT NULL)"""
+    for c in ["o_orderpriority", "o_orderstatus", "o_custkey"]])
+
+SQL["tfidf"] = f"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(WORD_RE)})) AS token
+  FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY 1, 2),
+dfq AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+n AS (SELECT count(*) AS n_docs FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, tf.token, tf * (ln((1 + n_docs) / (1 + df)) + 1) AS w FROM tf JOIN dfq ON tf.token = dfq.token, n),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY 1)
+SELECT w.doc_id, token, round(w / nrm, 8) AS tfidf FROM w JOIN nrm ON w.doc_id = nrm.doc_id"""
+
+SQL["join_tokens"] = f"""SELECT conv_id, turn, array_to_string(regexp_extract_all(text, {q(TOKEN_RE)}), ' ') AS text
+FROM conversations"""

@@ -166,7 +166,7 @@ def q_word_frequencies_tokens(spark, d):
     return P.word_frequencies(X.table(spark, d, "conversations"), ["text"], tokenizer="tokens")
 
 
-FLAGSHIP = "profile_numeric"
+
 
 
 # ---------------------------------------------------------------------------
@@ -284,3 +284,170 @@ def q_kendall_bucketed(spark, d):
     # small local groups force the bucketed path (within x, within y, bucket grid)
     return rounded(R.kendall_tau_b(_rank_long(spark, d, ["l_linenumber", "l_quantity"], "l_tax"),
                                    local_pairs=40), 8)
+
+
+# ---------------------------------------------------------------------------
+# Optimal binning (no SQL form: rows-only checks + tests)
+# ---------------------------------------------------------------------------
+from binscope.operators.binning import optimal as O  # noqa: E402
+from binscope.operators.binning import solve as S  # noqa: E402
+from binscope.operators import series as FS  # noqa: E402
+from binscope.plans import analysis as A  # noqa: E402
+
+_REPORT = dict(max_n_prebins=S.REPORT_MAX_N_PREBINS, min_prebin_size=S.REPORT_MIN_PREBIN_SIZE,
+               max_bin_size=S.REPORT_MAX_BIN_SIZE)
+
+
+def _summary_out(res):
+    s = res.summary
+    return rounded(s.select(*[c for c in s.columns if c not in ("splits", "trend_constraint")],
+                            F.array_join(F.transform("splits", lambda v: F.format_string("%.6f", v)), "|")
+                            .alias("splits")))
+
+
+@register("candidate_bins")
+def q_candidate_bins(spark, d):
+    li = X.table(spark, d, "lineitem")
+    cuts = O.candidate_cuts(li, X.BIN_X)
+    a = B.assign_bins(li, X.BIN_X, cuts, y="l_extendedprice")
+    return rounded(B.continuous_bin_stats(a).withColumnRenamed("bin_id", "fine_id"), 4)
+
+
+@register("optimal_binning_continuous")
+def q_opt_cont(spark, d):
+    li = X.table(spark, d, "lineitem")
+    return _summary_out(O.optimal_binning(li, ["l_quantity", "l_discount", "l_tax", "l_linenumber"],
+                                          "l_extendedprice", "continuous", **_REPORT))
+
+
+@register("optimal_binning_binary")
+def q_opt_bin(spark, d):
+    return _summary_out(O.optimal_binning(X.bin_lineitem(spark, d), X.BIN_X, "y", "binary"))
+
+
+@register("optimal_binning_multiclass")
+def q_opt_multi(spark, d):
+    return _summary_out(O.optimal_binning(X.table(spark, d, "lineitem"), X.BIN_X, "l_returnflag", "multiclass"))
+
+
+@register("optimal_binning_categorical")
+def q_opt_cat(spark, d):
+    return _summary_out(O.optimal_binning(X.bin_documents(spark, d), ["lang", "source", "n_chars"], "quality",
+                                          "binary"))
+
+
+@register("optimal_binning_table")
+def q_opt_table(spark, d):
+    res = O.optimal_binning(X.bin_lineitem(spark, d), X.BIN_X, "y", "binary")
+    return rounded(res.table)
+
+
+@register("binning_summary")
+def q_binning_summary(spark, d):
+    s = A.binning_summary(X.bin_lineitem(spark, d), X.BIN_X, "y", "classification")
+    return rounded(s.drop("splits", "trend_constraint"))
+
+
+@register("quality_score")
+def q_quality(spark, d):
+    return rounded(A.binning_summary(X.table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"],
+                                     "l_extendedprice", "regression", **_REPORT)
+                   .select("factor", "quality_score"))
+
+
+@register("binning_analysis")
+def q_binning_analysis(spark, d):
+    a = A.binning_analysis(X.table(spark, d, "lineitem"), X.REG_X, "l_extendedprice", "regression")
+    return _summary_out(type("R", (), {"summary": a["summary"]}))
+
+
+@register("binning_analysis_series")
+def q_binning_analysis_series(spark, d):
+    a = A.binning_analysis(X.table(spark, d, "lineitem"), X.REG_X, "l_extendedprice", "regression")
+    return rounded(a["series"], 4)
+
+
+# ---------------------------------------------------------------------------
+# F: chart series over fixed-split tables (SQL-checked)
+# ---------------------------------------------------------------------------
+@register("bin_series")
+def q_bin_series(spark, d):
+    return rounded(FS.bin_series(_bin_table(spark, d), "event_rate", show_bin_labels=True, label_length=10))
+
+
+@register("actual_scale_series")
+def q_actual_scale(spark, d):
+    return rounded(FS.actual_scale_series(_reg_table(spark, d), "mean"), 4)
+
+
+@register("multiclass_series")
+def q_multiclass_series(spark, d):
+    return rounded(FS.multiclass_series(_multi_table(spark, d), add_special=False, add_missing=False))
+
+
+# ---------------------------------------------------------------------------
+# G: factor statistics, encodings, importances, factor analysis
+# ---------------------------------------------------------------------------
+from binscope.operators import factors as GF  # noqa: E402
+
+
+@register("factor_stats")
+def q_factor_stats(spark, d):
+    return rounded(GF.factor_stats(X.nulls_orders(spark, d),
+                                   ["o_totalprice", "o_custkey", "o_orderpriority", "o_orderstatus"],
+                                   ["o_totalprice", "o_custkey"]), 4)
+
+
+@register("label_encode")
+def q_label_encode(spark, d):
+    return GF.label_encode(X.nulls_orders(spark, d), ["o_orderpriority", "o_orderstatus", "o_custkey"])
+
+
+@register("tfidf")
+def q_tfidf(spark, d):
+    return rounded(GF.tfidf(X.table(spark, d, "documents"), "doc_id", "text"), 8)
+
+
+@register("join_tokens")
+def q_join_tokens(spark, d):
+    return GF.join_tokens(X.table(spark, d, "conversations").select("conv_id", "turn", "text"), ["text"])
+
+
+_LI_TYPES = None
+
+
+@register("importance_regression")
+def q_imp_reg(spark, d):
+    li = X.table(spark, d, "lineitem")
+    tm = A.type_map_of(li, X.REG_X + ["l_extendedprice"])
+    return GF.importance_regression(li, X.REG_X, "l_extendedprice", tm, n_trees=20)
+
+
+@register("importance_classification")
+def q_imp_cls(spark, d):
+    li = X.table(spark, d, "lineitem")
+    tm = A.type_map_of(li, X.BIN_X + ["l_returnflag"])
+    return GF.importance_classification(li, X.BIN_X, "l_returnflag", tm, n_trees=20)
+
+
+def _fa_out(df):
+    arr = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    return df.select(*[F.array_join(F.transform(F.col(c), lambda v: v.cast("string")), "|").alias(c)
+                       if c in arr else F.col(f"`{c}`") for c in df.columns])
+
+
+@register("factor_analysis_regression")
+def q_fa_reg(spark, d):
+    return _fa_out(A.fit_regression(X.table(spark, d, "lineitem"), X.REG_X, "l_extendedprice", n_trees=20))
+
+
+@register("factor_analysis_classification")
+def q_fa_cls(spark, d):
+    return _fa_out(A.fit_classification(X.table(spark, d, "lineitem"), X.BIN_X, "l_returnflag", n_trees=20))
+
+
+@register("factor_analysis_binary")
+def q_fa_bin(spark, d):
+    return _fa_out(A.fit_classification(X.bin_documents(spark, d), ["n_chars", "lang", "source"], "quality",
+                                        n_trees=20))
+FLAGSHIP = "binning_table_continuous"

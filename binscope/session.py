@@ -68,6 +68,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (never ``localCheckpoint``)."""
+    """Cut lineage with a reliable checkpoint (never ``localCheckpoint``).
+
+    The input is persisted first: a checkpoint job otherwise computes its
+    input twice (once for the action, once for writing the files).
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
