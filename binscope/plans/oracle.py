@@ -610,3 +610,53 @@ SELECT w.doc_id, token, round(w / nrm, 8) AS tfidf FROM w JOIN nrm ON w.doc_id =
 
 SQL["join_tokens"] = f"""SELECT conv_id, turn, array_to_string(regexp_extract_all(text, {q(TOKEN_RE)}), ' ') AS text
 FROM conversations"""
+
+
+# ---------------------------------------------------------------------------
+# B, H, I, A
+# ---------------------------------------------------------------------------
+SQL["select_factors"] = "SELECT l_quantity, l_tax, l_extendedprice FROM lineitem"
+SQL["drop_null_pair"] = with_ctes(X.NULLS_ORDERS_SQL) + \
+    "SELECT o_totalprice, o_custkey FROM nulls_orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL"
+SQL["drop_null_rows"] = with_ctes(X.NULLS_ORDERS_SQL) + \
+    "SELECT o_totalprice, o_orderpriority, o_custkey FROM nulls_orders " \
+    "WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL AND o_custkey IS NOT NULL"
+SQL["fill_null_by_types"] = with_ctes(X.NULLS_ORDERS_SQL) + \
+    "SELECT coalesce(o_totalprice, 0.0) AS o_totalprice, coalesce(o_orderpriority, '0') AS o_orderpriority, " \
+    "coalesce(o_orderdate, TIMESTAMP '1970-01-01 00:00:00') AS o_orderdate, o_custkey FROM nulls_orders " \
+    "WHERE o_custkey IS NOT NULL"
+SQL["normalise_non_finite"] = with_ctes(X.NULLS_ORDERS_SQL) + \
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 13 = 0 THEN NULL " \
+    "ELSE o_totalprice END AS ratio FROM nulls_orders"
+SQL["cast_float"] = "SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, " \
+    "l_returnflag FROM lineitem"
+SQL["round_report"] = "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7, 3) AS price7, " \
+    "round(l_discount / 3, 2) AS missing FROM lineitem"
+
+
+def _band_sql(c: str, expr: str, dark: bool) -> str:
+    pal = ("40E0D0", "6495ED", "FF7F50", "FC3468") if dark else ("00ffd4", "98f5ff", "fed8b1", "ff7f7d")
+    band = (f"CASE WHEN {expr} IS NULL THEN NULL WHEN {expr} <= q1_{c} THEN 1 WHEN {expr} <= q2_{c} THEN 2 "
+            f"WHEN {expr} <= q3_{c} THEN 3 ELSE 4 END")
+    return (f"CAST({band} AS INTEGER) AS {c}_band, "
+            f"CASE {band} WHEN 1 THEN '{pal[0]}' WHEN 2 THEN '{pal[1]}' WHEN 3 THEN '{pal[2]}' "
+            f"WHEN 4 THEN '{pal[3]}' END AS {c}_colour")
+
+
+SQL["quartile_bands"] = with_ctes(X.NULLS_ORDERS_SQL) + f"""SELECT o_orderkey, o_totalprice, o_custkey AS score_value,
+  {_band_sql('o_totalprice', 'o_totalprice', False)}, {_band_sql('score_value', 'CAST(o_custkey AS DOUBLE)', True)}
+FROM nulls_orders,
+  (SELECT quantile_cont(o_totalprice, 0.25) AS q1_o_totalprice, quantile_cont(o_totalprice, 0.5) AS q2_o_totalprice,
+          quantile_cont(o_totalprice, 0.75) AS q3_o_totalprice,
+          quantile_cont(CAST(o_custkey AS DOUBLE), 0.25) AS q1_score_value,
+          quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) AS q2_score_value,
+          quantile_cont(CAST(o_custkey AS DOUBLE), 0.75) AS q3_score_value FROM nulls_orders)"""
+
+SQL["split_by_datetime"] = "SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-06-01 00:00:00' THEN 'train' " \
+    "ELSE 'test' END AS split FROM events"
+SQL["replace_literals"] = "SELECT conv_id, turn, replace(replace(replace(text, 'the', 'THE'), 'a', 'A'), " \
+    "'THE', 'the') AS text FROM conversations"
+_RT = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem"
+SQL["read_delimited"] = _RT
+SQL["read_tsv"] = _RT
+SQL["read_parquet_table"] = _RT

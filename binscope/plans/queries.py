@@ -451,3 +451,121 @@ def q_fa_bin(spark, d):
     return _fa_out(A.fit_classification(X.bin_documents(spark, d), ["n_chars", "lang", "source"], "quality",
                                         n_trees=20))
 FLAGSHIP = "binning_table_continuous"
+
+
+# ---------------------------------------------------------------------------
+# B: cleaning; H: bands; I: splits; A: sources and sinks
+# ---------------------------------------------------------------------------
+from binscope.operators import clean as CL  # noqa: E402
+from binscope.operators.bands import quartile_bands  # noqa: E402
+from binscope.operators.split import split_by_datetime, split_by_samples  # noqa: E402
+from binscope.sources import readers as RD  # noqa: E402
+from binscope.session import scratch_dir  # noqa: E402
+
+_ORD_TYPES = {"Numeric": ["o_orderkey", "o_custkey", "o_totalprice"], "Categorical": ["o_orderstatus",
+              "o_orderpriority"], "DateTime": ["o_orderdate"], "Text": [], "Id": [], "Unsupported": []}
+
+
+@register("select_factors")
+def q_select_factors(spark, d):
+    return CL.select_factors(X.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"],
+                             "l_extendedprice")
+
+
+@register("drop_null_pair")
+def q_drop_null_pair(spark, d):
+    return CL.drop_null_pair(X.nulls_orders(spark, d), "o_totalprice", "o_custkey")
+
+
+@register("drop_null_rows")
+def q_drop_null_rows(spark, d):
+    return CL.drop_null_rows(X.nulls_orders(spark, d), ["o_totalprice", "o_orderpriority"], "o_custkey")
+
+
+@register("fill_null_by_types")
+def q_fill_null(spark, d):
+    return CL.fill_null_by_types(X.nulls_orders(spark, d), ["o_totalprice", "o_orderpriority", "o_orderdate"],
+                                 "o_custkey", _ORD_TYPES)
+
+
+@register("normalise_non_finite")
+def q_non_finite(spark, d):
+    k = F.col("o_orderkey")
+    o = X.nulls_orders(spark, d).select("o_orderkey", F.when(k % 5 == 0, F.lit(float("inf")))
+                                        .when(k % 3 == 0, F.lit(float("nan")))
+                                        .when(k % 13 == 0, F.lit(float("-inf")))
+                                        .otherwise(F.col("o_totalprice")).alias("ratio"))
+    return CL.normalise_non_finite(o)
+
+
+@register("cast_float")
+def q_cast_float(spark, d):
+    return CL.cast_float(X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"),
+                         ["l_orderkey", "l_linenumber"])
+
+
+@register("round_report")
+def q_round_report(spark, d):
+    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber",
+                                              (F.col("l_extendedprice") / 7).alias("price7"),
+                                              (F.col("l_discount") / 3).alias("missing"))
+    return CL.round_report(li, 3, {"missing": 2})
+
+
+@register("quartile_bands")
+def q_bands(spark, d):
+    o = X.nulls_orders(spark, d).select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("score_value"))
+    return quartile_bands(o, ["o_totalprice", "score_value"])
+
+
+@register("split_by_samples")
+def q_split_samples(spark, d):
+    return split_by_samples(X.table(spark, d, "orders").select("o_orderkey", "o_custkey"), 0.8, ["o_orderkey"])
+
+
+@register("split_by_datetime")
+def q_split_dt(spark, d):
+    return split_by_datetime(X.table(spark, d, "events").select("event_id", "ts"), "ts", "2024-06-01 00:00:00")
+
+
+@register("replace_literals")
+def q_replace(spark, d):
+    c = X.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", RD.replace_literals(F.col("text"), {"the": "THE", "a": "A", "THE": "the"})
+                    .alias("text"))
+
+
+def _round_trip(spark, d, fmt):
+    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    out = scratch_dir(spark, f"roundtrip-{fmt}")
+    RD.write_report_tables({"t": li}, out, "csv" if fmt in ("csv", "tsv") else fmt)
+    if fmt == "tsv":
+        import glob as _g
+        import os as _os
+        src = _g.glob(f"{out}/t/*.csv")
+        tsv_dir = f"{out}/tsv"
+        _os.makedirs(tsv_dir, exist_ok=True)
+        for i, p in enumerate(src):
+            with open(p, encoding="utf8") as fi, open(f"{tsv_dir}/part{i}.tsv", "w", encoding="utf8") as fo:
+                fo.write(fi.read().replace(",", "\t"))
+        return RD.read_table(spark, f"{tsv_dir}/*.tsv")
+    path = f"{out}/t"
+    if fmt == "csv":
+        import glob as _g
+        return RD.read_table(spark, f"{path}/*.csv")
+    return RD.read_table(spark, path if fmt == "parquet" else f"{path}/*.json")
+
+
+@register("read_delimited")
+def q_read_csv(spark, d):
+    return _round_trip(spark, d, "csv").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+@register("read_tsv")
+def q_read_tsv(spark, d):
+    return _round_trip(spark, d, "tsv").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+@register("read_parquet_table")
+def q_read_parquet(spark, d):
+    return _round_trip(spark, d, "parquet")
