@@ -11,7 +11,7 @@ Statistics of a fine bin are additive vectors:
 
 Objective of a bin (additive over bins):
 
-* continuous: ``|mean_b - mean| * n_b / n`` (the continuous IV)
+* continuous: ``|mean_b - mean|`` (summed over bins: the table's total WoE)
 * binary:     ``IV_b = (p_b - q_b) ln(p_b / q_b)``, ``p = non-events share``, ``q = events share``
 * multiclass: sum over classes of the one-vs-rest IV
 
@@ -60,7 +60,7 @@ def bin_objective(stats: np.ndarray, total: np.ndarray, kind: str) -> np.ndarray
         mean_all = total[1] / N if N > 0 else 0.0
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(n > 0, stats[:, 1] / np.where(n > 0, n, 1), mean_all)
-        return np.abs(mean - mean_all) * n / N if N > 0 else np.zeros(len(n))
+        return np.abs(mean - mean_all) if N > 0 else np.zeros(len(n))
     if kind == "binary":
         e, E = stats[:, 1], total[1]
         return _iv(n - e, N - E, e, E)
