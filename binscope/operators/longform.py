@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from binscope.functions.exprs import as_double, finite
 
 # distinct values per rank bucket the window sorts in one task
-RANK_BUCKET_ROWS = 250_000
+RANK_BUCKET_ROWS = 2_000_000
 MAX_RANK_BUCKETS = 4096
 TOPK_SALTS = 64
 
@@ -96,6 +97,11 @@ def ranked_values(counts: DataFrame, group: str = "factor", value: str = "x",
     sizing job.
     """
     nb = n_buckets if n_buckets is not None else _bucket_count(counts, group)
+    if nb <= 1:
+        # every group has at most RANK_BUCKET_ROWS distinct values: one window per group
+        w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return (counts.withColumn("cum_before", F.coalesce(F.sum(cnt).over(w), F.lit(0)))
+                .withColumn("distinct_before", F.coalesce(F.count(F.lit(1)).over(w), F.lit(0))))
     b = with_value_buckets(counts, group, value, nb)
     totals = (b.groupBy(group, "bucket")
               .agg(F.sum(cnt).alias("__bt"), F.count(F.lit(1)).alias("__bd")))
@@ -123,9 +129,15 @@ def average_ranks(long_df: DataFrame, group: str, value: str) -> DataFrame:
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group: str = "factor",
                     value: str = "x") -> DataFrame:
     """``(group, prob, quantile)`` with linear interpolation (pandas / quantile_cont)."""
-    counts = value_counts(long_df, group, value)
+    counts = value_counts(long_df, group, value).persist(StorageLevel.MEMORY_AND_DISK)
+    return quantiles_from_counts(counts, probs, group, value)
+
+
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], group: str = "factor",
+                          value: str = "x", n_buckets: int | None = None) -> DataFrame:
+    """Exact quantiles from ``(group, value, cnt)`` rows (persist them: they are read several times)."""
     n = counts.groupBy(group).agg(F.sum("cnt").alias("__n"))
-    r = ranked_values(counts, group, value, "cnt")
+    r = ranked_values(counts, group, value, "cnt", n_buckets)
     # one row per (group, prob): #groups x #probs rows
     targets = (n.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
                .withColumn("__pos", F.col("prob") * (F.col("__n") - 1))
@@ -179,4 +191,4 @@ def string_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 __all__ = ["to_long", "drop_null_pairs", "value_counts", "ranked_values", "average_ranks",
-           "exact_quantiles", "top_k", "string_long", "with_value_buckets", "finite"]
+           "exact_quantiles", "quantiles_from_counts", "buckets_for", "top_k", "string_long", "with_value_buckets", "finite"]

@@ -17,8 +17,12 @@ from pyspark.sql import types as T
 
 from binscope.functions.exprs import (FLOAT_TYPES, NUMERIC_TYPES, TEMPORAL_TYPES, WORD_RE,
                                       TOKEN_RE)
-from binscope.operators.longform import exact_quantiles, string_long, top_k, value_counts
+from pyspark import StorageLevel
+
+from binscope.operators.longform import (buckets_for, exact_quantiles, quantiles_from_counts, string_long,
+                                         top_k, value_counts)
 from binscope.operators.types import semantic_types
+from binscope.session import materialize
 
 # ---------------------------------------------------------------------------
 # Alert thresholds and default quantiles of the profile
@@ -205,18 +209,22 @@ def profile_quantiles(df: DataFrame, columns: Sequence[str] | None = None,
     cols = _numeric_cols(df, columns)
     probs = sorted(set(list(probs) + [0.25, 0.5, 0.75]))
     lng = finite_long(df, cols).select(F.col("column_name").alias("factor"), "position", "x")
-    q = exact_quantiles(lng, probs, group="factor", value="x")
+    # per-value counts: the only pass over the data; every later step reads them
+    counts = value_counts(lng, "factor", "x").persist(StorageLevel.MEMORY_AND_DISK)
+    nb = buckets_for(counts.groupBy("factor").count().agg(F.max("count")).first()[0] or 0)
+    q = materialize(quantiles_from_counts(counts, probs, "factor", "x", nb))   # #columns x #probs rows
     wide = q.groupBy("factor").pivot("prob", probs).agg(F.first("quantile"))
     for p in probs:
         wide = wide.withColumnRenamed(str(p), _q_name(p))
-    # MAD = median(|x - median|): a second exact median over the deviations
+    # MAD = median(|x - median|): exact median of the deviations, from the same counts
     med = q.filter(F.col("prob") == 0.5).select("factor", F.col("quantile").alias("__med"))
-    dev = (lng.join(F.broadcast(med), "factor")  # one row per column
-           .select("factor", F.abs(F.col("x") - F.col("__med")).alias("x")))
-    mad = exact_quantiles(dev, [0.5], group="factor", value="x").select(
+    dev = (counts.join(F.broadcast(med), "factor")  # one row per column
+           .groupBy("factor", F.abs(F.col("x") - F.col("__med")).alias("x"))
+           .agg(F.sum("cnt").alias("cnt"))).persist(StorageLevel.MEMORY_AND_DISK)
+    mad = quantiles_from_counts(dev, [0.5], "factor", "x", nb).select(
         "factor", F.col("quantile").alias("mad"))
-    pos = lng.select("factor", "position").distinct()
-    out = pos.join(wide, "factor", "left").join(mad, "factor", "left")
+    pos = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "factor string, position int")
+    out = pos.join(wide, "factor").join(mad, "factor", "left")
     return out.select(F.col("factor").alias("column_name"), "position",
                       *[_q_name(p) for p in probs],
                       (F.col("p75") - F.col("p25")).alias("iqr"), "mad")

@@ -57,3 +57,20 @@ def test_spearman_and_constant(spark):
     assert abs(got["x"] - np.corrcoef(rx, ry)[0, 1]) < 1e-12
     assert got["c"] is None
     assert {r.factor: r.kendall_tau_b for r in kendall_tau_b(lng).collect()}["c"] is None
+
+
+def test_bucketed_ranks_equal_single_window(spark):
+    from pyspark.sql import functions as F
+    from binscope.operators.longform import ranked_values, quantiles_from_counts
+    rng = np.random.default_rng(11)
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(rng.integers(0, 400, size=3000))]
+    df = spark.createDataFrame(rows, "factor string, x double")
+    counts = df.groupBy("factor", "x").agg(F.count(F.lit(1)).alias("cnt"))
+    one = {(r.factor, r.x): (r.cum_before, r.distinct_before) for r in ranked_values(counts, n_buckets=1).collect()}
+    many = {(r.factor, r.x): (r.cum_before, r.distinct_before) for r in ranked_values(counts, n_buckets=7).collect()}
+    assert one == many
+    q1 = sorted(tuple(r) for r in quantiles_from_counts(counts, [0.1, 0.5, 0.9], n_buckets=1).collect())
+    q7 = sorted(tuple(r) for r in quantiles_from_counts(counts, [0.1, 0.5, 0.9], n_buckets=7).collect())
+    assert q1 == q7
+    xa = np.sort(np.array([v for f, v in rows if f == "a"]))
+    assert abs(dict(((f, p), q) for f, p, q in q1)[("a", 0.5)] - np.quantile(xa, 0.5)) < 1e-12
