@@ -660,3 +660,6 @@ _RT = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem"
 SQL["read_delimited"] = _RT
 SQL["read_tsv"] = _RT
 SQL["read_parquet_table"] = _RT
+SQL["read_json_table"] = _RT
+SQL["read_xml_table"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+SQL["read_table_encoded"] = "SELECT doc_id, lang, source FROM documents"

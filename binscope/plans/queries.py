@@ -569,3 +569,44 @@ def q_read_tsv(spark, d):
 @register("read_parquet_table")
 def q_read_parquet(spark, d):
     return _round_trip(spark, d, "parquet")
+
+
+@register("read_json_table")
+def q_read_json(spark, d):
+    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    out = scratch_dir(spark, "json")
+    RD.write_report_tables({"t": li}, out, "json")
+    return RD.read_json_table(spark, f"{out}/t", multi_line=False).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+@register("read_xml_table")
+def q_read_xml(spark, d):
+    o = X.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    out = scratch_dir(spark, "xml")
+    o.write.format("xml").option("rowTag", "row").option("rootTag", "rows").mode("overwrite").save(f"{out}/t")
+    return RD.read_table(spark, f"{out}/t/*.xml", encodings=["utf8"]).select(
+        F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus",
+        F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+@register("read_table_encoded")
+def q_read_encoded(spark, d):
+    docs = X.table(spark, d, "documents").select("doc_id", "lang", "source")
+    out = scratch_dir(spark, "gb")
+    docs.write.option("header", "true").option("encoding", "GB18030").mode("overwrite").csv(f"{out}/t")
+    return RD.read_table(spark, f"{out}/t/*.csv").select("doc_id", "lang", "source")
+
+
+@register("semantic_types_lineitem")
+def q_semantic(spark, d):
+    return C.semantic_types(X.table(spark, d, "lineitem"))
+
+
+@register("prebin_cart")
+def q_prebin(spark, d):
+    # with no trend and no size limit the DP keeps every pre-bin: the splits are the CART pre-bins
+    li = X.table(spark, d, "lineitem")
+    return _summary_out(O.optimal_binning(li, ["l_quantity", "l_extendedprice"], "l_tax", "continuous", monotonic_trend=None,
+                                          max_n_prebins=S.REPORT_MAX_N_PREBINS,
+                                          min_prebin_size=S.REPORT_MIN_PREBIN_SIZE))
