@@ -59,7 +59,8 @@ def fit_regression(df: DataFrame, x_factors: Sequence[str], y_factor: str,
     xs = check_roles(df, x_factors, y_factor)
     if type_map is None:
         type_map = type_map_of(df, [*xs, y_factor])
-    filled = materialize(fill_null_by_types(df, xs, y_factor, type_map))
+    # a narrow projection of the input: recomputed from the (pruned) scan, never copied
+    filled = fill_null_by_types(df, xs, y_factor, type_map)
     params = dict(binning_fit_params or {})
     res = O.optimal_binning(filled, xs, y_factor, "continuous", **params)
     table = materialize(res.table)
@@ -97,7 +98,8 @@ def fit_classification(df: DataFrame, x_factors: Sequence[str], y_factor: str,
     xs = check_roles(df, x_factors, y_factor)
     if type_map is None:
         type_map = type_map_of(df, [*xs, y_factor])
-    filled = materialize(fill_null_by_types(df, xs, y_factor, type_map))
+    # a narrow projection of the input: recomputed from the (pruned) scan, never copied
+    filled = fill_null_by_types(df, xs, y_factor, type_map)
     kind = O.target_kind(filled, y_factor, "classification")
     res = O.optimal_binning(filled, xs, y_factor, kind, **dict(binning_fit_params or {}))
     table = materialize(res.table)
