@@ -593,6 +593,7 @@ def q_read_xml(spark, d):
 @register("read_table_encoded")
 def q_read_encoded(spark, d):
     docs = X.table(spark, d, "documents").select("doc_id", "lang", "source")
+    RD.ensure_charsets(spark)
     out = scratch_dir(spark, "gb")
     docs.write.option("header", "true").option("encoding", "GB18030").mode("overwrite").csv(f"{out}/t")
     return RD.read_table(spark, f"{out}/t/*.csv").select("doc_id", "lang", "source")

@@ -21,6 +21,12 @@ SUFFIX_FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".xml": "xml",
 REPLACEMENT_CHAR = "�"
 
 
+def ensure_charsets(spark: SparkSession) -> None:
+    """GB18030 / GBK / Big5 need Java's full charset list (a runtime SQL setting)."""
+    if (spark.conf.get("spark.sql.legacy.javaCharsets", "false") or "false").lower() != "true":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _suffix(path: str) -> str:
     p = path.rstrip("/")
     if os.path.isdir(p):
@@ -55,6 +61,7 @@ def bad_lines(spark: SparkSession, path: str, encoding: str) -> int:
 
 def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
     """The first encoding that decodes every line without a replacement character."""
+    ensure_charsets(spark)
     for enc in encodings:
         try:
             if bad_lines(spark, path, enc) == 0:
@@ -106,6 +113,7 @@ def read_table(spark: SparkSession, path: str, encodings: Sequence[str] | None =
     fmt = format_of(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
+    ensure_charsets(spark)
     enc = encodings[0] if encodings and len(encodings) == 1 else \
         detect_encoding(spark, path, tuple(encodings or ENCODINGS))
     if fmt == "csv":
@@ -128,6 +136,7 @@ def replace_literals(col: Column, mapping: Mapping[str, str]) -> Column:
 def replace_in_text_file(spark: SparkSession, in_path: str, out_path: str, mapping: Mapping[str, str],
                          encoding: str = "utf8") -> DataFrame:
     """A5 on files: every line of ``in_path`` with the replacements applied, written as text."""
+    ensure_charsets(spark)
     lines = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
              .option("header", "false").csv(in_path))
     out = lines.select(F.coalesce(replace_literals(F.col("_c0"), mapping), F.lit("")).alias("value"))
