@@ -91,13 +91,14 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
     present = v.isNotNull()
     nonblank = present & (F.trim(v) != "")
     is_str = F.col("column_name").isin(strings) if strings else F.lit(False)
+    # string-only checks are guarded by is_str first (short-circuit: numeric columns skip the regex)
     aggs = [
         F.sum("cnt").alias("n_rows"),
         F.sum(F.when(~present, F.col("cnt")).otherwise(0)).alias("n_null"),
         F.count(v).alias("n_distinct"),
-        F.count_if(nonblank & ~v.rlike(NUMERIC_STRING_RE)).alias("n_bad_numeric"),
+        F.count_if(is_str & nonblank & ~v.rlike(NUMERIC_STRING_RE)).alias("n_bad_numeric"),
         F.count_if(nonblank).alias("n_nonblank_distinct"),
-        F.sum(F.when(present & F.lower(F.trim(v)).isin(*BOOLEAN_STRINGS), F.col("cnt"))
+        F.sum(F.when(is_str & present & F.lower(F.trim(v)).isin(*BOOLEAN_STRINGS), F.col("cnt"))
               .otherwise(0)).alias("n_boolean_like"),
     ]
     for i, fmt in enumerate(DATETIME_FORMATS):
@@ -111,8 +112,10 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
                              F.when(F.col("n_nonblank_distinct") > 0, fmt_pick)) \
                  .drop(*[f"__bad_dt{i}" for i in range(len(DATETIME_FORMATS))])
     if strings:
-        toks = (vt.filter(is_str & present)
-                .select("column_name", "cnt", tokens(v).alias("__t"))
+        # own value table over the string columns only: its scan reads just those columns
+        svt = value_table(df, strings)
+        toks = (svt.filter(F.col("value").isNotNull())
+                .select("column_name", "cnt", tokens(F.col("value")).alias("__t"))
                 .select("column_name", "cnt", F.size("__t").alias("__nt"), F.explode("__t").alias("token")))
         tok = (toks.groupBy("column_name", "token")
                .agg(F.sum("cnt").alias("__freq"), F.max("__nt").alias("__mx"))

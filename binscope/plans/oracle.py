@@ -135,12 +135,6 @@ SELECT 'x' AS role, column_name, CAST(row_number() OVER (ORDER BY o, p) AS INTEG
 # ---------------------------------------------------------------------------
 # D: profile
 # ---------------------------------------------------------------------------
-def _cols(table: str, names: list[str] | None = None) -> list[tuple[str, str]]:
-    sch = SCHEMAS[table]
-    return [c for c in sch if names is None or c[0] in names] if names is None else \
-        [next(c for c in sch if c[0] == n) for n in names]
-
-
 def profile_table_sql(src: str, cte: str, cols: list[tuple[str, str]]) -> str:
     k = len(cols)
     ms = [f"(count(*) - count({c}))" for c, _ in cols]

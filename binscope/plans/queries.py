@@ -413,9 +413,6 @@ def q_join_tokens(spark, d):
     return GF.join_tokens(X.table(spark, d, "conversations").select("conv_id", "turn", "text"), ["text"])
 
 
-_LI_TYPES = None
-
-
 @register("importance_regression")
 def q_imp_reg(spark, d):
     li = X.table(spark, d, "lineitem")
