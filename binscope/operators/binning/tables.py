@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binscope.functions.exprs import as_double, bin_index_expr, bin_label, short_label
+from binscope.session import materialize
 
 SPECIAL = "Special"
 MISSING = "Missing"
@@ -269,7 +270,8 @@ def binning_table_continuous(df: DataFrame, factors: Sequence[str], y: str,
     """E12 for given splits; x-y pairs with y missing are left out (x missing -> Missing bin)."""
     a = assign_bins(df, factors, splits, y=y, special_codes=special_codes)
     sk = bin_skeleton(df.sparkSession, factors, normalise_splits(splits), label_length)
-    return continuous_table_from_stats(continuous_bin_stats(a), sk)
+    # per-bin statistics are tiny and read by several branches (rows, totals, windows): one scan
+    return continuous_table_from_stats(materialize(continuous_bin_stats(a)), sk)
 
 
 def binning_table_binary(df: DataFrame, factors: Sequence[str], y: str,
@@ -279,7 +281,7 @@ def binning_table_binary(df: DataFrame, factors: Sequence[str], y: str,
     yy = F.when(F.col(y).isNull(), F.lit(None)).otherwise((F.col(y) == F.lit(event_value)).cast("int"))
     a = assign_bins(df, factors, splits, y_expr=yy, special_codes=special_codes)
     sk = bin_skeleton(df.sparkSession, factors, normalise_splits(splits), label_length)
-    return binary_table_from_stats(binary_bin_stats(a), sk)
+    return binary_table_from_stats(materialize(binary_bin_stats(a)), sk)
 
 
 def binning_table_multiclass(df: DataFrame, factors: Sequence[str], y: str,
@@ -288,7 +290,7 @@ def binning_table_multiclass(df: DataFrame, factors: Sequence[str], y: str,
     """E14 (long form, one row per bin and class) for given splits."""
     yy = F.col(y).cast("string")
     a = assign_bins(df, factors, splits, y_expr=yy, special_codes=special_codes)
-    stats = multiclass_bin_stats(a)
+    stats = materialize(multiclass_bin_stats(a))
     classes = stats.select("factor", "class").distinct()
     sk = bin_skeleton(df.sparkSession, factors, normalise_splits(splits), label_length)
     return multiclass_table_from_stats(stats, sk, classes)
