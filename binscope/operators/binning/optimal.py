@@ -59,6 +59,17 @@ def target_kind(df: DataFrame, y: str, estimator: str) -> str:
     return "multiclass" if n > 2 else "binary"
 
 
+def choose_binning(df: DataFrame, y: str, estimator: str) -> DataFrame:
+    """E2 as a table: ``(target, n_classes, kind)`` - continuous for regression, else binary or
+    multiclass by the number of distinct target values (one aggregation)."""
+    reg = estimator.lower().startswith("reg")
+    n = F.count_distinct(F.col(y))
+    return df.agg(n.alias("n_classes")).select(
+        F.lit(y).alias("target"), F.col("n_classes").cast("long").alias("n_classes"),
+        (F.lit("continuous") if reg else
+         F.when(F.col("n_classes") > 2, F.lit("multiclass")).otherwise(F.lit("binary"))).alias("kind"))
+
+
 def _event_value(df: DataFrame, y: str):
     """Binary: the larger of the two values is the event."""
     return df.select(F.max(F.col(y))).first()[0]

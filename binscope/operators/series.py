@@ -55,3 +55,13 @@ def multiclass_series(table: DataFrame, add_special: bool = True, add_missing: b
             .select("factor", "x", "bin_id", "class", F.col("event").alias("count"),
                     F.coalesce(F.sum("event").over(wc), F.lit(0)).cast("long").alias("base"),
                     "event_rate", "kind"))
+
+
+def chart_series(table: DataFrame, kind: str, **options) -> DataFrame:
+    """The series of a table chosen by its kind (multiclass stacks, else bins with a metric line)."""
+    if kind == "multiclass":
+        return multiclass_series(table, options.get("add_special", True), options.get("add_missing", True))
+    metric = options.pop("metric", "mean" if kind == "continuous" else "event_rate")
+    if options.pop("style", "bin") == "actual":
+        return actual_scale_series(table, metric, options.get("show_bin_labels", False))
+    return bin_series(table, metric, **options)

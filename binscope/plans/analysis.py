@@ -42,6 +42,14 @@ def binning_factors(x_factors: Sequence[str], type_map: Mapping[str, Sequence[st
     return [x for x in x_factors if x in num]
 
 
+def binning_factor_table(types_long: DataFrame, x_factors: Sequence[str]) -> DataFrame:
+    """E1 as a table: ``(factor, position)`` for the Numeric factors of X, position = place in X."""
+    order = types_long.sparkSession.createDataFrame([(x, i) for i, x in enumerate(x_factors)],
+                                                    "factor string, position int")
+    num = types_long.filter(F.col("data_type") == "Numeric").select(F.col("column_name").alias("factor"))
+    return order.join(num, "factor")   # both sides: one row per column
+
+
 def _string_factors(df: DataFrame, xs: Sequence[str]) -> list[str]:
     dt = {f.name: f.dataType for f in df.schema.fields}
     return [x for x in xs if isinstance(dt[x], T.StringType)]

@@ -657,3 +657,31 @@ SQL["read_parquet_table"] = _RT
 SQL["read_json_table"] = _RT
 SQL["read_xml_table"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
 SQL["read_table_encoded"] = "SELECT doc_id, lang, source FROM documents"
+
+SQL["column_flags_documents"] = f"""
+SELECT column_name, position,
+  (kind IN ('int','float','bool','temporal') OR (kind = 'string' AND n_bad_numeric = 0)) AS is_numeric,
+  coalesce(n_distinct >= 1 AND (CASE WHEN kind IN ('int','float','bool','temporal')
+                    OR (kind = 'string' AND n_bad_numeric = 0)
+               THEN n_distinct <= 8 AND kind = 'int' AND n_null = 0 ELSE n_distinct <= 20 END)
+   AND n_distinct / nullif(n_rows - n_null, 0) <= 0.2, false) AS is_categorical,
+  (kind = 'temporal' OR (kind = 'string' AND dt_ok)) AS is_datetime,
+  coalesce(kind = 'string' AND max_tokens > 5 AND max_token_freq > 3, false) AS is_text
+FROM ({column_stats_sql('documents', SCHEMAS['documents'])})"""
+
+SQL["choose_binning"] = """SELECT 'l_returnflag' AS target, count(DISTINCT l_returnflag) AS n_classes,
+  CASE WHEN count(DISTINCT l_returnflag) > 2 THEN 'multiclass' ELSE 'binary' END AS kind FROM lineitem
+UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus),
+  CASE WHEN count(DISTINCT l_linestatus) > 2 THEN 'multiclass' ELSE 'binary' END FROM lineitem
+UNION ALL SELECT 'l_extendedprice', count(DISTINCT l_extendedprice), 'continuous' FROM lineitem"""
+
+SQL["to_long"] = """SELECT 'l_quantity' AS factor, 0 AS position, CAST(l_quantity AS DOUBLE) AS x,
+  CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
+UNION ALL SELECT 'l_discount', 1, CAST(l_discount AS DOUBLE), CAST(l_extendedprice AS DOUBLE) FROM lineitem"""
+
+SQL["binning_factors"] = f"""SELECT o.factor, o.position FROM
+  (SELECT * FROM (VALUES ('l_quantity', 0), ('l_discount', 1), ('l_tax', 2), ('l_linenumber', 3),
+                         ('l_returnflag', 4)) v(factor, position)) o
+JOIN ({types_sql('lineitem')}) t ON t.column_name = o.factor AND t.data_type = 'Numeric'"""
+
+SQL["chart_series_binary"] = SQL["bin_series"]

@@ -608,3 +608,46 @@ def q_prebin(spark, d):
     return _summary_out(O.optimal_binning(li, ["l_quantity", "l_extendedprice"], "l_tax", "continuous", monotonic_trend=None,
                                           max_n_prebins=S.REPORT_MAX_N_PREBINS,
                                           min_prebin_size=S.REPORT_MIN_PREBIN_SIZE))
+
+
+# ---------------------------------------------------------------------------
+# inventory items that otherwise only run inside other operators
+# ---------------------------------------------------------------------------
+@register("column_flags_documents")
+def q_column_flags(spark, d):
+    fl = C.column_flags(C.column_stats(X.table(spark, d, "documents")))
+    return fl.select("column_name", "position", "is_numeric", "is_categorical", "is_datetime", "is_text")
+
+
+@register("choose_binning")
+def q_choose_binning(spark, d):
+    li = X.table(spark, d, "lineitem")
+    return (O.choose_binning(li, "l_returnflag", "classification")
+            .unionByName(O.choose_binning(li, "l_linestatus", "classification"))
+            .unionByName(O.choose_binning(li, "l_extendedprice", "regression")))
+
+
+@register("to_long")
+def q_to_long(spark, d):
+    return to_long(X.table(spark, d, "lineitem"), ["l_quantity", "l_discount"], target="l_extendedprice")
+
+
+@register("binning_factors")
+def q_binning_factors(spark, d):
+    li = X.table(spark, d, "lineitem")
+    return A.binning_factor_table(C.get_data_types(li), X.REG_X)
+
+
+@register("assemble_features")
+def q_assemble(spark, d):
+    li = X.table(spark, d, "lineitem")
+    tm = A.type_map_of(li, X.REG_X)
+    data, slots, _ = GF.assemble_features(li, X.REG_X, tm, F.col("l_extendedprice"))
+    from pyspark.ml.functions import vector_to_array
+    return data.select(F.array_join(F.transform(vector_to_array("features"), lambda v: v.cast("string")), "|")
+                       .alias("features"), "label")
+
+
+@register("chart_series_binary")
+def q_chart_series(spark, d):
+    return rounded(FS.chart_series(_bin_table(spark, d), "binary", show_bin_labels=True, label_length=10))
