@@ -414,3 +414,42 @@ def word_frequencies(df: DataFrame, columns: Sequence[str], tokenizer: str = "wo
     lng = df.select(F.explode(F.array(*parts)).alias("__s")).select("__s.*")
     toks = lng.select("column_name", F.explode(F.regexp_extract_all("v", F.lit(pattern), 0)).alias("token"))
     return toks.groupBy("column_name", "token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+# ---------------------------------------------------------------------------
+# D4 (part): monotonic flags along a caller-given order column
+# ---------------------------------------------------------------------------
+MONOTONIC_BUCKET_ROWS = 2_000_000
+
+
+def profile_monotonic(df: DataFrame, columns: Sequence[str], order_by: str,
+                      rows_per_bucket: int = MONOTONIC_BUCKET_ROWS) -> DataFrame:
+    """``(column_name, position, monotonic_increasing, monotonic_decreasing)`` (non-strict, nulls
+    skipped) with rows ordered by ``order_by`` (which should be unique: ties have no order).
+
+    The order column is cut into value-range buckets; each bucket checks its own
+    steps with ``lag`` and reports its first and last value, and a table of one
+    row per bucket checks the steps between buckets - no global sort.
+    """
+    from pyspark.sql import Window
+    from binscope.operators.longform import with_value_buckets
+    cols = _numeric_cols(df, columns)
+    parts = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
+                      F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    lng = (df.select(F.col(order_by).alias("__o"), F.explode(F.array(*parts)).alias("__s"))
+           .select("__o", "__s.*").filter(F.col("v").isNotNull() & ~F.isnan("v") & F.col("__o").isNotNull()))
+    n = df.count()
+    nb = max(1, -(-n // rows_per_bucket))
+    b = with_value_buckets(lng, "column_name", "__o", nb)
+    w = Window.partitionBy("column_name", "bucket").orderBy("__o")
+    d = b.withColumn("__d", F.col("v") - F.lag("v").over(w))
+    per_bucket = d.groupBy("column_name", "position", "bucket").agg(
+        F.count_if(F.col("__d") < 0).alias("__down"), F.count_if(F.col("__d") > 0).alias("__up"),
+        F.min_by("v", "__o").alias("__first"), F.max_by("v", "__o").alias("__last"))
+    wb = Window.partitionBy("column_name").orderBy("bucket")   # one row per bucket
+    step = F.col("__first") - F.lag("__last").over(wb)
+    s = per_bucket.select("*", step.alias("__step")).groupBy("column_name", "position").agg(
+        (F.sum("__down") + F.count_if(F.col("__step") < 0)).alias("__nd"),
+        (F.sum("__up") + F.count_if(F.col("__step") > 0)).alias("__nu"))
+    return s.select("column_name", "position", (F.col("__nd") == 0).alias("monotonic_increasing"),
+                    (F.col("__nu") == 0).alias("monotonic_decreasing"))

@@ -685,3 +685,12 @@ SQL["binning_factors"] = f"""SELECT o.factor, o.position FROM
 JOIN ({types_sql('lineitem')}) t ON t.column_name = o.factor AND t.data_type = 'Numeric'"""
 
 SQL["chart_series_binary"] = SQL["bin_series"]
+
+SQL["profile_monotonic"] = with_ctes(X.NULLS_ORDERS_SQL) + union([
+    f"""SELECT {q(c)} AS column_name, {i} AS position, coalesce(bool_and(dd >= 0), true) AS monotonic_increasing,
+  coalesce(bool_and(dd <= 0), true) AS monotonic_decreasing
+FROM (SELECT v - lag(v) OVER (ORDER BY o) AS dd FROM
+      (SELECT o_orderkey AS o, CAST({e} AS DOUBLE) AS v FROM nulls_orders WHERE {e} IS NOT NULL))"""
+    for i, (c, e) in enumerate([("o_orderkey", "o_orderkey"), ("o_totalprice", "o_totalprice"),
+                                ("o_custkey", "o_custkey"), ("neg_key", "-o_orderkey")])])
+SQL["profile_monotonic_bucketed"] = SQL["profile_monotonic"]

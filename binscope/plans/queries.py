@@ -651,3 +651,16 @@ def q_assemble(spark, d):
 @register("chart_series_binary")
 def q_chart_series(spark, d):
     return rounded(FS.chart_series(_bin_table(spark, d), "binary", show_bin_labels=True, label_length=10))
+
+
+@register("profile_monotonic")
+def q_monotonic(spark, d):
+    o = X.nulls_orders(spark, d).withColumn("neg_key", -F.col("o_orderkey"))
+    return P.profile_monotonic(o, ["o_orderkey", "o_totalprice", "o_custkey", "neg_key"], "o_orderkey")
+
+
+@register("profile_monotonic_bucketed")
+def q_monotonic_b(spark, d):
+    o = X.nulls_orders(spark, d).withColumn("neg_key", -F.col("o_orderkey"))
+    return P.profile_monotonic(o, ["o_orderkey", "o_totalprice", "o_custkey", "neg_key"], "o_orderkey",
+                               rows_per_bucket=700)
