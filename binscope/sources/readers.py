@@ -29,6 +29,8 @@ def ensure_charsets(spark: SparkSession) -> None:
 
 def _suffix(path: str) -> str:
     p = path.rstrip("/")
+    if "://" in p:   # remote file system: the name decides (pass fmt= for folders)
+        return os.path.splitext(p)[1].lower()
     if os.path.isdir(p):
         names = sorted(n for n in os.listdir(p) if not n.startswith((".", "_")))
         if not names:
@@ -102,15 +104,16 @@ def read_xml_table(spark: SparkSession, path: str, row_tag: str = "row", encodin
 
 
 def read_table(spark: SparkSession, path: str, encodings: Sequence[str] | None = None,
-               row_tag: str = "row", **options) -> DataFrame:
-    """A4: dispatch on the suffix (case-insensitive); text formats try the encodings in order.
+               row_tag: str = "row", fmt: str | None = None, **options) -> DataFrame:
+    """A4: dispatch on the suffix (case-insensitive, or ``fmt`` = csv / tsv / json / xml /
+    parquet); text formats try the encodings in order.
 
     Raises a ``ValueError`` for a missing path, an unknown suffix or when no
     encoding fits (instead of returning nothing).
     """
     if not any(ch in path for ch in "*?[") and not os.path.exists(path) and "://" not in path:
         raise ValueError(f"no such file or folder: {path!r}")
-    fmt = format_of(path)
+    fmt = fmt.lower() if fmt else format_of(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     ensure_charsets(spark)
