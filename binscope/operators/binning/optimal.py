@@ -37,6 +37,8 @@ from binscope.session import materialize
 
 MAX_CANDIDATES = 256
 PERCENTILE_ACCURACY = 10_000
+MAX_CLASSES = 1_000
+OTHERS = "others"
 
 
 @dataclass
@@ -204,8 +206,12 @@ def _metric_from(per: DataFrame, kind: str) -> DataFrame:
 
 
 def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, kind: str,
-                       max_candidates: int, first_position: int):
-    """``(fine stats, unit map, n_units)`` for string factors; units are categories in metric order."""
+                       max_candidates: int, first_position: int, cat_cutoff: float | None = None):
+    """``(fine stats, unit map)`` for string factors; units are categories in metric order.
+
+    With ``cat_cutoff``, categories holding less than that share of a factor's
+    rows are pooled into one ``others`` category first.
+    """
     parts = [F.struct(F.lit(f).alias("factor"), F.lit(first_position + i).alias("position"),
                       F.col(f).cast("string").alias("category")) for i, f in enumerate(factors)]
     lng = df.select(F.explode(F.array(*parts)).alias("__s"), y_expr.alias("y")).select("__s.*", "y") \
@@ -218,6 +224,20 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
             F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sum_y"), F.sum(yy * yy).alias("sum_y2"),
             F.min(yy).alias("min_y"), F.max(yy).alias("max_y"), F.count_if(yy == 0).alias("zeros"))
     per = materialize(per)   # one row per (factor, category[, class]): read by every step below
+    pooled = None
+    if cat_cutoff:
+        cat_n = per.groupBy("factor", "category").agg(F.sum("n").alias("__c"))
+        tot = cat_n.groupBy("factor").agg(F.sum("__c").alias("__t"))
+        pooled = (cat_n.join(F.broadcast(tot), "factor")    # one row per factor
+                  .select("factor", "category",
+                          F.when(F.col("category").isNotNull() & (F.col("__c") < cat_cutoff * F.col("__t")),
+                                 F.lit(OTHERS)).otherwise(F.col("category")).alias("__unit")))
+        keys = ["factor", "position", "__unit"] + (["class"] if kind == "multiclass" else [])
+        sums = [F.sum("n").alias("n")] if kind == "multiclass" else [
+            F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), F.sum("sum_y2").alias("sum_y2"),
+            F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.sum("zeros").alias("zeros")]
+        per = materialize(per.join(pooled, ["factor", "category"]).groupBy(*keys).agg(*sums)
+                          .withColumnRenamed("__unit", "category"))
     metric_tbl = _metric_from(per, kind)
     # units: categories in (metric, category) order; null category -> Missing unit
     nonnull = metric_tbl.filter(F.col("category").isNotNull())
@@ -236,6 +256,10 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
         .select("factor", "category", (F.coalesce(F.col("n_units"), F.lit(0)) + 2).cast("int").alias("fine_id"),
                 "n_units"))
     joined = per.join(unit_map, ["factor", "category"], "inner")
+    if pooled is not None:
+        # labels list the original categories: map each one through its pooled unit
+        unit_map = (pooled.join(unit_map.withColumnRenamed("category", "__unit"), ["factor", "__unit"])
+                    .select("factor", "category", "fine_id", "n_units"))
     if kind == "multiclass":
         fine = joined.groupBy("factor", "fine_id", "class").agg(F.sum("n").alias("n"), F.first("n_units").alias("n_units"))
     elif kind == "binary":
@@ -270,7 +294,7 @@ def optimal_binning(df: DataFrame, factors: Sequence[str], y: str, kind: str = "
                     categorical: Sequence[str] | None = None, monotonic_trend: str | None = "auto",
                     max_n_prebins: int = S.MAX_N_PREBINS, min_prebin_size: float = S.MIN_PREBIN_SIZE,
                     max_bin_size: float | None = None, min_bin_size: float | None = None,
-                    max_candidates: int = MAX_CANDIDATES, event_value=None,
+                    max_candidates: int = MAX_CANDIDATES, event_value=None, cat_cutoff: float | None = None,
                     drop_missing_x: bool = False, label_length: int | None = None) -> BinningResult:
     """E6-E9 + E18: optimal bins for every factor against ``y``.
 
@@ -291,7 +315,10 @@ def optimal_binning(df: DataFrame, factors: Sequence[str], y: str, kind: str = "
     pos = {f: i for i, f in enumerate(factors)}
     classes = []
     if kind == "multiclass":
-        classes = sorted(r[0] for r in data.select(yx.alias("c")).distinct().collect())  # few classes
+        found = data.select(yx.alias("c")).distinct().limit(MAX_CLASSES + 1).collect()
+        if len(found) > MAX_CLASSES:
+            raise ValueError(f"target {y!r} has more than {MAX_CLASSES} classes: not a classification target")
+        classes = sorted(r[0] for r in found)
 
     fine_parts, maps, cat_maps = [], [], None
     cuts = {}
@@ -308,7 +335,7 @@ def optimal_binning(df: DataFrame, factors: Sequence[str], y: str, kind: str = "
         maps.append(materialize(m))
     if cat:
         fine_cat, unit_map = _categorical_units(data, cat, _y_expr(data, y, kind, event_value), kind,
-                                                max_candidates, 0)
+                                                max_candidates, 0, cat_cutoff)
         if drop_missing_x:
             fine_cat = fine_cat.filter(F.col("fine_id") <= F.col("n_units"))
         fine_cat = materialize(fine_cat)

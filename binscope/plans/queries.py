@@ -654,3 +654,9 @@ def q_monotonic_b(spark, d):
     o = X.nulls_orders(spark, d).withColumn("neg_key", -F.col("o_orderkey"))
     return P.profile_monotonic(o, ["o_orderkey", "o_totalprice", "o_custkey", "neg_key"], "o_orderkey",
                                rows_per_bucket=700)
+
+
+@register("optimal_binning_cat_cutoff")
+def q_opt_cat_cutoff(spark, d):
+    return _summary_out(O.optimal_binning(X.bin_documents(spark, d), ["source", "lang"], "quality", "binary",
+                                          cat_cutoff=0.06))

@@ -48,3 +48,15 @@ def test_multiclass_rates_sum_to_one(spark, sf001):
     sums = (res.table.filter("kind = 'regular'").groupBy("bin_id").agg(F.sum("event_rate").alias("s"))
             .collect())
     assert all(abs(r.s - 1.0) < 1e-9 for r in sums)
+
+
+def test_cat_cutoff_pools_rare_categories(spark):
+    rows = [("a", float(i % 2)) for i in range(500)] + [("b", float(i % 3 == 0)) for i in range(480)] + \
+           [(f"r{i}", 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "c string, y double")
+    res = optimal_binning(df, ["c"], "y", "binary", cat_cutoff=0.05, min_prebin_size=0.0)
+    t = res.table.filter("kind = 'regular'").collect()
+    assert sum(r["count"] for r in t) == 1000
+    assert any("r0" in r.bin for r in t)          # the pooled categories are listed in their bin
+    full = optimal_binning(df, ["c"], "y", "binary", min_prebin_size=0.0).table
+    assert full.filter("kind = 'totals'").first()["count"] == 1000
