@@ -143,9 +143,9 @@ def _ties(pairs: DataFrame, value: str, out: str) -> DataFrame:
     return t.groupBy("factor").agg(F.sum(F.col("__t") * (F.col("__t") - 1) / 2).alias(out))
 
 
-def kendall_tau_b(long_df: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+def kendall_tau_b(long_df: DataFrame, local_pairs: int = LOCAL_PAIRS, pairs: DataFrame | None = None) -> DataFrame:
     """``(factor, kendall_tau_b)``; null when x or y is constant (denominator 0)."""
-    pairs = weighted_pairs(long_df)
+    pairs = pairs if pairs is not None else weighted_pairs(long_df)
     n = pairs.groupBy("factor").agg(F.sum("w").cast("double").alias("n"))
     s = kendall_s(pairs, local_pairs, largest_group(pairs))
     j = n.join(s, "factor", "left").join(_ties(pairs, "x", "n1"), "factor").join(_ties(pairs, "y", "n2"), "factor")
@@ -161,9 +161,9 @@ def _avg_rank(pairs: DataFrame, value: str, out: str, n_buckets: int | None = No
     return r.select("factor", value, (F.col("cum_before") + (F.col("cnt") + 1) / 2.0).alias(out))
 
 
-def spearman(long_df: DataFrame) -> DataFrame:
+def spearman(long_df: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``(factor, spearman)`` from exact average ranks; null when x or y is constant."""
-    pairs = weighted_pairs(long_df)
+    pairs = pairs if pairs is not None else weighted_pairs(long_df)
     nb = buckets_for(largest_group(pairs))  # distinct pairs bound distinct x and distinct y
     rx = _avg_rank(pairs, "x", "rx", nb)
     ry = _avg_rank(pairs, "y", "ry", nb)
@@ -175,3 +175,9 @@ def spearman(long_df: DataFrame) -> DataFrame:
                                 F.sum(w * cy * cy).alias("syy"))
     return s.select("factor", F.when((F.col("sxx") > 0) & (F.col("syy") > 0),
                                      F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("spearman"))
+
+
+def rank_correlations(long_df: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+    """G4 + G5 from one set of pre-aggregated pairs: ``(factor, kendall_tau_b, spearman)``."""
+    pairs = weighted_pairs(long_df)
+    return kendall_tau_b(long_df, local_pairs, pairs).join(spearman(long_df, pairs), "factor", "outer")

@@ -75,7 +75,7 @@ def fit_regression(df: DataFrame, x_factors: Sequence[str], y_factor: str,
     numerical = [x for x in xs if x not in _string_factors(filled, xs)]
     if numerical:
         lng = to_long(filled, numerical, target=y_factor)
-        corr = R.kendall_tau_b(lng).join(R.spearman(lng), "factor", "outer")
+        corr = R.rank_correlations(lng)   # one pre-aggregation of (factor, x, y) for both
     else:
         corr = df.sparkSession.createDataFrame([], "factor string, kendall_tau_b double, spearman double")
     raw = G.factor_stats(df, xs, numerical).select("factor", "missing", "std")

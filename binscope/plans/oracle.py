@@ -694,3 +694,7 @@ FROM (SELECT v - lag(v) OVER (ORDER BY o) AS dd FROM
     for i, (c, e) in enumerate([("o_orderkey", "o_orderkey"), ("o_totalprice", "o_totalprice"),
                                 ("o_custkey", "o_custkey"), ("neg_key", "-o_orderkey")])])
 SQL["profile_monotonic_bucketed"] = SQL["profile_monotonic"]
+
+SQL["rank_correlations"] = f"""WITH k AS ({kendall_pairs_sql("lineitem", ["l_linenumber", "l_quantity"], "l_tax")}),
+s AS ({spearman_sql("lineitem", ["l_linenumber", "l_quantity"], "l_tax")})
+SELECT k.factor, k.kendall_tau_b, s.spearman FROM k JOIN s ON k.factor = s.factor"""

@@ -660,3 +660,8 @@ def q_monotonic_b(spark, d):
 def q_opt_cat_cutoff(spark, d):
     return _summary_out(O.optimal_binning(X.bin_documents(spark, d), ["source", "lang"], "quality", "binary",
                                           cat_cutoff=0.06))
+
+
+@register("rank_correlations")
+def q_rank_corr(spark, d):
+    return rounded(R.rank_correlations(_rank_long(spark, d, ["l_linenumber", "l_quantity"], "l_tax")), 8)
