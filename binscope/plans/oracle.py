@@ -9,6 +9,7 @@ Spark query always cover the same columns.  Rounding mirrors
 from __future__ import annotations
 
 from binscope.functions.exprs import NUMERIC_STRING_RE, TOKEN_RE, WORD_RE
+from binscope.operators.types import BOOLEAN_STRINGS
 from binscope.plans import fixtures as X
 
 SQL: dict[str, str] = {}
@@ -63,6 +64,8 @@ def column_stats_sql(src: str, cols: list[tuple[str, str]]) -> str:
         nonblank = "v IS NOT NULL AND trim(v) <> ''"
         if kind == "string":
             bad = f"count(*) FILTER (WHERE {nonblank} AND NOT regexp_matches(v, {q(NUMERIC_STRING_RE)}))"
+            boolean_like = ("coalesce(sum(cnt) FILTER (WHERE v IS NOT NULL AND lower(trim(v)) IN ("
+                            + ", ".join(q(b) for b in BOOLEAN_STRINGS) + ")), 0)")
             dt_checks = " OR ".join(
                 f"count(*) FILTER (WHERE {nonblank} AND try_strptime(v, {q(f)}) IS NULL) = 0"
                 for f in DUCK_DATETIME_FORMATS)
@@ -73,10 +76,11 @@ def column_stats_sql(src: str, cols: list[tuple[str, str]]) -> str:
                    f"GROUP BY t))")
         else:
             bad, dt_ok, tok = "0", "false", "(SELECT NULL AS mt, NULL AS mf)"
+            boolean_like = "0"
         parts.append(
             f"SELECT {q(c)} AS column_name, {i} AS position, {q(kind)} AS kind, "
             f"coalesce(sum(cnt), 0) AS n_rows, coalesce(sum(cnt) FILTER (WHERE v IS NULL), 0) AS n_null, "
-            f"count(v) AS n_distinct, {bad} AS n_bad_numeric, {dt_ok} AS dt_ok, "
+            f"count(v) AS n_distinct, {bad} AS n_bad_numeric, {dt_ok} AS dt_ok, {boolean_like} AS n_boolean_like, "
             f"(SELECT mt FROM {tok}) AS max_tokens, (SELECT mf FROM {tok}) AS max_token_freq FROM {vc}")
     return union(parts)
 
@@ -698,3 +702,24 @@ SQL["profile_monotonic_bucketed"] = SQL["profile_monotonic"]
 SQL["rank_correlations"] = f"""WITH k AS ({kendall_pairs_sql("lineitem", ["l_linenumber", "l_quantity"], "l_tax")}),
 s AS ({spearman_sql("lineitem", ["l_linenumber", "l_quantity"], "l_tax")})
 SELECT k.factor, k.kendall_tau_b, s.spearman FROM k JOIN s ON k.factor = s.factor"""
+
+
+def semantic_types_sql(table: str) -> str:
+    """C8 over ``column_stats_sql`` rows (same thresholds as operators.types.semantic_types)."""
+    return f"""SELECT column_name, position,
+  CASE WHEN n_distinct < 1 THEN 'Unsupported'
+       WHEN kind = 'bool' THEN 'Boolean'
+       WHEN kind = 'string' AND n_boolean_like = n_rows - n_null AND n_distinct <= 2 THEN 'Boolean'
+       WHEN kind = 'temporal' THEN 'DateTime'
+       WHEN kind IN ('int', 'float') THEN CASE WHEN n_distinct <= 5 THEN 'Categorical' ELSE 'Numeric' END
+       WHEN kind = 'string' AND n_bad_numeric = 0 THEN 'Numeric'
+       WHEN kind = 'string' AND dt_ok THEN 'DateTime'
+       WHEN n_distinct <= 50 AND n_distinct / nullif(n_rows, 0) < 0.5 THEN 'Categorical'
+       ELSE 'Text' END AS data_type
+FROM ({column_stats_sql(table, SCHEMAS[table])})"""
+
+
+SQL["semantic_types_lineitem"] = semantic_types_sql("lineitem")
+SQL["profile_type_counts"] = f"""SELECT data_type, count(*) AS n_columns FROM ({semantic_types_sql('lineitem')})
+GROUP BY data_type"""
+SQL["semantic_types_documents"] = semantic_types_sql("documents")

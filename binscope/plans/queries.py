@@ -665,3 +665,8 @@ def q_opt_cat_cutoff(spark, d):
 @register("rank_correlations")
 def q_rank_corr(spark, d):
     return rounded(R.rank_correlations(_rank_long(spark, d, ["l_linenumber", "l_quantity"], "l_tax")), 8)
+
+
+@register("semantic_types_documents")
+def q_semantic_docs(spark, d):
+    return C.semantic_types(X.table(spark, d, "documents"))
