@@ -723,3 +723,39 @@ SQL["semantic_types_lineitem"] = semantic_types_sql("lineitem")
 SQL["profile_type_counts"] = f"""SELECT data_type, count(*) AS n_columns FROM ({semantic_types_sql('lineitem')})
 GROUP BY data_type"""
 SQL["semantic_types_documents"] = semantic_types_sql("documents")
+
+
+def _alerts_sql(table: str = "nulls_orders", cte: str = X.NULLS_ORDERS_SQL) -> str:
+    cols = SCHEMAS[table]
+    num = [(i, c) for i, (c, k) in enumerate(cols) if k in ("int", "float")]
+    cat = [(i, c) for i, (c, k) in enumerate(cols) if k not in ("int", "float")]
+    nm = union([f"""SELECT {q(c)} AS column_name,
+  count(*) FILTER (WHERE CAST({c} AS DOUBLE) = 0) / nullif(count({c}), 0) AS p_zeros,
+  count(*) FILTER (WHERE isinf(CAST({c} AS DOUBLE))) AS n_infinite,
+  skewness(CAST({c} AS DOUBLE)) AS skewness FROM {table}""" for _, c in num])
+    ct = union([f"""SELECT {q(c)} AS column_name,
+  CASE WHEN count(*) > 1 THEN 1 - sum(-(cnt / tot) * log2(cnt / tot)) / log2(count(*)) ELSE 0.0 END AS imbalance
+FROM (SELECT cnt, sum(cnt) OVER () AS tot FROM
+      (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS cnt FROM {table} WHERE {c} IS NOT NULL GROUP BY 1))"""
+                for _, c in cat])
+    return with_ctes(cte,
+                     f"st AS ({semantic_types_sql(table)})",
+                     f"cm AS ({profile_common_sql(table, '', cols)})",
+                     f"nm AS ({nm})", f"ct AS ({ct})") + f"""SELECT column_name, position, alert FROM (
+  SELECT cm.column_name, cm.position, unnest([
+    CASE WHEN cm.n_distinct = 1 THEN 'CONSTANT' END,
+    CASE WHEN cm.is_unique AND cm.n_distinct > 1 THEN 'UNIQUE' END,
+    CASE WHEN cm.n_missing > 0 THEN 'MISSING' END,
+    CASE WHEN nm.p_zeros > {0.05} THEN 'ZEROS' END,
+    CASE WHEN nm.n_infinite > 0 THEN 'INFINITE' END,
+    CASE WHEN abs(nm.skewness) > 20 THEN 'SKEWED' END,
+    CASE WHEN st.data_type = 'Categorical' AND cm.n_distinct > 50 THEN 'HIGH_CARDINALITY' END,
+    CASE WHEN st.data_type = 'Categorical' AND ct.imbalance > 0.5 THEN 'IMBALANCE' END,
+    CASE WHEN st.data_type = 'Unsupported' THEN 'UNSUPPORTED' END]) AS alert
+  FROM cm JOIN st ON cm.column_name = st.column_name
+  LEFT JOIN nm ON cm.column_name = nm.column_name LEFT JOIN ct ON cm.column_name = ct.column_name)
+WHERE alert IS NOT NULL"""
+
+
+SQL["profile_alerts"] = _alerts_sql()
+SQL["profile_alerts_lineitem"] = _alerts_sql("lineitem", "")

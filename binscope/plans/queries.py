@@ -670,3 +670,8 @@ def q_rank_corr(spark, d):
 @register("semantic_types_documents")
 def q_semantic_docs(spark, d):
     return C.semantic_types(X.table(spark, d, "documents"))
+
+
+@register("profile_alerts_lineitem")
+def q_alerts_li(spark, d):
+    return P.profile_alerts(X.table(spark, d, "lineitem"))
