@@ -54,13 +54,23 @@ def finite(c: Column | str, dtype: T.DataType | None = None) -> Column:
     return F.when(F.isnan(col) | col.isin(float("inf"), float("-inf")), F.lit(None)).otherwise(col)
 
 
+NTZ_EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz_micros(col: Column) -> Column:
+    """Microseconds of a wall-clock timestamp since 1970-01-01 00:00, free of the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit(NTZ_EPOCH).cast("timestamp_ntz"), col)
+
+
 def as_double(c: Column | str, dtype: T.DataType) -> Column:
     """Numeric view of a column: bool -> 0/1, temporal -> epoch seconds, strings parsed."""
     col = F.col(c) if isinstance(c, str) else c
     if isinstance(dtype, T.BooleanType):
         return col.cast("int").cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double") / 1e6
+    if isinstance(dtype, T.TimestampNTZType):
+        return ntz_micros(col).cast("double") / 1e6
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col).cast("double") / 1e6
     if isinstance(dtype, T.DateType):
         return F.unix_date(col).cast("double") * 86400.0
     if isinstance(dtype, T.StringType):

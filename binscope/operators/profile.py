@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import (FLOAT_TYPES, NUMERIC_TYPES, TEMPORAL_TYPES, WORD_RE,
-                                      TOKEN_RE)
+from binscope.functions.exprs import (FLOAT_TYPES, NTZ_EPOCH, NUMERIC_TYPES, TEMPORAL_TYPES, TOKEN_RE,
+                                      WORD_RE, ntz_micros)
 from pyspark import StorageLevel
 
 from binscope.operators.longform import (buckets_for, exact_quantiles, quantiles_from_counts, string_long,
@@ -313,19 +313,27 @@ def profile_datetime(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = []
     for i, c in enumerate(columns):
         col = F.col(c)
+        ntz = isinstance(dt[c], T.TimestampNTZType)
         if not isinstance(dt[c], TEMPORAL_TYPES):
             col = F.to_timestamp(col)
-        ts = col.cast("timestamp")
+        # wall-clock columns: zone-free micros; instants: epoch micros
+        us = ntz_micros(col) if ntz else F.unix_micros(col.cast("timestamp"))
         parts.append(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
-                              F.unix_micros(ts).alias("us")))
+                              F.lit(ntz).alias("ntz"), us.alias("us")))
     lng = df.select(F.explode(F.array(*parts)).alias("__s")).select("__s.*")
-    s = (lng.filter(F.col("us").isNotNull()).select("column_name", "position", "us").distinct()
-         .groupBy("column_name", "position")
+    s = (lng.filter(F.col("us").isNotNull()).select("column_name", "position", "ntz", "us").distinct()
+         .groupBy("column_name", "position", "ntz")
          .agg(F.min("us").alias("__lo"), F.max("us").alias("__hi"), F.count(F.lit(1)).alias("n_distinct")))
     fmt = "yyyy-MM-dd HH:mm:ss"
+    epoch = F.lit(NTZ_EPOCH).cast("timestamp_ntz")
+
+    def show(us: Column) -> Column:
+        return F.when(F.col("ntz"), F.date_format(F.timestamp_add("MICROSECOND", us, epoch), fmt)) \
+            .otherwise(F.date_format(F.timestamp_micros(us), fmt))
+
     return s.select("column_name", "position",
-                    F.date_format(F.timestamp_micros("__lo"), fmt).alias("min"),
-                    F.date_format(F.timestamp_micros("__hi"), fmt).alias("max"),
+                    show(F.col("__lo")).alias("min"),
+                    show(F.col("__hi")).alias("max"),
                     ((F.col("__hi") - F.col("__lo")) / 1e6).alias("range_seconds"),
                     F.col("n_distinct").cast("long").alias("n_distinct"))
 

@@ -53,3 +53,17 @@ def test_monotonic_drop_anywhere_is_found(spark):
     out = {r.column_name: r for r in profile_monotonic(df, cols + ["up"], "o", rows_per_bucket=50).collect()}
     assert out["up"].monotonic_increasing and not out["up"].monotonic_decreasing
     assert not any(out[c].monotonic_increasing for c in cols)
+
+
+def test_wall_clock_ranges_ignore_session_zone(spark):
+    from binscope.operators.profile import profile_datetime
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 01:00:00' AS t UNION ALL "
+                       "SELECT TIMESTAMP_NTZ'2024-03-10 04:00:00'")
+        r = profile_datetime(df, ["t"]).first()
+        assert r.range_seconds == 3 * 3600
+        assert (r["min"], r["max"]) == ("2024-03-10 01:00:00", "2024-03-10 04:00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
