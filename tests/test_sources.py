@@ -38,3 +38,12 @@ def test_json_records_and_errors(spark):
     _write(os.path.join(d, "x.dat"), "1", "utf8")
     with pytest.raises(ValueError):
         read_table(spark, os.path.join(d, "x.dat"))
+
+
+def test_xml_in_gb18030(spark):
+    d = tempfile.mkdtemp(prefix="binscope-src-")
+    xml = ('<?xml version="1.0" encoding="GB18030"?>\n<rows>\n<row><名>甲</名><值>1</值></row>\n'
+           '<row><名>乙</名><值>2</值></row>\n</rows>\n')
+    _write(os.path.join(d, "t.xml"), xml, "gb18030")
+    df = read_table(spark, os.path.join(d, "t.xml"))
+    assert sorted((r["名"], int(r["值"])) for r in df.collect()) == [("乙", 2), ("甲", 1)]
