@@ -47,3 +47,19 @@ def test_xml_in_gb18030(spark):
     _write(os.path.join(d, "t.xml"), xml, "gb18030")
     df = read_table(spark, os.path.join(d, "t.xml"))
     assert sorted((r["名"], int(r["值"])) for r in df.collect()) == [("乙", 2), ("甲", 1)]
+
+
+def test_replace_in_text_file(spark):
+    from binscope.sources.readers import replace_in_text_file
+    d = tempfile.mkdtemp(prefix="binscope-src-")
+    lines = ["<b>Data Profile</b>", "profile of data"]
+    mapping = {"Data": "Table", "Table Profile": "Report", "of": "for"}
+    _write(os.path.join(d, "in.html"), "\n".join(lines) + "\n", "utf8")
+    out = replace_in_text_file(spark, os.path.join(d, "in.html"), os.path.join(d, "out"), mapping)
+    expected = []
+    for line in lines:          # ordered literal replacements, as str.replace does them
+        for old, new in mapping.items():
+            line = line.replace(old, new)
+        expected.append(line)
+    assert sorted(r.value for r in out.collect()) == sorted(expected)
+    assert "<b>Report</b>" in expected
