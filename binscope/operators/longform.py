@@ -190,5 +190,39 @@ def string_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(stacked.alias("__s")).select("__s.*")
 
 
-__all__ = ["to_long", "drop_null_pairs", "value_counts", "ranked_values", "average_ranks",
+def typed_value_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Per-value counts ``(column_name, position, value, cnt)`` grouped by physical kind.
+
+    Integers group as long, floats as double (NaN -> null, -0.0 -> 0.0), the
+    rest as strings: distinct counting needs no number-to-text conversion.  One
+    DataFrame per kind present (each scans only its own columns).
+    """
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    ints = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    floats = (T.FloatType, T.DoubleType)
+    groups: dict[str, list[tuple[int, str]]] = {"long": [], "double": [], "string": []}
+    for i, c in enumerate(columns):
+        dt = schema[c]
+        kind = "long" if isinstance(dt, ints) else "double" if isinstance(dt, floats) else "string"
+        groups[kind].append((i, c))
+    out = []
+    for kind, cols in groups.items():
+        if not cols:
+            continue
+
+        def val(c: str, kind=kind) -> Column:
+            col = F.col(c)
+            if kind == "double":
+                col = col.cast("double")
+                return F.when(F.isnan(col), F.lit(None).cast("double")).when(col == 0, F.lit(0.0)).otherwise(col)
+            return col.cast(kind)
+
+        stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
+                                               val(c).alias("value")) for i, c in cols]))
+        out.append(df.select(stacked.alias("__s")).select("__s.*")
+                   .groupBy("column_name", "position", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    return out
+
+
+__all__ = ["to_long", "typed_value_counts", "drop_null_pairs", "value_counts", "ranked_values", "average_ranks",
            "exact_quantiles", "quantiles_from_counts", "buckets_for", "top_k", "string_long", "with_value_buckets", "finite"]

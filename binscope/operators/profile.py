@@ -20,7 +20,7 @@ from binscope.functions.exprs import (FLOAT_TYPES, NTZ_EPOCH, NUMERIC_TYPES, TEM
 from pyspark import StorageLevel
 
 from binscope.operators.longform import (buckets_for, exact_quantiles, quantiles_from_counts, string_long,
-                                         top_k, value_counts)
+                                         top_k, typed_value_counts, value_counts)
 from binscope.operators.types import semantic_types
 from binscope.session import materialize
 
@@ -121,14 +121,16 @@ def profile_type_counts(df: DataFrame, columns: Sequence[str] | None = None) ->
 def profile_common(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """D3: n, missing, distinct and unique counts per column, from exact value counts."""
     cols = list(columns or df.columns)
-    vt = (string_long(df, cols).groupBy("column_name", "position", "value")
-          .agg(F.count(F.lit(1)).alias("cnt")))
     v = F.col("value")
-    s = vt.groupBy("column_name", "position").agg(
+    per_kind = [vt.groupBy("column_name", "position").agg(
         F.sum(F.when(v.isNotNull(), F.col("cnt")).otherwise(0)).alias("n"),
         F.sum(F.when(v.isNull(), F.col("cnt")).otherwise(0)).alias("n_missing"),
         F.count(v).alias("n_distinct"),
         F.count_if(v.isNotNull() & (F.col("cnt") == 1)).alias("n_unique"))
+        for vt in typed_value_counts(df, cols)]
+    s = per_kind[0]
+    for other in per_kind[1:]:
+        s = s.unionByName(other)
     total = F.col("n") + F.col("n_missing")
     return s.select(
         "column_name", "position",

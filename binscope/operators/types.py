@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from binscope.functions.exprs import (DATETIME_FORMATS, FLOAT_TYPES, INTEGER_TYPES, NESTED_TYPES,
                                       NUMERIC_STRING_RE, NUMERIC_TYPES, TEMPORAL_TYPES, tokens)
-from binscope.operators.longform import string_long
+from binscope.operators.longform import string_long, typed_value_counts
 
 # ---------------------------------------------------------------------------
 # Fixed values of the type rules
@@ -86,8 +86,27 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
                                   ("n_rows", "n_null", "n_distinct", "n_bad_numeric",
                                    "max_tokens", "max_token_freq")],
                            F.lit(None).cast("string").alias("datetime_format"))
-    vt = value_table(df, flat)
+    non_str = [c for c in flat if c not in set(strings)]
     v = F.col("value")
+    basic = []
+    for tv in (typed_value_counts(df, non_str) if non_str else []):
+        # numbers, dates and booleans: counts from typed values (no text conversion, no text checks)
+        basic.append(tv.groupBy("column_name").agg(
+            F.sum("cnt").alias("n_rows"),
+            F.sum(F.when(v.isNull(), F.col("cnt")).otherwise(0)).alias("n_null"),
+            F.count(v).alias("n_distinct"),
+            F.lit(0).cast("long").alias("n_bad_numeric"),
+            F.count(v).alias("n_nonblank_distinct"),
+            F.lit(0).cast("long").alias("n_boolean_like"),
+            F.lit(None).cast("string").alias("datetime_format")))
+    if not strings:
+        stats = basic[0]
+        for other in basic[1:]:
+            stats = stats.unionByName(other)
+        stats = stats.withColumn("max_tokens", F.lit(None).cast("long")) \
+                     .withColumn("max_token_freq", F.lit(None).cast("long"))
+        return meta.join(F.broadcast(stats), "column_name", "left")
+    vt = value_table(df, strings)
     present = v.isNotNull()
     nonblank = present & (F.trim(v) != "")
     is_str = F.col("column_name").isin(strings) if strings else F.lit(False)
@@ -111,6 +130,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
     stats = stats.withColumn("datetime_format",
                              F.when(F.col("n_nonblank_distinct") > 0, fmt_pick)) \
                  .drop(*[f"__bad_dt{i}" for i in range(len(DATETIME_FORMATS))])
+    for other in basic:
+        stats = stats.unionByName(other)
     if strings:
         # own value table over the string columns only: its scan reads just those columns
         svt = value_table(df, strings)

@@ -67,3 +67,11 @@ def test_wall_clock_ranges_ignore_session_zone(spark):
         assert (r["min"], r["max"]) == ("2024-03-10 01:00:00", "2024-03-10 04:00:00")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_common_counts_normalise_floats(spark):
+    from binscope.operators.profile import profile_common
+    df = spark.createDataFrame([(0.0, 1), (-0.0, 1), (float("nan"), 2), (1.0, None), (None, 3)], "x double, k int")
+    r = {x.column_name: x for x in profile_common(df).collect()}
+    assert (r["x"].n, r["x"].n_missing, r["x"].n_distinct, r["x"].n_unique) == (3, 2, 2, 1)
+    assert (r["k"].n, r["k"].n_missing, r["k"].n_distinct, r["k"].n_unique) == (4, 1, 3, 2)
