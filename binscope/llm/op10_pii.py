@@ -170,23 +170,27 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                       "votes:long,x:array<double>>>")
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0
-       ) -> tuple[np.ndarray, np.ndarray]:
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0,
+       anchor: float = 0.1, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 per vote pattern and (labeler, class, vote) probabilities.
 
     ``patterns``: rows of votes in {-1, 0, 1}; ``counts``: how often each was
-    seen. Starts from the share of yes votes, so class 1 keeps that meaning.
+    seen. Starts from ``start`` or the share of yes votes, and each labeler's estimate is
+    drawn to being right nine times in ten by ``anchor`` of the counts, so
+    class 1 keeps its meaning when few votes disagree.
     """
     yes, no = (patterns == 1).sum(1), (patterns == 0).sum(1)
-    post = (yes + 0.5) / (yes + no + 1.0)
+    post = (yes + 0.5) / (yes + no + 1.0) if start is None else start
     prob = np.zeros((patterns.shape[1], 2, 3))
+    pull = anchor * counts.sum() * np.array([[0.0, 0.9, 0.1], [0.0, 0.1, 0.9]])
     for _ in range(rounds):
         weight = np.stack([counts * (1 - post), counts * post])
         share = (weight.sum(1) + smooth) / (counts.sum() + 2 * smooth)
         log = np.log(share)[:, None].repeat(len(counts), 1)
         for j in range(patterns.shape[1]):
             seen = np.stack([[weight[c][patterns[:, j] == v].sum() for v in (-1, 0, 1)] for c in (0, 1)])
-            prob[j] = (seen + smooth) / (seen.sum(1, keepdims=True) + 3 * smooth)
+            seen = seen + smooth + pull * (1 - seen[:, :1].sum() / max(seen.sum(), 1e-9))
+            prob[j] = seen / seen.sum(1, keepdims=True)
             log += np.log(prob[j])[:, patterns[:, j] + 1]
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         if np.abs(new - post).max() < 1e-9:

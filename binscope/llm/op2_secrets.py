@@ -9,6 +9,7 @@ that ever held the blob.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,18 +96,17 @@ def scan_history(versions: DataFrame, path_col: str = "doc_id", text_col: str =
     return new, found
 
 
-def spans_string(findings, kinds: tuple[str, ...] | None = None) -> F.Column:
+def spans_string(findings: F.Column) -> F.Column:
     """kind:start:end of the findings, comma-joined in their order."""
-    col = F.col(findings)
-    if kinds:
-        col = F.filter(col, lambda f: f["kind"].isin(*kinds))
-    return F.array_join(F.transform(col, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
 
-def digest(findings: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Counts per base kind, hash of the base spans and all spans as text."""
+def digest(findings: DataFrame, kinds: tuple[str, ...], base: Callable[[F.Column], F.Column]) -> DataFrame:
+    """Counts per base kind, hash of the base spans and all spans as text; ``base`` tells base findings."""
+    own = F.filter("findings", base)
+
     def count(kind: str) -> F.Column:
-        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter(own, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return findings.select(F.col("path").alias("doc_id"), *map(count, kinds),
-                           F.sha2(spans_string("findings", kinds), 256).alias("base_sha256"),
-                           spans_string("findings").alias("spans"))
+                           F.sha2(spans_string(own), 256).alias("base_sha256"),
+                           spans_string(F.col("findings")).alias("spans"))

@@ -20,7 +20,7 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 
 def op2(spark: SparkSession, d: str) -> DataFrame:
     _, found = op2_secrets.scan_history(table(spark, d, "documents"))
-    return op2_secrets.digest(found, op2_secrets.BASE)
+    return op2_secrets.digest(found, op2_secrets.BASE, lambda f: f["kind"].isin(*op2_secrets.BASE))
 
 
 def op3(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,8 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, d: str) -> DataFrame:
-    return op2_secrets.digest(op10_pii.personal_data(table(spark, d, "documents")), op10_pii.KINDS)
+    found = op10_pii.personal_data(table(spark, d, "documents"))
+    return op2_secrets.digest(found, op10_pii.KINDS, lambda f: f["base"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
