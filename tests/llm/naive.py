@@ -84,7 +84,7 @@ def contamination(text, items, length=10):
         for i in range(len(words) - n + 1):
             if tuple(words[i:i + n]) in wins:
                 hit |= set(range(i, i + n))
-                found.add(str(item))
+                found |= {str(item)} if item is not None else set()
     ids = ",".join(sorted(found))
     return len(words), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest()
 
