@@ -170,34 +170,35 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                       "votes:long,x:array<double>>>")
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0,
-       anchor: float = 0.1, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of class 1 per vote pattern and (labeler, class, vote) probabilities.
-
-    ``patterns``: rows of votes in {-1, 0, 1}; ``counts``: how often each was
-    seen. Starts from ``start`` or the share of yes votes, and each labeler's estimate is
-    drawn to being right nine times in ten by ``anchor`` of the counts, so
-    class 1 keeps its meaning when few votes disagree.
+def em(patterns: np.ndarray, counts: np.ndarray, right: tuple[float, float] = (0.9, 0.9), anchor: float = 0.1,
+       rounds: int = 200) -> np.ndarray:
+    """Posterior of class 1 per vote pattern, by expectation-maximisation.
+
+    ``patterns``: rows of votes in {-1, 0, 1}, where -1 says nothing;
+    ``counts``: how often each was seen. ``right``: what one expects of a
+    labeler, the share of its votes on class 0 that are 0 and on class 1 that
+    are 1; it weighs like ``anchor`` of the counts, so the classes keep their
+    meaning when few votes disagree.
     """
-    yes, no = (patterns == 1).sum(1), (patterns == 0).sum(1)
-    post = (yes + 0.5) / (yes + no + 1.0) if start is None else start
-    prob = np.zeros((patterns.shape[1], 2, 3))
-    pull = anchor * counts.sum() * np.array([[0.0, 0.9, 0.1], [0.0, 0.1, 0.9]])
+    m, n = patterns.shape[1], counts.sum()
+    yes = np.repeat([[1 - right[0], right[1]]], m, 0)        # P(vote 1 | class)
+    share, post = 0.8, np.full(len(counts), 0.5)
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - post), counts * post])
-        share = (weight.sum(1) + smooth) / (counts.sum() + 2 * smooth)
-        log = np.log(share)[:, None].repeat(len(counts), 1)
-        for j in range(patterns.shape[1]):
-            seen = np.stack([[weight[c][patterns[:, j] == v].sum() for v in (-1, 0, 1)] for c in (0, 1)])
-            seen = seen + smooth + pull * (1 - seen[:, :1].sum() / max(seen.sum(), 1e-9))
-            prob[j] = seen / seen.sum(1, keepdims=True)
-            log += np.log(prob[j])[:, patterns[:, j] + 1]
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        odds = np.full(len(counts), np.log(share / (1 - share)))
+        for j in range(m):
+            one, zero = (np.log(f(yes[j, 1]) / f(yes[j, 0])) for f in (lambda p: p, lambda p: 1 - p))
+            odds += np.where(patterns[:, j] == 1, one, np.where(patterns[:, j] == 0, zero, 0.0))
+        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        weight = np.stack([counts * (1 - new), counts * new])
+        for j in range(m):
+            for c, expected in ((0, 1 - right[0]), (1, right[1])):
+                ones, votes = (weight[c][k].sum() for k in (patterns[:, j] == 1, patterns[:, j] >= 0))
+                yes[j, c] = (ones + anchor * n * expected + 0.01) / (votes + anchor * n + 0.02)
+        share = (weight[1].sum() + 1) / (n + 2)
         if np.abs(new - post).max() < 1e-9:
-            post = new
             break
         post = new
-    return post, prob
+    return new
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.0, l2: float = 1e-3) -> np.ndarray:
@@ -226,7 +227,7 @@ def fit(proposed: DataFrame, fit_spans: int = FIT_SPANS) -> list[float]:
     post: dict[tuple[str, int], float] = {}
     for kind in {r["kind"] for r in seen}:
         own = [r for r in seen if r["kind"] == kind]
-        p, _ = em(np.array([unpack(r["votes"]) for r in own]), np.array([float(r["count"]) for r in own]))
+        p = em(np.array([unpack(r["votes"]) for r in own]), np.array([float(r["count"]) for r in own]))
         post |= {(kind, r["votes"]): float(v) for r, v in zip(own, p)}
     totals: dict[str, int] = {}
     for r in seen:

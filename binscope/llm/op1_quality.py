@@ -15,23 +15,21 @@ from pyspark.sql import functions as F
 
 from binscope.llm.common import map_slices, record, sample_share, stored, unit_hash
 from binscope.llm.op10_pii import em, logistic
-from binscope.llm.op7_rules import STATS
+from binscope.llm.textstats import COUNTS as STATS
 from binscope.llm.textstats import stats
 
 #: hashed features, and documents per posterior class that fit the scorer, about
 FEATURES, FIT_DOCS = 2048, 1500
 #: labeler: SQL over the counts giving 1 (good), 0 (bad), -1 (nothing); fixed values
 LABELERS = {
-    "symbols": "case when n_words = 0 then 0 when n_symbols > 0.1 * n_words then 0 when n_symbols = 0 then 1 else -1 end",
-    "capitals": "case when n_upper + n_lower < 20 then -1 when n_upper > 0.5 * (n_upper + n_lower) then 0 "
-                "when n_upper < 0.2 * (n_upper + n_lower) then 1 else -1 end",
-    "marks": "case when n_words = 0 then 0 when n_marks > 0.2 * n_words then 0 when n_marks < 0.05 * n_words then 1 else -1 end",
-    "word_length": "case when n_words = 0 then 0 when word_chars > 15 * n_words or word_chars < 2 * n_words then 0 "
-                   "when word_chars between 3 * n_words and 10 * n_words then 1 else -1 end",
-    "repetition": "case when n_words < 20 then -1 when n_repeat_words > 0.5 * n_words then 0 "
-                  "when n_repeat_words < 0.1 * n_words then 1 else -1 end",
-    "lines": "case when n_lines < 4 then -1 when n_dup_lines > 0.3 * n_lines then 0 when n_dup_lines = 0 then 1 else -1 end",
-    "length": "case when n_words < 3 then 0 when n_words between 50 and 100000 then 1 else -1 end",
+    "symbols": "case when n_words < 3 then -1 when n_symbols > 0.1 * n_words then 0 else 1 end",
+    "symbol_share": "case when word_chars < 20 then -1 when n_symbols > 0.03 * word_chars then 0 else 1 end",
+    "capitals": "case when n_upper + n_lower < 20 then -1 when n_upper > 0.4 * (n_upper + n_lower) then 0 else 1 end",
+    "marks": "case when n_words < 3 then -1 when n_marks > 0.2 * n_words then 0 else 1 end",
+    "word_length": "case when n_words < 3 then -1 when word_chars > 15 * n_words or word_chars < 2 * n_words then 0 else 1 end",
+    "repetition": "case when n_words < 20 then -1 when n_repeat_words > 0.4 * n_words then 0 else 1 end",
+    "variety": "case when n_words < 20 then -1 when n_distinct < 2 * sqrt(n_words) then 0 else 1 end",
+    "lines": "case when n_lines < 4 then -1 when n_dup_lines > 0.3 * n_lines then 0 else 1 end",
 }
 
 
@@ -64,16 +62,15 @@ def _counted(texts: DataFrame, kind: str, weights: np.ndarray | None = None) ->
 
 
 def posteriors(votes: DataFrame) -> dict[int, float]:
-    """P(good) per vote pattern by EM over the pattern counts of the whole corpus (at most 3^7 rows)."""
+    """P(good) per vote pattern by EM over the pattern counts of the whole corpus (at most 3^8 rows)."""
     seen = votes.groupBy("votes").count().orderBy("votes").collect()
     if not seen:
         return {}
     m = len(LABELERS)
     patterns = np.array([[r["votes"] // 3 ** i % 3 - 1 for i in range(m)] for r in seen])
-    # junk comes in kinds, each known to few labelers: one bad vote makes a suspect,
-    # and EM then learns what each vote is worth
-    start = np.where((patterns == 0).any(1), 0.1, 0.9)
-    post, _ = em(patterns, np.array([float(r["count"]) for r in seen]), anchor=0.0, start=start)
+    # junk comes in kinds, each known to few labelers: a bad vote is rare on good documents,
+    # a good vote common on bad ones
+    post = em(patterns, np.array([float(r["count"]) for r in seen]), right=(0.4, 0.98))
     return {r["votes"]: float(p) for r, p in zip(seen, post)}
 
 
@@ -107,8 +104,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """(doc_id, votes, posterior, score, kept): one row per row.
 
     ``posterior`` is the label model's P(good), ``score`` the linear scorer's,
-    and ``kept`` says score >= threshold. A null text is empty: no features,
-    so the scorer's intercept decides. Null ids and repeated rows keep their
+    and ``kept`` says that their mean is at least ``threshold``: a text too
+    short for the scorer stays unless a labeler objects. A null text is empty:
+    no features, so the scorer's intercept is its score. Null ids and repeated rows keep their
     rows. If all posteriors fall on one side, the posterior is the score. An
     empty table gives an empty result. Extra columns are ignored.
     """
@@ -120,6 +118,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     scored = _counted(texts, kind, weights)
     table = texts.sparkSession.createDataFrame(sorted(post.items()), "v long, posterior double")
     score = F.col("posterior") if weights is None else 1 / (1 + F.exp(-F.col("raw")))
-    # one row per vote pattern: at most 3^7
+    # one row per vote pattern: at most 3^8
     return (scored.join(F.broadcast(table), F.col("votes") == F.col("v"))
-            .select("doc_id", "votes", "posterior", score.alias("score"), (score >= threshold).alias("kept")))
+            .select("doc_id", "votes", "posterior", score.alias("score"),
+                    ((score + F.col("posterior")) / 2 >= threshold).alias("kept")))

@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binscope.llm.common import map_slices, record, sample_share, unit_hash
+from binscope.llm.textstats import COUNTS as STATS
 from binscope.llm.textstats import stats
 
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-         "n_lines", "n_upper", "n_lower", "n_marks"]
 #: rates that rules may test, as SQL over the counts
 FEATURES = {
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",

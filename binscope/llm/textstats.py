@@ -7,6 +7,8 @@ import numpy as np
 from binscope.llm.common import ASCII_SPACE
 
 SYMBOLS = "#*$%&|<>"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+          "n_lines", "n_upper", "n_lower", "n_marks", "n_distinct"]
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -62,4 +64,5 @@ def stats(text: str | None) -> dict[str, int]:
         "n_upper": upper,
         "n_lower": lower,
         "n_marks": text.count("!") + text.count("?"),
+        "n_distinct": len(set(words)),
     }
