@@ -2,7 +2,8 @@
 
 Lineage is cut with ``DataFrame.checkpoint()`` into the shared folder the
 cluster names in ``spark.checkpoint.dir``; a private folder is only chosen
-when that setting is absent (local runs and tests).
+when that setting is absent in local runs and tests. Off ``local`` its
+absence is an error.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="binscope-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -79,3 +83,21 @@ def materialize(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package (once per context), wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_binscope_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    target = os.path.join(tempfile.mkdtemp(prefix="binscope-ship-"), "binscope_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(target)
+    sc._binscope_shipped = True
