@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binscope.session import scratch_dir
+from binscope.session import scratch_dir, ship_package
 
 #: rows of an Arrow batch that one Python call handles
 ROWS = 256
@@ -49,6 +49,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(i, rows))
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -146,6 +147,15 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      {"u": [x for x, _ in out], "v": [r for _, r in out]})
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """No node of ``edges(u, v)`` with v < u has two parents, or a parent and a child."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                          F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+                        .alias("e")).select("e.*")
+    return (ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .where("up > 1 or (up = 1 and down = 1)").isEmpty())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links(a, b)`` (longs); root is the smallest node.
 
@@ -157,12 +167,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links")
-    sign = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or tuple(now) == sign:
-            break
-        sign = tuple(now)
+    while not _stars_only(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

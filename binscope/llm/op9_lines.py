@@ -1,8 +1,8 @@
 """Operator 9: fuzzy line dedup by MinHash.
 
 Distinct lines are represented by the minima of two one-permutation hashes of
-their character shingles; bands of them bring similar lines together; every
-colliding pair that can matter is verified by exact Jaccard similarity of the
+their character shingles; bands of them bring similar lines together; lines
+that collide are verified against leaders by exact Jaccard similarity of the
 shingle sets; a distributed union-find forms the classes, and one line of each
 stays in the corpus.
 """
@@ -24,7 +24,14 @@ SHINGLE, SIMILARITY = 7, 0.8
 BANDS, BAND_ROWS = 12, 5
 #: one-permutation hashes, each of BANDS * BAND_ROWS / HALVES bins
 HALVES = 2
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)      # fixed values: odd 64-bit constants
+#: fixed values: odd multipliers of the hash functions
+_STEP = 0x01000193
+_MULTIPLIERS = (0x7FEB352D, 0x846CA68B)
+_WIDE = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+#: code points hashed at a time: the arrays stay in the processor's cache
+PIECE = 1 << 15
+#: times that lines of a key which are not yet connected are compared with a new leader
+ROUNDS = 3
 
 
 def line_id(line: str) -> int:
@@ -33,49 +40,68 @@ def line_id(line: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _shingle_hashes(points: np.ndarray, shingle: int) -> np.ndarray:
+    """32-bit polynomial hash of each run of ``shingle`` code points, by doubling."""
+    out, length, at = None, 0, 0
+    power, width, step = points, 1, _STEP
+    left = shingle
+    while left:
+        if left & 1:
+            n = len(points) - shingle + 1
+            part = power[at:at + n]
+            out = part.copy() if out is None else out * np.uint32(pow(_STEP, width, 1 << 32)) + part
+            at, length = at + width, length + width
+        left >>= 1
+        if left:
+            power = power[:-width] * np.uint32(step) + power[width:]
+            width, step = 2 * width, step * step % (1 << 32)
+    return out
+
+
 def _mixed(h: np.ndarray, multiplier: int) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(multiplier)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint32(16))
+    h *= np.uint32(multiplier)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(_MULTIPLIERS[1])
+    h ^= h >> np.uint32(16)
+    return h
 
 
 def band_keys(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """(lines, bands) keys; every line needs at least ``shingle`` characters."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    owner = np.repeat(np.arange(len(lines)), size)
-    with np.errstate(over="ignore"):
-        h = points[:len(points) - shingle + 1].copy()
-        for j in range(1, shingle):
-            h *= np.uint64(1_000_003)
-            h += points[j:len(points) - shingle + 1 + j]
-        inside = owner[:len(h)] == owner[shingle - 1:]
-        h, owner = h[inside], owner[:len(h)][inside]
-        bins = bands * rows // HALVES
-        sig = []
-        for m in _MULTIPLIERS[:HALVES]:
-            v = _mixed(h, m)
-            low = np.full(len(lines) * bins, np.iinfo(np.uint64).max)
-            np.minimum.at(low, owner * bins + (v % np.uint64(bins)).astype(np.int64), v)
-            sig.append(_filled(low.reshape(len(lines), bins)))
-        sig = np.concatenate(sig, 1).reshape(len(lines), bands, rows)
-        key = np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(_MULTIPLIERS[1])
-        key = np.broadcast_to(key, sig.shape[:2]).copy()
-        for r in range(rows):
-            key = _mixed(key ^ sig[:, :, r], _MULTIPLIERS[0])
+    owner = np.repeat(np.arange(len(lines), dtype=np.int32), size)
+    bins = bands * rows // HALVES
+    none = np.uint32(0xFFFFFFFF)
+    low = [np.full(len(lines) * bins, none, np.uint32) for _ in range(HALVES)]
+    for i in range(0, len(points) - shingle + 1, PIECE):
+        piece = points[i:i + PIECE + shingle - 1]
+        own = owner[i:i + PIECE + shingle - 1]
+        inside = own[:len(own) - shingle + 1] == own[shingle - 1:]
+        h = _shingle_hashes(piece, shingle)[inside]
+        own = own[:len(inside)][inside] * np.int64(bins)
+        for half in range(HALVES):
+            v = _mixed(h + np.uint32(half), _MULTIPLIERS[half])
+            np.minimum.at(low[half], own + (((v >> np.uint32(16)) * np.uint32(bins)) >> np.uint32(16)), v)
+    sig = np.concatenate([_filled(x.reshape(len(lines), bins), none) for x in low], 1)
+    sig = sig.reshape(len(lines), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(_WIDE[0]), sig.shape[:2]).copy()
+    for r in range(rows):
+        key ^= sig[:, :, r]
+        key *= np.uint64(_WIDE[0])
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(_WIDE[1])
+        key ^= key >> np.uint64(32)
     return key.view(np.int64)
 
 
-def _filled(low: np.ndarray) -> np.ndarray:
+def _filled(low: np.ndarray, none: np.uint32) -> np.ndarray:
     """Give each empty bin the value of a fixed pseudo-random full one (densification)."""
-    none = np.iinfo(np.uint64).max
-    bins = low.shape[1]
     given = low.copy()
     rng = np.random.default_rng(SEED)
     while (empty := given == none).any():
-        other = rng.integers(0, bins, bins)
+        other = rng.integers(0, low.shape[1], low.shape[1])
         given = np.where(empty, low[:, other], given)
     return given
 
@@ -104,70 +130,96 @@ def banded(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
     return map_slices(docs.select("text"), run, "key long, lid long")
 
 
-def _to_leader(batches):
-    """Stream sorted by (key, lid) to (key, a, b): the key's first line with each other one."""
-    open_key, leader, last = None, None, None
+def _shared(batches):
+    """Stream sorted by (key, lid) to the distinct rows of keys with two lines or more."""
+    open_key, last, waiting, many = None, None, None, False
     for batch in batches:
         if not batch.num_rows:
             continue
         key, lid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lid"))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        first = lid[starts].copy()
-        if key[0] == open_key:
-            first[0] = leader
-        a = first.repeat(np.diff(np.r_[starts, len(key)]))
         again = np.r_[key[0] == open_key and lid[0] == last, (key[1:] == key[:-1]) & (lid[1:] == lid[:-1])]
-        keep = (a != lid) & ~again
-        open_key, leader, last = key[-1], first[-1], lid[-1]
-        yield record({"key": pa.int64(), "a": pa.int64(), "b": pa.int64()},
-                     {"key": key[keep], "a": a[keep], "b": lid[keep]})
+        key, lid = key[~again], lid[~again]
+        if not len(key):
+            continue
+        goes_on = key[0] == open_key
+        if goes_on and waiting is not None:
+            key, lid = np.r_[open_key, key], np.r_[waiting, lid]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        more = sizes > 1
+        more[0] |= goes_on and many
+        open_key, last, many = key[-1], lid[-1], bool(more[-1])
+        waiting = None if many else lid[-1]
+        keep = more.repeat(sizes)
+        yield record({"key": pa.int64(), "lid": pa.int64()}, {"key": key[keep], "lid": lid[keep]})
 
 
-def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
-    """Exact similarity of the shingle sets; a shorter line is its own only shingle."""
-    x, y = ({t[i:i + shingle] for i in range(max(1, len(t) - shingle + 1))} for t in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def shingles(line: str, shingle: int = SHINGLE) -> set[str]:
+    """The shingle set; a shorter line is its own only shingle."""
+    return {line[i:i + shingle] for i in range(max(1, len(line) - shingle + 1))}
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b, near) for distinct ``pairs(a, b)`` of line ids."""
-    joined = (pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a")
-              .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+    """(a, b, near) for distinct ``pairs(a, b)`` of line ids, by exact Jaccard similarity."""
+    joined = (pairs.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+              .join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a")
               .select("a", "b", "x", "y"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        near = [jaccard(x, y, shingle) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        near, line, own = [], None, set()
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            if x != line:               # the join leaves a leader's pairs together
+                line, own = x, shingles(x, shingle)
+            other = shingles(y, shingle)
+            both = len(own & other)
+            near.append(both >= similarity * (len(own) + len(other) - both))
         return record({"a": pa.int64(), "b": pa.int64(), "near": pa.bool_()},
                       {"a": b.column(0), "b": b.column(1), "near": near})
     return map_slices(joined, run, "a long, b long, near boolean")
 
 
-def line_links(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between different similar lines that keep every connection banding finds.
+def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY,
+                    rounds: int = ROUNDS) -> DataFrame:
+    """(node, root): components of different similar lines that share a band key.
 
-    Within a band key each line is compared with the first one. A line that
-    is not similar to the first is compared with all others of its key; two
-    lines that are both similar to the first are connected through it. So no
-    group emits all its pairs, and no size is treated differently.
+    Lines of a key are compared with one leader, so a key costs as many pairs
+    as it has lines, whatever its size. Lines that stay unconnected are
+    compared again, one line for each component in the key, with another
+    leader, up to ``rounds`` times. The leader follows a hash of the line and
+    the round, so the keys of a group agree on it and repeat no pair.
     """
-    pairs = stored(banded(docs, shingle).repartition("key").sortWithinPartitions("key", "lid")
-                   .mapInArrow(_to_leader, "key long, a long, b long"), "line-pairs")
-    lids = stored(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "line-ids")
-    n = lids.count()
+    keyed = stored(banded(docs, shingle).repartition("key").sortWithinPartitions("key", "lid")
+                   .mapInArrow(_shared, "key long, lid long"), "line-keys")
+    lids = stored(keyed.select("lid").distinct(), "line-ids")
     trimmed = F.trim(F.col("line"), F.lit(ASCII_SPACE))
     texts = stored(docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(trimmed.alias("line"))
                    .where("line <> ''").withColumn("lid", F.xxhash64("line"))
-                   .join(small_side(lids, n), "lid", "left_semi")
+                   .join(small_side(lids, lids.count()), "lid", "left_semi")
                    .groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
-    first = stored(verified(pairs.select("a", "b").distinct(), texts, shingle, similarity), "line-verified")
-    far = first.where("not near").select("a", "b")
-    alone = pairs.join(far, ["a", "b"]).select("key", F.col("b").alias("c"))
-    others = pairs.select("key", "b").distinct()
-    second = (alone.join(others, "key").where("b <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
-              .distinct())
-    second = verified(second, texts, shingle, similarity)
-    return first.unionByName(second).where("near").select("a", "b")
+    open_keys, tried, roots = keyed.withColumn("root", F.col("lid")), None, None
+    for turn in range(rounds):
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: B023, E731
+        reps = open_keys.groupBy("key", "root").agg(F.min(F.struct(rank("lid").alias("rank"), "lid")).alias("rep"))
+        leader = reps.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+        pairs = (reps.join(leader, "key").where(F.col("rep.lid") != F.col("leader.lid"))
+                 .select(F.col("leader.lid").alias("a"), F.col("rep.lid").alias("b")).distinct())
+        if tried is not None:
+            known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        checked = stored(verified(pairs, texts, shingle, similarity), "line-pairs")
+        tried = checked if tried is None else tried.unionByName(checked)
+        near = checked.where("near").select("a", "b")
+        if roots is not None:
+            near = near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = stored(components(near), "line-roots")
+        if checked.isEmpty() or turn + 1 == rounds:
+            break
+        # keys whose lines are not all connected stay open
+        now = (open_keys.select("key", "lid").join(roots.withColumnRenamed("node", "lid"), "lid", "left")
+               .select("key", "lid", F.coalesce("root", "lid").alias("root")))
+        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        open_keys = stored(now.join(mixed.select("key"), "key"), "line-open")
+    return roots
 
 
 def removals(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -177,7 +229,7 @@ def removals(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     hash and position.
     """
     occ = stored(occurrences(docs), "lines")
-    roots = components(line_links(docs, shingle, similarity))
+    roots = line_components(docs, shingle, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
     per_line = occ.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     member = stored(per_line.join(roots.withColumnRenamed("node", "lid"), "lid", "left")
