@@ -1,22 +1,27 @@
 """Operator 5: benchmark decontamination by a prefix-filtered set join.
 
-A window of an item is the set of its word shingles. A text that contains it
-whole contains every one of them, so by the prefix filter the rarest shingle
-alone is a necessary token. Shingles are ordered by their count in the whole
-corpus; a document position whose shingle is some window's token gives one
-candidate, whose start the token's place in the window fixes and whose end
-must lie in the text; the window's words are then compared with the text's.
-DataFrame functions only.
+A window of an item is the set of its one-word shingles with their places. A
+text that holds the window holds all of them, so by the prefix filter the
+rarest alone is a necessary token. Words are ordered by their count in the
+whole corpus; a document position that has some window's token gives one
+candidate, whose start the token's place fixes and whose end must lie in the
+text (the positional and the length bound); the words there are then compared
+with the window's. DataFrame functions only.
+
+The words of a document stay one array: exploding a plain column, joining a
+broadcast table and comparing slices are one generated loop, in which the
+array is never copied per word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binscope.llm.common import stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: what separates words once A-Z are lower-cased; splitting is linear in the text, extracting each match is not
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: windows up to which they are sent to every executor; beyond it tokens are shuffled
 BROADCAST_WINDOWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,34 +29,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text) -> F.Column:
     """Words of a text with A-Z lower-cased; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)),
-                      F.array().cast("array<string>"))
+    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN)
+    return F.array_remove(parts, "")
 
 
-def shingles(col: str, k: int) -> F.Column:
-    """Hashes of the ``k``-word shingles of array ``col`` by position."""
-    at = lambda i, j: F.get(F.col(col), i + j)
-    return F.when(F.size(col) >= k, F.transform(
-        F.sequence(F.lit(0), F.size(col) - k), lambda i: F.xxhash64(*[at(i, j) for j in range(k)]))
-        ).otherwise(F.array().cast("array<bigint>"))
+def windows(items: DataFrame, length: int = 10) -> DataFrame:
+    """(item_id, window, n): each item's windows of ``length`` words, all words of a shorter item as one.
 
-
-def windows(items: DataFrame, length: int = 10, shingle: int = 3) -> DataFrame:
-    """(item_id, window, n, k, tokens): each item's windows, all words of a shorter item as one.
-
-    ``k``: words of a shingle; ``tokens``: the window's shingle hashes by
-    place. Items without words have none.
+    Items without words have none.
     """
     w = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
-    cut = (w.withColumn("n", F.least(F.size("w"), F.lit(length))).where("n > 0")
-           .select("item_id", "n", F.explode(F.transform(
-               F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice("w", i, F.col("n")))).alias("w")))
-    k = F.least("n", F.lit(shingle))
-    tokens = F.lit(None)
-    for j in range(shingle, 0, -1):
-        tokens = F.when(F.col("k") == j, shingles("w", j)).otherwise(tokens)
-    return (cut.withColumn("k", k).select("item_id", F.array_join("w", " ").alias("window"), "n", "k",
-                                          tokens.alias("tokens")).distinct())
+    return (w.withColumn("n", F.least(F.size("w"), F.lit(length))).where("n > 0")
+            .select("item_id", "n", F.explode(F.transform(
+                F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice("w", i, F.col("n")))).alias("w"))
+            .select("item_id", F.array_join("w", " ").alias("window"), "n").distinct())
 
 
 def read_words(docs: DataFrame) -> DataFrame:
@@ -59,67 +50,55 @@ def read_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
 
 
-def positions(read: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
-    """One row per shingle: (``keep``..., k, pos, token), for each shingle length."""
-    out = None
-    for k in sizes:
-        part = read.select(*keep, F.posexplode(shingles("w", k)).alias("pos", "token")).withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def necessary_tokens(docs: DataFrame, wins: DataFrame, n_windows: int) -> DataFrame:
-    """(window, n, k, token, place): the rarest shingle of each window in the whole corpus."""
-    by_place = wins.select("window", "n", "k", F.posexplode("tokens").alias("place", "token")).distinct()
-    own = by_place.select("k", "token").distinct()
+    """(window, n, token, place, nth): the word of each window that is rarest in the whole corpus.
+
+    ``nth`` numbers the windows of a token from 0.
+    """
+    by_place = wins.select("window", "n").distinct().select(
+        "window", "n", F.posexplode(F.split("window", " ")).alias("place", "token"))
+    own = by_place.select("token").distinct()
     own = F.broadcast(own) if n_windows <= BROADCAST_WINDOWS else own
-    sizes = [r[0] for r in wins.select("k").distinct().orderBy("k").collect()]
-    seen = (positions(read_words(docs), sizes or [1], []).join(own, ["k", "token"])
-            .groupBy("k", "token").agg(F.count("*").alias("count")))
-    return (by_place.join(seen, ["k", "token"], "left")
-            .groupBy("window", "n", "k")
-            .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "place")).alias("x"))
-            .select("window", "n", "k", "x.token", "x.place"))
+    seen = (read_words(docs).select(F.explode("w").alias("token"))
+            .join(own, "token").groupBy("token").agg(F.count("*").alias("count")))
+    least = (by_place.join(seen, "token", "left").groupBy("window", "n")
+             .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "place")).alias("x"))
+             .select("window", "n", "x.token", "x.place"))
+    return least.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("window")) - 1)
 
 
 def matches(docs: DataFrame, tokens: DataFrame, n_windows: int) -> DataFrame:
-    """(doc_id, text_hash, window, start, n): verified occurrences, and one row per document with its words.
-
-    That row has a null window, start -1 and n words.
-    """
-    sizes = [r[0] for r in tokens.select("k").distinct().orderBy("k").collect()]
+    """(doc_id, text_hash, window, start, n, n_words): verified occurrences (n_words null), and for each
+    document row one row with its number of words (window null)."""
     read = read_words(docs)
     key = ["doc_id", "text_hash"]
-    fits = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w"))
-    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ") == F.col("window")
-    totals = read.select(*key, F.lit(None).cast("string").alias("window"), F.lit(-1).alias("start"), F.size("w").alias("n"))
+    start = F.col("pos") - F.col("place")
+    fits = (start >= 0) & (start + F.col("n") <= F.size("w"))
+    same = F.array_join(F.slice("w", start + 1, F.col("n")), " ") == F.col("window")
     if n_windows <= BROADCAST_WINDOWS:
-        found = None
-        for k in sizes:          # one scan: the marker row -1 of the first length carries the document's size
-            mark = k == sizes[0]
-            at = F.transform(shingles("w", k), lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
-            if mark:
-                at = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("token"))), at)
-            side = F.broadcast(tokens.where(F.col("k") == k).drop("k").withColumnRenamed("token", "t"))
-            part = (read.select(*key, "w", F.explode(at).alias("at")).select(*key, "w", "at.pos", "at.token")
-                    .join(side, (F.col("token") == F.col("t")) & (F.col("pos") >= 0), "left" if mark else "inner")
-                    .withColumn("start", F.col("pos") - F.col("place"))
-                    .where(((F.col("pos") < 0) if mark else F.lit(False)) | F.coalesce(fits & same, F.lit(False)))
-                    .select(*key, "window", F.when(F.col("pos") < 0, -1).otherwise(F.col("start")).alias("start"),
-                            F.when(F.col("pos") < 0, F.size("w")).otherwise(F.col("n")).alias("n")))
-            found = part if found is None else found.unionByName(part)
-        return found if sizes else totals
+        side = F.broadcast(tokens.withColumnRenamed("token", "t"))
+        at = (read.select(*key, "w", F.posexplode_outer("w").alias("pos", "word"))
+              .join(side, F.col("word") == F.col("t"), "left"))
+        hit = F.coalesce(fits & same, F.lit(False))
+        first = (F.coalesce("pos", F.lit(0)) == 0) & (F.coalesce("nth", F.lit(0)) == 0)
+        # a document's first word also carries its size
+        at = (at.select(*key, hit.alias("hit"), first.alias("first"), "window", start.alias("start"), "n",
+                        F.size("w").alias("size")).where("hit or first"))
+        return at.select(*key, F.when(F.col("hit"), F.col("window")).alias("window"), "start", "n",
+                         F.when(F.col("first"), F.col("size")).alias("n_words"))
     # many windows: candidates by a shuffle on the token, then back to the words by document
-    cand = (positions(read, sizes, key).join(tokens, ["k", "token"])
-            .select(*key, "window", (F.col("pos") - F.col("place")).alias("start"), "n").where("start >= 0").distinct())
+    cand = (read.select(*key, F.posexplode("w").alias("pos", "token"))
+            .join(tokens, "token").where(start >= 0).select(*key, "window", "pos", "place", "n").distinct())
     c = cand.alias("c")
     found = (read.dropDuplicates(key).alias("r").join(c, F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))
                                 & (F.col("r.text_hash") == F.col("c.text_hash")))
-             .where(fits & same).select("c.doc_id", "c.text_hash", "window", "start", "n"))
-    return found.unionByName(totals)
+             .where(fits & same).select("c.doc_id", "c.text_hash", "window", start.alias("start"), "n",
+                                        F.lit(None).cast("int").alias("n_words")))
+    return found.unionByName(read.select(*key, F.lit(None).cast("string").alias("window"), F.lit(0).alias("start"),
+                                         F.lit(0).alias("n"), F.size("w").alias("n_words")))
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = 10, shingle: int = 3) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, n_items, items, contaminated): one row per document row.
 
     ``n_hit``: words inside an occurrence of any window; ``items``: ids of
@@ -129,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, shingle:
     id; empty tables give no hits or no rows. Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    wins = stored(windows(items, length, shingle), "windows")
+    wins = stored(windows(items, length), "windows")
     n_windows = wins.count()
     tokens = stored(necessary_tokens(docs, wins, n_windows), "tokens")
     found = stored(matches(docs, tokens, n_windows), "matches")
@@ -142,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, shingle:
     owners = wins.where("item_id is not null").select("window", "item_id").distinct()
     in_items = (hits.select(*key, "window").distinct().join(owners, "window").groupBy(*key)
                 .agg(F.sort_array(F.collect_set("item_id")).alias("items")))
-    total = found.where("window is null").select(*key, F.col("n").cast("long").alias("n_words"))
+    total = found.where("n_words is not null").select(*key, F.col("n_words").cast("long").alias("n_words"))
     a, b, c = total.alias("a"), spans.alias("b"), in_items.alias("c")
     on = lambda x: F.col("a.doc_id").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col("a.text_hash") == F.col(f"{x}.text_hash"))
     return (a.join(b, on("b"), "left").join(c, on("c"), "left").select(
@@ -151,8 +130,8 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, shingle:
         .withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = 10, shingle: int = 3) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of an item."""
-    bad = (contamination(docs, items, length, shingle).where("contaminated")
+    bad = (contamination(docs, items, length).where("contaminated")
            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
