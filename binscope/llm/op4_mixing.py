@@ -17,14 +17,15 @@ from binscope.llm.common import small_side, stored
 
 #: bits of the hash per histogram level
 BITS = 12
-WORDS = r"[^\x20\x09-\x0D]+"
+#: what separates words; splitting is linear in the text, extracting each match is not
+BETWEEN = r"[\x20\x09-\x0D]+"
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, h): words of the text and a 63-bit hash of id, source and text."""
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+        F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), BETWEEN), "")).cast("long").alias("size"),
         F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)), 1).alias("h"))
 
 
@@ -78,13 +79,12 @@ def thresholds(docs: DataFrame, budgets: DataFrame, bits: int = BITS) -> DataFra
     # lo: lower end of the open bucket; spent: words under it
     state = budgets.select("source", F.col("budget").cast("double").alias("budget"), F.lit(0).cast("long").alias("lo"),
                            F.lit(0.0).alias("spent"))
-    done, level, shift = None, docs, 63
+    done, level, shift = None, docs.withColumn("lo", F.lit(0).cast("long")), 63
     while True:
         step = min(bits, shift)
         shift -= step
         bucket = F.shiftright(F.col("h") - F.col("lo"), shift)
-        hist = (level.withColumn("lo", F.lit(0).cast("long")) if done is None else level)
-        hist = (hist.groupBy("source", bucket.alias("b"))
+        hist = (level.groupBy("source", bucket.alias("b"))
                 .agg(F.sum("size").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")))
         run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         # at most 2^bits rows a source
