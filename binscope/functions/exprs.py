@@ -42,13 +42,23 @@ TEMPORAL_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
+def qcol(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def target_values(y: str, dtype: T.DataType) -> Column:
+    """A class target with NaN and infinities as null."""
+    return finite(qcol(y), dtype)
+
+
 def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES) or isinstance(dt, T.BooleanType)
 
 
 def finite(c: Column | str, dtype: T.DataType | None = None) -> Column:
     """NaN, +inf and -inf become null (floating columns only)."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     if dtype is not None and not isinstance(dtype, FLOAT_TYPES):
         return col
     return F.when(F.isnan(col) | col.isin(float("inf"), float("-inf")), F.lit(None)).otherwise(col)
@@ -64,7 +74,7 @@ def ntz_micros(col: Column) -> Column:
 
 def as_double(c: Column | str, dtype: T.DataType) -> Column:
     """Numeric view of a column: bool -> 0/1, temporal -> epoch seconds, strings parsed."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     if isinstance(dtype, T.BooleanType):
         return col.cast("int").cast("double")
     if isinstance(dtype, T.TimestampNTZType):

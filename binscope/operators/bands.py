@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import NUMERIC_TYPES
+from binscope.functions.exprs import qcol, NUMERIC_TYPES
 from binscope.operators.longform import exact_quantiles
 from binscope.operators.profile import finite_long
 
@@ -40,7 +40,7 @@ def quartile_bands(df: DataFrame, columns: Sequence[str] | None = None, suffix:
          for r in exact_quantiles(lng, [0.25, 0.5, 0.75]).collect()}   # 3 rows per column
     out = df
     for c in cols:
-        x = F.col(c).cast("double")
+        x = qcol(c).cast("double")
         q1, q2, q3 = (q.get((c, p)) for p in (0.25, 0.5, 0.75))
         band = (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("int"))
                 .when(x <= F.lit(q1), 1).when(x <= F.lit(q2), 2).when(x <= F.lit(q3), 3).otherwise(4))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import as_double
+from binscope.functions.exprs import qcol, target_values, as_double
 from binscope.operators.binning import solve as S
 from binscope.operators.binning import tables as B
 from binscope.session import materialize
@@ -57,7 +57,7 @@ def target_kind(df: DataFrame, y: str, estimator: str) -> str:
     """Regression -> continuous; Classification -> multiclass iff more than 2 classes."""
     if estimator.lower().startswith("reg"):
         return "continuous"
-    n = df.select(F.count_distinct(F.col(y))).first()[0]
+    n = df.select(F.count_distinct(target_values(y, _dtypes(df)[y]))).first()[0]
     return "multiclass" if n > 2 else "binary"
 
 
@@ -65,7 +65,7 @@ def choose_binning(df: DataFrame, y: str, estimator: str) -> DataFrame:
     """E2 as a table: ``(target, n_classes, kind)`` - continuous for regression, else binary or
     multiclass by the number of distinct target values (one aggregation)."""
     reg = estimator.lower().startswith("reg")
-    n = F.count_distinct(F.col(y))
+    n = F.count_distinct(target_values(y, _dtypes(df)[y]))
     return df.agg(n.alias("n_classes")).select(
         F.lit(y).alias("target"), F.col("n_classes").cast("long").alias("n_classes"),
         (F.lit("continuous") if reg else
@@ -74,35 +74,52 @@ def choose_binning(df: DataFrame, y: str, estimator: str) -> DataFrame:
 
 def _event_value(df: DataFrame, y: str):
     """Binary: the larger of the two values is the event."""
-    return df.select(F.max(F.col(y))).first()[0]
+    return df.select(F.max(target_values(y, _dtypes(df)[y]))).first()[0]
 
 
 def candidate_cuts(df: DataFrame, factors: Sequence[str], max_candidates: int = MAX_CANDIDATES,
                    accuracy: int = PERCENTILE_ACCURACY) -> dict[str, list[float]]:
-    """Up to ``max_candidates - 1`` quantile cuts per factor (existing values, deduplicated)."""
+    """Cuts per factor: every distinct value but the smallest, or ``max_candidates - 1`` quantiles.
+
+    Quantiles (existing values, deduplicated) are taken for factors with more
+    than ``max_candidates`` distinct values. Being approximate, they may differ
+    slightly with the partitioning.
+    """
     if not factors:
         return {}
     dt = _dtypes(df)
     probs = [i / max_candidates for i in range(1, max_candidates)]
-    cols = [as_double(F.col(f), dt[f]).alias(f"__x{i}") for i, f in enumerate(factors)]
+    cols = [as_double(qcol(f), dt[f]).alias(f"__x{i}") for i, f in enumerate(factors)]
     row = df.select(*cols).agg(*[F.percentile_approx(f"__x{i}", probs, accuracy).alias(f"__c{i}")
-                                 for i in range(len(factors))]).first()
+                                 for i in range(len(factors))],
+                               *[F.approx_count_distinct(f"__x{i}").alias(f"__d{i}") for i in range(len(factors))],
+                               *[F.min(f"__x{i}").alias(f"__m{i}") for i in range(len(factors))]).first()
+    # the estimate only picks the factors whose values are few enough to list exactly
+    few = [f for i, f in enumerate(factors) if row[f"__d{i}"] <= 1.5 * max_candidates]
+    listed = {}
+    if few:
+        from binscope.operators.longform import to_long
+        listed = {r["factor"]: r["vals"] for r in to_long(df, few).filter(F.col("x").isNotNull())
+                  .select("factor", "x").distinct().groupBy("factor")
+                  .agg(F.sort_array(F.collect_set("x")).alias("vals")).collect()}
     out = {}
     for i, f in enumerate(factors):
         vals = row[f"__c{i}"] or []
-        cuts = sorted(set(float(v) for v in vals if v is not None))
+        if f in listed and len(listed[f]) <= max_candidates:
+            vals = listed[f]
         # the smallest value opens the first bin anyway: a cut there leaves (-inf, min) empty
-        out[f] = cuts[1:] if len(cuts) > 1 else []
+        out[f] = sorted({float(v) for v in vals if v is not None and v > row[f"__m{i}"]})
     return out
 
 
 def _y_expr(df: DataFrame, y: str, kind: str, event_value=None) -> Column:
     dt = _dtypes(df)
     if kind == "continuous":
-        return as_double(F.col(y), dt[y])
+        return as_double(qcol(y), dt[y])
     if kind == "binary":
-        return F.when(F.col(y).isNull(), F.lit(None)).otherwise((F.col(y) == F.lit(event_value)).cast("int"))
-    return F.col(y).cast("string")
+        yv = target_values(y, dt[y])
+        return F.when(yv.isNull(), F.lit(None)).otherwise((yv == F.lit(event_value)).cast("int"))
+    return target_values(y, dt[y]).cast("string")
 
 
 def _stats_schema(kind: str) -> str:
@@ -129,7 +146,10 @@ def _solver(kind: str, cuts: dict[str, list[float]], classes: list[str], monoton
             g = pdf.groupby("fine_id").first().sort_index()
             fine_ids = g.index.to_numpy()
             if kind == "continuous":
-                st = g[["n", "sum_y", "sum_y2"]].to_numpy(dtype=float)
+                # sums around the factor's mean: squares keep their digits for targets far from zero
+                n, s, m2 = g[["n", "sum_y", "m2_y"]].to_numpy(dtype=float).T
+                d = s / np.maximum(n, 1) - s.sum() / max(n.sum(), 1)
+                st = np.c_[n, n * d, m2 + n * d * d]
             else:
                 st = g[["n", "events"]].to_numpy(dtype=float)
         regular = fine_ids <= k
@@ -171,11 +191,25 @@ def _solver(kind: str, cuts: dict[str, list[float]], classes: list[str], monoton
     return fn
 
 
+def _shifted(stats: DataFrame) -> DataFrame:
+    """Add ``__d``: a bin's mean less its factor's mean."""
+    w = Window.partitionBy("factor")
+    return stats.withColumn("__d", F.coalesce(F.col("sum_y") / F.col("n")
+                                              - F.sum("sum_y").over(w) / F.sum("n").over(w), F.lit(0.0)))
+
+
+def _merged_m2() -> Column:
+    """Squared differences around the merged bin's own mean, from ``_shifted`` rows."""
+    n, d = F.col("n"), F.col("__d")
+    return F.greatest(F.sum("m2_y") + F.sum(n * d * d) - F.sum(n * d) * F.sum(n * d) / F.sum("n"),
+                      F.lit(0.0)).alias("m2_y")
+
+
 def _merge_stats(fine: DataFrame, mapping: DataFrame, kind: str) -> DataFrame:
     j = fine.join(mapping.select("factor", "fine_id", "bin_id"), ["factor", "fine_id"])
     if kind == "continuous":
-        return j.groupBy("factor", "bin_id").agg(
-            F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), F.sum("sum_y2").alias("sum_y2"),
+        return _shifted(j).groupBy("factor", "bin_id").agg(
+            F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), _merged_m2(),
             F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.sum("zeros").alias("zeros"),
             F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"))
     if kind == "binary":
@@ -213,7 +247,7 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
     rows are pooled into one ``others`` category first.
     """
     parts = [F.struct(F.lit(f).alias("factor"), F.lit(first_position + i).alias("position"),
-                      F.col(f).cast("string").alias("category")) for i, f in enumerate(factors)]
+                      qcol(f).cast("string").alias("category")) for i, f in enumerate(factors)]
     lng = df.select(F.explode(F.array(*parts)).alias("__s"), y_expr.alias("y")).select("__s.*", "y") \
         .filter(F.col("y").isNotNull())
     if kind == "multiclass":
@@ -221,7 +255,7 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
     else:
         yy = F.col("y").cast("double")
         per = lng.groupBy("factor", "position", "category").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sum_y"), F.sum(yy * yy).alias("sum_y2"),
+            F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sum_y"), (F.var_pop(yy) * F.count(yy)).alias("m2_y"),
             F.min(yy).alias("min_y"), F.max(yy).alias("max_y"), F.count_if(yy == 0).alias("zeros"))
     per = materialize(per)   # one row per (factor, category[, class]): read by every step below
     pooled = None
@@ -234,21 +268,23 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
                                  F.lit(OTHERS)).otherwise(F.col("category")).alias("__unit")))
         keys = ["factor", "position", "__unit"] + (["class"] if kind == "multiclass" else [])
         sums = [F.sum("n").alias("n")] if kind == "multiclass" else [
-            F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), F.sum("sum_y2").alias("sum_y2"),
+            F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), _merged_m2(),
             F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.sum("zeros").alias("zeros")]
-        per = materialize(per.join(pooled, ["factor", "category"]).groupBy(*keys).agg(*sums)
+        with_unit = per.join(pooled, ["factor", "category"])
+        per = materialize((with_unit if kind == "multiclass" else _shifted(with_unit)).groupBy(*keys).agg(*sums)
                           .withColumnRenamed("__unit", "category"))
     metric_tbl = _metric_from(per, kind)
     # units: categories in (metric, category) order; null category -> Missing unit
     nonnull = metric_tbl.filter(F.col("category").isNotNull())
     counts = nonnull.groupBy("factor").count()
-    many = (counts.agg(F.max("count")).first()[0] or 0) > max_candidates
+    # decided per factor: one row per factor reaches the driver
+    many = [r["factor"] for r in counts.filter(F.col("count") > max_candidates).collect()]
+    w = Window.partitionBy("factor").orderBy("metric", "category")
+    units = nonnull.filter(~F.col("factor").isin(many)).withColumn("fine_id", F.dense_rank().over(w) - 1)
     if many:
         from binscope.operators.longform import with_value_buckets
-        units = with_value_buckets(nonnull, "factor", "metric", max_candidates // 2, out="fine_id")
-    else:
-        w = Window.partitionBy("factor").orderBy("metric", "category")
-        units = nonnull.withColumn("fine_id", F.dense_rank().over(w) - 1)
+        units = units.unionByName(with_value_buckets(nonnull.filter(F.col("factor").isin(many)), "factor", "metric",
+                                                     max_candidates // 2, out="fine_id"))
     nunits = units.groupBy("factor").agg(F.max("fine_id").alias("n_units"))
     unit_map = units.select("factor", "category", F.col("fine_id").cast("int").alias("fine_id"))
     unit_map = unit_map.join(nunits, "factor").unionByName(
@@ -268,8 +304,8 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
             F.lit(None).cast("double").alias("min_x"), F.lit(None).cast("double").alias("max_x"),
             F.first("n_units").alias("n_units"))
     else:
-        fine = joined.groupBy("factor", "fine_id").agg(
-            F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), F.sum("sum_y2").alias("sum_y2"),
+        fine = _shifted(joined).groupBy("factor", "fine_id").agg(
+            F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), _merged_m2(),
             F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.sum("zeros").alias("zeros"),
             F.lit(None).cast("double").alias("min_x"), F.lit(None).cast("double").alias("max_x"),
             F.first("n_units").alias("n_units"))
@@ -291,7 +327,7 @@ def _category_labels(unit_map: DataFrame, mapping: DataFrame, label_values: int
 
 
 def optimal_binning(df: DataFrame, factors: Sequence[str], y: str, kind: str = "continuous", *,
-                    categorical: Sequence[str] | None = None, monotonic_trend: str | None = "auto",
+                    categorical: Sequence[str] | None = None, numeric: Sequence[str] = (), monotonic_trend: str | None = "auto",
                     max_n_prebins: int = S.MAX_N_PREBINS, min_prebin_size: float = S.MIN_PREBIN_SIZE,
                     max_bin_size: float | None = None, min_bin_size: float | None = None,
                     max_candidates: int = MAX_CANDIDATES, event_value=None, cat_cutoff: float | None = None,
@@ -299,12 +335,14 @@ def optimal_binning(df: DataFrame, factors: Sequence[str], y: str, kind: str = "
     """E6-E9 + E18: optimal bins for every factor against ``y``.
 
     ``kind``: continuous (regression), binary or multiclass.  String factors (or
-    those listed in ``categorical``) are binned as categories.  Rows with a
+    those listed in ``categorical``) are binned as categories, but strings
+    listed in ``numeric`` as the numbers they hold.  Rows with a
     missing target are left out; ``drop_missing_x`` also drops rows whose factor
     is missing (the binning report), else they form the Missing bin.
     """
     dt = _dtypes(df)
-    cat = [f for f in factors if (categorical and f in categorical) or isinstance(dt[f], T.StringType)]
+    cat = [f for f in factors if (categorical and f in categorical)
+           or (isinstance(dt[f], T.StringType) and f not in numeric)]
     num = [f for f in factors if f not in cat]
     if kind == "binary" and event_value is None:
         event_value = _event_value(df, y)

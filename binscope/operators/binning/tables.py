@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import as_double, bin_index_expr, bin_label, short_label
+from binscope.functions.exprs import qcol, target_values, as_double, bin_index_expr, bin_label, short_label
 from binscope.session import materialize
 
 SPECIAL = "Special"
@@ -79,11 +79,11 @@ def assign_bins(df: DataFrame, factors: Sequence[str], splits: Mapping[str, Sequ
     """
     dt = _dtypes(df)
     splits = normalise_splits(splits)
-    xs = {f: as_double(F.col(f), dt[f]) for f in factors}
+    xs = {f: as_double(qcol(f), dt[f]) for f in factors}
     has_y = y is not None or y_expr is not None
     base = [xs[f].alias(f"__x{p}") for p, f in enumerate(factors)]
     if has_y:
-        base.append((y_expr if y_expr is not None else as_double(F.col(y), dt[y])).alias("y"))
+        base.append((y_expr if y_expr is not None else as_double(qcol(y), dt[y])).alias("y"))
     wide = df.select(*base)
     big = [p for p, f in enumerate(factors) if len(splits.get(f, [])) > TREE_MAX_CUTS]
     if big:
@@ -112,10 +112,14 @@ def assign_bins(df: DataFrame, factors: Sequence[str], splits: Mapping[str, Sequ
 # per-bin statistics (the only pass over the data)
 # ---------------------------------------------------------------------------
 def continuous_bin_stats(assigned: DataFrame) -> DataFrame:
-    """``(factor, bin_id, n, sum_y, sum_y2, min_y, max_y, zeros)`` over rows with y present."""
+    """``(factor, bin_id, n, sum_y, m2_y, min_y, max_y, zeros)`` over rows with y present.
+
+    ``m2_y`` is the sum of squared differences from the bin's mean (Spark's
+    updating formula: no cancellation for targets far from zero).
+    """
     y = F.col("y")
     return (assigned.filter(y.isNotNull()).groupBy("factor", "bin_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sum_y"), F.sum(y * y).alias("sum_y2"),
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sum_y"), (F.var_pop(y) * F.count(y)).alias("m2_y"),
         F.min(y).alias("min_y"), F.max(y).alias("max_y"), F.count_if(y == 0).alias("zeros"),
         F.min("x").alias("min_x"), F.max("x").alias("max_x")))
 
@@ -145,14 +149,15 @@ def _with_skeleton(stats: DataFrame, skeleton: DataFrame, fill: Sequence[str]) -
 
 def continuous_table_from_stats(stats: DataFrame, skeleton: DataFrame) -> DataFrame:
     """Bin, Count, Count %, Sum, Std, Mean, Min, Max, Zeros, WoE, IV + Totals."""
-    t = _with_skeleton(stats, skeleton, ["n", "sum_y", "sum_y2", "zeros"])
+    t = _with_skeleton(stats, skeleton, ["n", "sum_y", "m2_y", "zeros"])
     wf = Window.partitionBy("factor")
     n = F.col("n").cast("double")
     tot_n = F.sum("n").over(wf).cast("double")
     tot_sum = F.sum("sum_y").over(wf)
     mean_all = tot_sum / F.nullif(tot_n, F.lit(0.0))
     mean = F.col("sum_y") / F.nullif(n, F.lit(0.0))
-    var = F.greatest(F.col("sum_y2") / F.nullif(n, F.lit(0.0)) - mean * mean, F.lit(0.0))
+    var = F.col("m2_y") / F.nullif(n, F.lit(0.0))
+    around_all = F.coalesce(F.col("m2_y") + n * (mean - mean_all) * (mean - mean_all), F.lit(0.0))
     rows = t.select(
         "factor", "position", "bin_id", "bin", "kind", "lo", "hi",
         F.col("n").cast("long").alias("count"),
@@ -164,9 +169,9 @@ def continuous_table_from_stats(stats: DataFrame, skeleton: DataFrame) -> DataFr
         F.col("zeros").cast("long").alias("zeros"),
         F.coalesce(mean - mean_all, F.lit(0.0)).alias("woe"),
         F.coalesce(F.abs(mean - mean_all) * n / F.nullif(tot_n, F.lit(0.0)), F.lit(0.0)).alias("iv"),
-        F.col("sum_y2"), F.col("min_x"), F.col("max_x"))
+        around_all.alias("__ss"), F.col("min_x"), F.col("max_x"))
     totals = rows.groupBy("factor", "position").agg(
-        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.sum("sum_y2").alias("sum_y2"),
+        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.sum("__ss").alias("__ss"),
         F.min("min").alias("min"), F.max("max").alias("max"), F.sum("zeros").alias("zeros"),
         F.sum(F.abs("woe")).alias("woe"), F.sum("iv").alias("iv"),
         F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"))
@@ -177,10 +182,10 @@ def continuous_table_from_stats(stats: DataFrame, skeleton: DataFrame) -> DataFr
         F.lit("totals").alias("kind"), F.lit(None).cast("double").alias("lo"),
         F.lit(None).cast("double").alias("hi"), F.col("count").cast("long").alias("count"),
         F.when(tn > 0, F.lit(1.0)).alias("count_pct"), "sum",
-        F.sqrt(F.greatest(F.col("sum_y2") / F.nullif(tn, F.lit(0.0)) - tmean * tmean, F.lit(0.0))).alias("std"),
+        F.sqrt(F.col("__ss") / F.nullif(tn, F.lit(0.0))).alias("std"),
         tmean.alias("mean"), "min", "max", F.col("zeros").cast("long").alias("zeros"), "woe", "iv",
-        "sum_y2", "min_x", "max_x")
-    return rows.unionByName(totals).drop("sum_y2")
+        "__ss", "min_x", "max_x")
+    return rows.unionByName(totals).drop("__ss")
 
 
 def _xlogy_ratio(a: Column, b: Column) -> Column:
@@ -278,7 +283,8 @@ def binning_table_binary(df: DataFrame, factors: Sequence[str], y: str,
                          splits: Mapping[str, Sequence[float]], event_value=1,
                          special_codes: Sequence[float] = (), label_length: int | None = None) -> DataFrame:
     """E13 for given splits; y == event_value is an event."""
-    yy = F.when(F.col(y).isNull(), F.lit(None)).otherwise((F.col(y) == F.lit(event_value)).cast("int"))
+    yv = target_values(y, _dtypes(df)[y])
+    yy = F.when(yv.isNull(), F.lit(None)).otherwise((yv == F.lit(event_value)).cast("int"))
     a = assign_bins(df, factors, splits, y_expr=yy, special_codes=special_codes)
     sk = bin_skeleton(df.sparkSession, factors, normalise_splits(splits), label_length)
     return binary_table_from_stats(materialize(binary_bin_stats(a)), sk)
@@ -288,7 +294,7 @@ def binning_table_multiclass(df: DataFrame, factors: Sequence[str], y: str,
                              splits: Mapping[str, Sequence[float]], special_codes: Sequence[float] = (),
                              label_length: int | None = None) -> DataFrame:
     """E14 (long form, one row per bin and class) for given splits."""
-    yy = F.col(y).cast("string")
+    yy = target_values(y, _dtypes(df)[y]).cast("string")
     a = assign_bins(df, factors, splits, y_expr=yy, special_codes=special_codes)
     stats = materialize(multiclass_bin_stats(a))
     classes = stats.select("factor", "class").distinct()

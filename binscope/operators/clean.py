@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import FLOAT_TYPES, finite
+from binscope.functions.exprs import qcol, FLOAT_TYPES, finite
 
 
 def _dtypes(df: DataFrame) -> dict[str, T.DataType]:
@@ -43,14 +43,14 @@ def normalise_non_finite(df: DataFrame, columns: Sequence[str] | None = None) ->
     dt = _dtypes(df)
     cols = set(columns or df.columns)
     return df.select(*[
-        finite(F.col(c), dt[c]).alias(c) if c in cols and isinstance(dt[c], FLOAT_TYPES) else F.col(c)
+        finite(qcol(c), dt[c]).alias(c) if c in cols and isinstance(dt[c], FLOAT_TYPES) else qcol(c)
         for c in df.columns])
 
 
 def drop_null_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """B2: (x, y) with rows dropped where either is null, NaN or infinite."""
     dt = _dtypes(df)
-    return (df.select(finite(F.col(x), dt[x]).alias(x), finite(F.col(y), dt[y]).alias(y))
+    return (df.select(finite(qcol(x), dt[x]).alias(x), finite(qcol(y), dt[y]).alias(y))
               .na.drop(subset=[x, y]))
 
 
@@ -92,19 +92,19 @@ def fill_null_by_types(df: DataFrame, x_factors: Sequence[str], y: str,
     """
     dt = _dtypes(df)
     lookup = type_lookup(type_map)
-    out = df.filter(finite(F.col(y), dt[y]).isNotNull())
+    out = df.filter(finite(qcol(y), dt[y]).isNotNull())
     cols = []
     for x in x_factors:
         if x not in lookup:
             raise KeyError(x)
-        cols.append(F.coalesce(finite(F.col(x), dt[x]), fill_value(lookup[x], dt[x])).alias(x))
-    return out.select(*cols, F.col(y))
+        cols.append(F.coalesce(finite(qcol(x), dt[x]), fill_value(lookup[x], dt[x])).alias(x))
+    return out.select(*cols, qcol(y))
 
 
 def cast_float(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The given columns as double."""
     cs = set(columns)
-    return df.select(*[F.col(c).cast("double").alias(c) if c in cs else F.col(c) for c in df.columns])
+    return df.select(*[qcol(c).cast("double").alias(c) if c in cs else qcol(c) for c in df.columns])
 
 
 def round_report(df: DataFrame, digits: int = 3, special: Mapping[str, int] | None = None) -> DataFrame:
@@ -112,6 +112,6 @@ def round_report(df: DataFrame, digits: int = 3, special: Mapping[str, int] | No
     special = dict(special or {})
     dt = _dtypes(df)
     return df.select(*[
-        F.round(F.col(c), special.get(c, digits)).alias(c)
-        if isinstance(dt[c], (T.FloatType, T.DoubleType, T.DecimalType)) else F.col(c)
+        F.round(qcol(c), special.get(c, digits)).alias(c)
+        if isinstance(dt[c], (T.FloatType, T.DoubleType, T.DecimalType)) else qcol(c)
         for c in df.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import as_double, finite
+from binscope.functions.exprs import qcol, as_double, finite
 
 # distinct values per rank bucket the window sorts in one task
 RANK_BUCKET_ROWS = 2_000_000
@@ -34,11 +34,11 @@ def to_long(df: DataFrame, factors: Sequence[str], target: str | None = None,
             target_expr: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``(factor, position, x[, y], keep...)`` with x as double (non-finite -> null)."""
     schema = {f.name: f.dataType for f in df.schema.fields}
-    cols = [as_double(F.col(f), schema[f]).alias(f"__x{i}") for i, f in enumerate(factors)]
+    cols = [as_double(qcol(f), schema[f]).alias(f"__x{i}") for i, f in enumerate(factors)]
     ids = list(keep)
-    sel = [F.col(c) for c in ids]
+    sel = [qcol(c) for c in ids]
     if target is not None:
-        y = target_expr if target_expr is not None else as_double(F.col(target), schema[target])
+        y = target_expr if target_expr is not None else as_double(qcol(target), schema[target])
         sel.append(y.alias("y"))
         ids = ids + ["y"]
     wide = df.select(*sel, *cols)
@@ -178,7 +178,7 @@ def string_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     def as_text(c: str) -> Column:
         dt = schema[c]
-        col = F.col(c)
+        col = qcol(c)
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             # NaN is missing; -0.0 equals 0.0
             col = F.when(F.isnan(col), F.lit(None)).when(col == 0, F.lit(0.0).cast(dt)).otherwise(col)
@@ -211,7 +211,7 @@ def typed_value_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]
             continue
 
         def val(c: str, kind=kind) -> Column:
-            col = F.col(c)
+            col = qcol(c)
             if kind == "double":
                 col = col.cast("double")
                 return F.when(F.isnan(col), F.lit(None).cast("double")).when(col == 0, F.lit(0.0)).otherwise(col)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import (FLOAT_TYPES, NTZ_EPOCH, NUMERIC_TYPES, TEMPORAL_TYPES, TOKEN_RE,
+from binscope.functions.exprs import (qcol, FLOAT_TYPES, NTZ_EPOCH, NUMERIC_TYPES, TEMPORAL_TYPES, TOKEN_RE,
                                       WORD_RE, ntz_micros)
 from pyspark import StorageLevel
 
@@ -47,7 +47,7 @@ def _numeric_cols(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 
 def _missing(c: str, dt: T.DataType) -> Column:
-    col = F.col(c)
+    col = qcol(c)
     if isinstance(dt, FLOAT_TYPES):
         return col.isNull() | F.isnan(col)
     return col.isNull()
@@ -62,7 +62,7 @@ def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     dt = _dtypes(df)
 
     def raw(c: str) -> Column:
-        col = F.col(c)
+        col = qcol(c)
         if isinstance(dt[c], T.BooleanType):
             return col.cast("int").cast("double")
         v = col.cast("double")
@@ -314,7 +314,7 @@ def profile_datetime(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     dt = _dtypes(df)
     parts = []
     for i, c in enumerate(columns):
-        col = F.col(c)
+        col = qcol(c)
         ntz = isinstance(dt[c], T.TimestampNTZType)
         if not isinstance(dt[c], TEMPORAL_TYPES):
             col = F.to_timestamp(col)
@@ -343,7 +343,7 @@ def profile_datetime(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def profile_boolean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """True / false counts and shares (of non-null values)."""
     parts = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
-                      F.col(c).cast("boolean").alias("b")) for i, c in enumerate(columns)]
+                      qcol(c).cast("boolean").alias("b")) for i, c in enumerate(columns)]
     lng = df.select(F.explode(F.array(*parts)).alias("__s")).select("__s.*")
     s = lng.groupBy("column_name", "position").agg(
         F.count_if(F.col("b")).alias("n_true"), F.count_if(~F.col("b")).alias("n_false"),
@@ -358,7 +358,7 @@ def profile_boolean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def profile_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct count and min / mean / max length (characters) per text column."""
     parts = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
-                      F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)]
+                      qcol(c).cast("string").alias("v")) for i, c in enumerate(columns)]
     lng = df.select(F.explode(F.array(*parts)).alias("__s")).select("__s.*").filter(F.col("v").isNotNull())
     per_value = lng.groupBy("column_name", "position", "v").agg(F.count(F.lit(1)).alias("cnt"))
     ln = F.length("v")
@@ -419,8 +419,8 @@ def word_frequencies(df: DataFrame, columns: Sequence[str], tokenizer: str = "wo
     ``tokens`` = the tokens of the text rule (latin words, every other character alone)."""
     pattern = WORD_RE if tokenizer == "words" else TOKEN_RE
     parts = [F.struct(F.lit(c).alias("column_name"),
-                      (F.lower(F.col(c).cast("string")) if tokenizer == "words"
-                       else F.col(c).cast("string")).alias("v")) for c in columns]
+                      (F.lower(qcol(c).cast("string")) if tokenizer == "words"
+                       else qcol(c).cast("string")).alias("v")) for c in columns]
     lng = df.select(F.explode(F.array(*parts)).alias("__s")).select("__s.*")
     toks = lng.select("column_name", F.explode(F.regexp_extract_all("v", F.lit(pattern), 0)).alias("token"))
     return toks.groupBy("column_name", "token").agg(F.count(F.lit(1)).alias("cnt"))
@@ -445,8 +445,8 @@ def profile_monotonic(df: DataFrame, columns: Sequence[str], order_by: str,
     from binscope.operators.longform import with_value_buckets
     cols = _numeric_cols(df, columns)
     parts = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
-                      F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
-    lng = (df.select(F.col(order_by).alias("__o"), F.explode(F.array(*parts)).alias("__s"))
+                      qcol(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    lng = (df.select(qcol(order_by).alias("__o"), F.explode(F.array(*parts)).alias("__s"))
            .select("__o", "__s.*").filter(F.col("v").isNotNull() & ~F.isnan("v") & F.col("__o").isNotNull()))
     n = df.count()
     nb = max(1, -(-n // rows_per_bucket))

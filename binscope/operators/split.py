@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binscope.functions.exprs import qcol
+
 SPLIT_BUCKETS = 1000
 
 
@@ -14,7 +16,7 @@ def split_by_samples(df: DataFrame, train_share: float = 0.8, key_columns: Seque
                      seed: int = 42) -> DataFrame:
     """Adds ``split`` = train / test from a hash of the key columns (stable across runs
     and retries: a recomputed partition gives every row the same side)."""
-    keys = [F.col(c) for c in (key_columns or df.columns)]
+    keys = [qcol(c) for c in (key_columns or df.columns)]
     h = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(SPLIT_BUCKETS))
     return df.withColumn("split", F.when(h < int(round(train_share * SPLIT_BUCKETS)), F.lit("train"))
                          .otherwise(F.lit("test")))
@@ -22,6 +24,6 @@ def split_by_samples(df: DataFrame, train_share: float = 0.8, key_columns: Seque
 
 def split_by_datetime(df: DataFrame, column: str, point: str) -> DataFrame:
     """Adds ``split`` = train (before ``point``) / test (at or after it); nulls go to test."""
-    ts = F.col(column).cast("timestamp")
+    ts = qcol(column).cast("timestamp")
     return df.withColumn("split", F.when(ts < F.to_timestamp(F.lit(point)), F.lit("train"))
                          .otherwise(F.lit("test")))

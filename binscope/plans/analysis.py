@@ -50,9 +50,10 @@ def binning_factor_table(types_long: DataFrame, x_factors: Sequence[str]) -> Dat
     return order.join(num, "factor")   # both sides: one row per column
 
 
-def _string_factors(df: DataFrame, xs: Sequence[str]) -> list[str]:
+def _string_factors(df: DataFrame, xs: Sequence[str], type_map: Mapping[str, Sequence[str]]) -> list[str]:
+    """Factors binned as categories: strings that the type map does not call Numeric."""
     dt = {f.name: f.dataType for f in df.schema.fields}
-    return [x for x in xs if isinstance(dt[x], T.StringType)]
+    return [x for x in xs if isinstance(dt[x], T.StringType) and x not in type_map.get("Numeric", [])]
 
 
 def _bins_array(table: DataFrame) -> DataFrame:
@@ -70,9 +71,9 @@ def fit_regression(df: DataFrame, x_factors: Sequence[str], y_factor: str,
     # a narrow projection of the input: recomputed from the (pruned) scan, never copied
     filled = fill_null_by_types(df, xs, y_factor, type_map)
     params = dict(binning_fit_params or {})
-    res = O.optimal_binning(filled, xs, y_factor, "continuous", **params)
+    numerical = [x for x in xs if x not in _string_factors(filled, xs, type_map)]
+    res = O.optimal_binning(filled, xs, y_factor, "continuous", **{"numeric": numerical, **params})
     table = materialize(res.table)
-    numerical = [x for x in xs if x not in _string_factors(filled, xs)]
     if numerical:
         lng = to_long(filled, numerical, target=y_factor)
         corr = R.rank_correlations(lng)   # one pre-aggregation of (factor, x, y) for both
@@ -109,9 +110,9 @@ def fit_classification(df: DataFrame, x_factors: Sequence[str], y_factor: str,
     # a narrow projection of the input: recomputed from the (pruned) scan, never copied
     filled = fill_null_by_types(df, xs, y_factor, type_map)
     kind = O.target_kind(filled, y_factor, "classification")
-    res = O.optimal_binning(filled, xs, y_factor, kind, **dict(binning_fit_params or {}))
+    numerical = [x for x in xs if x not in _string_factors(filled, xs, type_map)]
+    res = O.optimal_binning(filled, xs, y_factor, kind, **{"numeric": numerical, **dict(binning_fit_params or {})})
     table = materialize(res.table)
-    numerical = [x for x in xs if x not in _string_factors(filled, xs)]
     raw = G.factor_stats(df, xs, numerical)
     if kind == "binary":
         summ = B.binary_summary(table)
@@ -195,7 +196,8 @@ def binning_analysis(df: DataFrame, x_factors: Sequence[str], y_factor: str, est
     if kind == "continuous":
         params = {**dict(max_n_prebins=S.REPORT_MAX_N_PREBINS, min_prebin_size=S.REPORT_MIN_PREBIN_SIZE,
                          max_bin_size=S.REPORT_MAX_BIN_SIZE, monotonic_trend="auto"), **params}
-    res = O.optimal_binning(df, factors, y_factor, kind, drop_missing_x=True, **params)
+    # every factor here is Numeric by the type map: strings are read as the numbers they hold
+    res = O.optimal_binning(df, factors, y_factor, kind, drop_missing_x=True, **{"numeric": factors, **params})
     table = materialize(res.table)
     out = {"table": table, "summary": res.summary, "splits": res.splits}
     if kind == "multiclass":
@@ -204,4 +206,6 @@ def binning_analysis(df: DataFrame, x_factors: Sequence[str], y_factor: str, est
         metric = "mean" if kind == "continuous" else "event_rate"
         out["series"] = FS.bin_series(table, metric)
         out["actual_scale"] = FS.actual_scale_series(table, metric)
+        if kind == "binary":
+            out["woe_series"] = FS.bin_series(table, "woe")
     return out

@@ -336,22 +336,23 @@ def assigned_sql(src: str, splits: dict[str, list[float]], y_sql: str) -> str:
 
 def continuous_table_sql(src: str, cte: str, splits, y: str, label_length=None) -> str:
     return with_ctes(cte, skeleton_sql(splits, label_length), assigned_sql(src, splits, f"CAST({y} AS DOUBLE)"),
-                     """st AS (SELECT factor, bin_id, count(*) AS n, sum(y) AS sum_y, sum(y * y) AS sum_y2,
+                     """st AS (SELECT factor, bin_id, count(*) AS n, sum(y) AS sum_y, stddev_pop(y) AS sd,
   min(y) AS min_y, max(y) AS max_y, count(*) FILTER (WHERE y = 0) AS zeros, min(x) AS min_x, max(x) AS max_x
   FROM d WHERE y IS NOT NULL GROUP BY 1, 2)""",
                      """t AS (SELECT sk.*, coalesce(n, 0) AS n, coalesce(sum_y, 0) AS sum_y,
-  coalesce(sum_y2, 0) AS sum_y2, min_y, max_y, coalesce(zeros, 0) AS zeros, min_x, max_x,
+  sd, min_y, max_y, coalesce(zeros, 0) AS zeros, min_x, max_x,
   sum(coalesce(n, 0)) OVER (PARTITION BY sk.factor) AS tot_n,
   sum(coalesce(sum_y, 0)) OVER (PARTITION BY sk.factor) AS tot_sum
   FROM sk LEFT JOIN st ON sk.factor = st.factor AND sk.bin_id = st.bin_id)""",
                      """r AS (SELECT factor, position, bin_id, bin, kind, lo, hi, CAST(n AS BIGINT) AS count,
   n / nullif(tot_n, 0) AS count_pct, sum_y AS sum,
-  sqrt(greatest(sum_y2 / nullif(n, 0) - (sum_y / nullif(n, 0)) * (sum_y / nullif(n, 0)), 0)) AS std,
+  sd AS std,
   sum_y / nullif(n, 0) AS mean, min_y AS min, max_y AS max, CAST(zeros AS BIGINT) AS zeros,
   coalesce(sum_y / nullif(n, 0) - tot_sum / nullif(tot_n, 0), 0) AS woe,
   coalesce(abs(sum_y / nullif(n, 0) - tot_sum / nullif(tot_n, 0)) * n / nullif(tot_n, 0), 0) AS iv,
-  sum_y2, min_x, max_x FROM t)""",
-                     """tt AS (SELECT factor, position, sum(count) AS count, sum(sum) AS sum, sum(sum_y2) AS sum_y2,
+  min_x, max_x FROM t)""",
+                     """sa AS (SELECT factor AS f, stddev_pop(y) AS sd_all FROM d WHERE y IS NOT NULL GROUP BY 1)""",
+                     """tt AS (SELECT factor, position, sum(count) AS count, sum(sum) AS sum,
   min(min) AS min, max(max) AS max, sum(zeros) AS zeros, sum(abs(woe)) AS woe, sum(iv) AS iv,
   min(min_x) AS min_x, max(max_x) AS max_x FROM r GROUP BY 1, 2)""") + \
         """SELECT factor, position, bin_id, bin, kind, round(lo, 6) AS lo, round(hi, 6) AS hi, count,
@@ -361,9 +362,9 @@ def continuous_table_sql(src: str, cte: str, splits, y: str, label_length=None)
 UNION ALL
 SELECT factor, position, CAST(NULL AS INTEGER), 'Totals', 'totals', NULL, NULL, CAST(count AS BIGINT),
   CASE WHEN count > 0 THEN 1.0 END, round(sum, 2),
-  round(sqrt(greatest(sum_y2 / nullif(count, 0) - (sum / nullif(count, 0)) * (sum / nullif(count, 0)), 0)), 4),
+  round(sd_all, 4),
   round(sum / nullif(count, 0), 4), round(min, 6), round(max, 6), CAST(zeros AS BIGINT), round(woe, 4),
-  round(iv, 4), round(min_x, 6), round(max_x, 6) FROM tt"""
+  round(iv, 4), round(min_x, 6), round(max_x, 6) FROM tt LEFT JOIN sa ON sa.f = tt.factor"""
 
 
 def binary_table_body_sql() -> list[str]:
@@ -660,7 +661,28 @@ SQL["read_tsv"] = _RT
 SQL["read_parquet_table"] = _RT
 SQL["read_json_table"] = _RT
 SQL["read_xml_table"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
-SQL["read_table_encoded"] = "SELECT doc_id, lang, source FROM documents"
+SQL["read_json_lines"] = _RT
+SQL["read_table_encoded"] = "SELECT doc_id, translate(text, chr(10) || chr(13), '  ') AS text, lang, source FROM documents"
+SQL["detect_encoding"] = "SELECT 'gb18030' AS written, 'GB18030' AS found UNION ALL SELECT 'utf8', 'utf8'"
+SQL["replace_in_text_file"] = """SELECT replace(replace(replace(l, 'the', 'THE'), 'a', ''), 'THE', 't') AS value
+FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)"""
+_BIN4 = """CASE WHEN x < 10 THEN 0 WHEN x < 20 THEN 1 WHEN x < 40 THEN 2 ELSE 3 END"""
+_LABELS4 = """(VALUES (0, '(-inf, 10.00)'), (1, '[10.00, 20.00)'), (2, '[20.00, 40.00)'), (3, '[40.00, inf)'),
+  (4, 'Special'), (5, 'Missing')) AS k(b, bin)"""
+SQL["binning_table_large_offset"] = f"""WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS x,
+  CAST(1.7e9 AS DOUBLE) + CAST(l_discount AS DOUBLE) AS y FROM lineitem),
+g AS (SELECT {_BIN4} AS b, count(*) AS n, stddev_pop(y) AS sd FROM d GROUP BY 1)
+SELECT 'l_quantity' AS factor, bin, coalesce(n, 0) AS count, round(sd, 4) AS std FROM {_LABELS4} LEFT JOIN g USING (b)
+UNION ALL SELECT 'l_quantity', 'Totals', count(*), round(stddev_pop(y), 4) FROM d"""
+_NAN = """d AS (SELECT CAST(l_quantity AS DOUBLE) AS x, l_linenumber % 2 AS y FROM lineitem WHERE l_orderkey % 7 <> 0)"""
+SQL["choose_binning_nan"] = f"WITH {_NAN} SELECT 'y' AS target, count(DISTINCT y) AS n_classes, 'binary' AS kind FROM d"
+SQL["binning_table_binary_nan"] = f"""WITH {_NAN}, g AS (SELECT {_BIN4} AS b, count(*) AS n, sum(y) AS e FROM d GROUP BY 1)
+SELECT 'l.quantity' AS factor, bin, coalesce(n, 0) AS count, CAST(coalesce(e, 0) AS BIGINT) AS event
+FROM {_LABELS4} LEFT JOIN g USING (b)
+UNION ALL SELECT 'l.quantity', 'Totals', count(*), CAST(sum(y) AS BIGINT) FROM d"""
+SQL["candidate_bins_distinct"] = " UNION ALL ".join(
+    f"(SELECT DISTINCT '{f}' AS factor, CAST({f} AS DOUBLE) AS cut FROM lineitem WHERE {f} > (SELECT min({f}) FROM lineitem))"
+    for f in ("l_quantity", "l_discount", "l_linenumber"))
 
 SQL["column_flags_documents"] = f"""
 SELECT column_name, position,

@@ -577,13 +577,78 @@ def q_read_xml(spark, d):
         F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
-@register("read_table_encoded")
-def q_read_encoded(spark, d):
-    docs = X.table(spark, d, "documents").select("doc_id", "lang", "source")
+@register("read_json_lines")
+def q_read_json_lines(spark, d):
+    """JSON Lines of whole lineitem through read_table, which finds the form itself."""
+    out = scratch_dir(spark, "jsonl")
+    RD.write_report_tables({"t": X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                                                      "l_returnflag")}, out, "json")
+    return RD.read_table(spark, f"{out}/t").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+def _gb18030(spark, d) -> str:
+    docs = X.table(spark, d, "documents").withColumn("text", F.translate("text", "\n\r", "  "))
     RD.ensure_charsets(spark)
     out = scratch_dir(spark, "gb")
-    docs.write.option("header", "true").option("encoding", "GB18030").mode("overwrite").csv(f"{out}/t")
-    return RD.read_table(spark, f"{out}/t/*.csv").select("doc_id", "lang", "source")
+    (docs.select("doc_id", "text", "lang", "source").write.option("header", "true").option("encoding", "GB18030")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").mode("overwrite").csv(f"{out}/t"))
+    return f"{out}/t"
+
+
+@register("read_table_encoded")
+def q_read_encoded(spark, d):
+    return RD.read_table(spark, _gb18030(spark, d)).select("doc_id", "text", "lang", "source")
+
+
+@register("detect_encoding")
+def q_detect_encoding(spark, d):
+    """UTF-8 and GB18030 copies of the documents' texts, and the encoding found for each."""
+    out = scratch_dir(spark, "utf")
+    X.table(spark, d, "documents").select("text").write.mode("overwrite").text(out)
+    return spark.createDataFrame([("gb18030", RD.detect_encoding(spark, _gb18030(spark, d))),
+                                  ("utf8", RD.detect_encoding(spark, out))], "written string, found string")
+
+
+@register("replace_in_text_file")
+def q_replace_file(spark, d):
+    """All lines of all documents, blank ones included, after ordered replacements in a file."""
+    out = scratch_dir(spark, "lines")
+    lines = X.table(spark, d, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value"))
+    lines.write.mode("overwrite").text(f"{out}/in")
+    return RD.replace_in_text_file(spark, f"{out}/in", f"{out}/out", {"the": "THE", "a": "", "THE": "t"})
+
+
+@register("binning_table_large_offset")
+def q_large_offset(spark, d):
+    """E12 for a target near 1.7e9 whose differences are small."""
+    li = X.table(spark, d, "lineitem").withColumn("y", F.lit(1.7e9) + F.col("l_discount").cast("double"))
+    t = B.binning_table_continuous(li, ["l_quantity"], "y", {"l_quantity": [10.0, 20.0, 40.0]})
+    return t.select("factor", "bin", "count", F.round("std", 4).alias("std"))
+
+
+def _nan_target(spark, d):
+    """lineitem with a class target that is NaN for a seventh of the orders, and a dotted column."""
+    li = X.table(spark, d, "lineitem")
+    y = F.when(F.col("l_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("l_linenumber") % 2).cast("double"))
+    return li.select("l_orderkey", F.col("l_quantity").cast("double").alias("l.quantity"), y.alias("y"))
+
+
+@register("choose_binning_nan")
+def q_choose_nan(spark, d):
+    return O.choose_binning(_nan_target(spark, d), "y", "classification")
+
+
+@register("binning_table_binary_nan")
+def q_binary_nan(spark, d):
+    t = B.binning_table_binary(_nan_target(spark, d), ["l.quantity"], "y", {"l.quantity": [10.0, 20.0, 40.0]}, 1.0)
+    return t.select("factor", "bin", "count", "event")
+
+
+@register("candidate_bins_distinct")
+def q_candidates(spark, d):
+    """E4 for factors of few values: every distinct value but the smallest is a cut."""
+    cuts = O.candidate_cuts(X.table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_linenumber"])
+    return spark.createDataFrame([(f, float(c)) for f, cs in cuts.items() for c in cs], "factor string, cut double")
 
 
 @register("semantic_types_lineitem")

@@ -1,24 +1,27 @@
 """Readers, encoding detection, literal replacement and report sinks.
 
-All reads are Spark reads (splittable where the format allows); the encoding
-check is a distributed count of lines holding U+FFFD, the replacement
-character a decoder emits for bytes it cannot map.
+All reads are Spark reads (splittable where the format allows), and paths are
+looked up in the file system Spark uses for them. The encoding check is a
+distributed count: of lines that are not valid UTF-8 bytes, and for other
+encodings of lines holding U+FFFD, the replacement character a decoder emits
+for bytes it cannot map.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: encodings tried in this order when none is given
 ENCODINGS = ("utf8", "GB18030", "gbk", "big5")
-SUFFIX_FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".xml": "xml", ".parquet": "parquet",
-                  ".txt": "csv"}
-REPLACEMENT_CHAR = "�"
+SUFFIX_FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json", ".xml": "xml",
+                  ".parquet": "parquet", ".txt": "csv"}
+REPLACEMENT_CHAR = "\ufffd"
+SINKS = ("parquet", "csv", "json")
 
 
 def ensure_charsets(spark: SparkSession) -> None:
@@ -27,49 +30,61 @@ def ensure_charsets(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def _suffix(path: str) -> str:
-    p = path.rstrip("/")
-    if "://" in p:   # remote file system: the name decides (pass fmt= for folders)
-        return os.path.splitext(p)[1].lower()
-    if os.path.isdir(p):
-        names = sorted(n for n in os.listdir(p) if not n.startswith((".", "_")))
-        if not names:
-            raise ValueError(f"no data files in {path!r}")
-        p = names[0]
-    elif any(ch in p for ch in "*?["):
-        hits = sorted(glob.glob(p))
-        if not hits:
-            raise ValueError(f"no file matches {path!r}")
-        p = hits[0]
-    ext = os.path.splitext(p)[1].lower()
-    if ext == "" and p.endswith(".snappy.parquet"):
-        ext = ".parquet"
-    return ext
-
-
-def format_of(path: str) -> str:
-    ext = _suffix(path)
-    if ext not in SUFFIX_FORMATS:
-        raise ValueError(f"unsupported file type {ext!r} for {path!r}; expected one of {sorted(SUFFIX_FORMATS)}")
-    return SUFFIX_FORMATS[ext]
+def is_utf8(encoding: str) -> bool:
+    return encoding.lower().replace("-", "") == "utf8"
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files behind a path, folder or pattern, by Hadoop's file system; empty if there are none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
+    for status in fs.globStatus(where) or []:
+        if status.isDirectory():
+            names += [x.getPath().getName() for x in fs.listStatus(status.getPath())]
+        else:
+            names.append(status.getPath().getName())
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def format_of(path: str, names: Sequence[str] = ()) -> str:
+    """The format by the suffix of the path, else of its first data file."""
+    found = [os.path.splitext(n.rstrip("/"))[1].lower() for n in (path, *names[:1])]
+    for ext in found:
+        if ext in SUFFIX_FORMATS:
+            return SUFFIX_FORMATS[ext]
+    raise ValueError(f"unsupported file type {found[-1]!r} for {path!r}; expected one of {sorted(SUFFIX_FORMATS)}")
+
+
+def decoded_lines(spark: SparkSession, path: str, encoding: str = "utf8") -> DataFrame:
+    """``(value)``: every line, blank ones included.
+
+    Line feeds are split on bytes, which is safe for UTF-8 and for encodings
+    whose second bytes are never control characters (GB18030, GBK, Big5).
+    """
+    lines = spark.read.text(path)
+    if is_utf8(encoding):
+        return lines
+    ensure_charsets(spark)
+    return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
 
 
 def bad_lines(spark: SparkSession, path: str, encoding: str) -> int:
-    """Lines that hold U+FFFD when the file is decoded with ``encoding`` (one distributed count)."""
+    """Lines that ``encoding`` does not decode (one distributed count)."""
+    if is_utf8(encoding):
+        return spark.read.text(path).filter(~F.is_valid_utf8(F.col("value"))).count()
     lines = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
-             .option("header", "false").csv(path))
+             .option("header", "false").schema("_c0 string").csv(path))
     return lines.filter(F.instr(F.col("_c0"), REPLACEMENT_CHAR) > 0).count()
 
 
 def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
-    """The first encoding that decodes every line without a replacement character."""
+    """The first encoding that decodes every line."""
     ensure_charsets(spark)
+    known = spark._jvm.java.nio.charset.Charset
     for enc in encodings:
-        try:
-            if bad_lines(spark, path, enc) == 0:
-                return enc
-        except Exception:  # noqa: BLE001 - an unknown charset just moves on to the next one
-            continue
+        if known.isSupported(enc) and bad_lines(spark, path, enc) == 0:
+            return enc
     raise ValueError(f"none of the encodings {list(encodings)} decodes {path!r} cleanly")
 
 
@@ -83,9 +98,25 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     return r.csv(path)
 
 
-def read_json_table(spark: SparkSession, path: str, encoding: str = "utf8", multi_line: bool = True) -> DataFrame:
-    """A2: a JSON array of records (or JSON lines with ``multi_line=False``)."""
-    df = spark.read.option("multiLine", str(multi_line).lower()).option("encoding", encoding).json(path)
+def read_json_table(spark: SparkSession, path: str, encoding: str = "utf8",
+                    multi_line: bool | None = None) -> DataFrame:
+    """A2: JSON Lines, or one array of records.
+
+    ``multi_line=None`` looks: text that begins with a bracket is an array,
+    and text whose lines are not records themselves is read whole.
+    """
+    def read(whole: bool) -> DataFrame:
+        r = spark.read.option("multiLine", str(whole).lower()).option("encoding", encoding)
+        return r.json(path) if whole else r.option("lineSep", "\n").json(path)
+    if multi_line is None:
+        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+        multi_line = bool(first) and first[0]["value"].lstrip("\ufeff \t").startswith("[")
+        if not multi_line:
+            df = read(False)
+            if "_corrupt_record" not in df.columns:
+                return df
+            multi_line = True
+    df = read(multi_line)
     fields = df.schema.fields
     if fields and all(f.dataType.typeName() == "struct" for f in fields) and multi_line:
         n = df.limit(2).count()
@@ -111,9 +142,10 @@ def read_table(spark: SparkSession, path: str, encodings: Sequence[str] | None =
     Raises a ``ValueError`` for a missing path, an unknown suffix or when no
     encoding fits (instead of returning nothing).
     """
-    if not any(ch in path for ch in "*?[") and not os.path.exists(path) and "://" not in path:
-        raise ValueError(f"no such file or folder: {path!r}")
-    fmt = fmt.lower() if fmt else format_of(path)
+    names = data_files(spark, path)
+    if not names:
+        raise ValueError(f"no such file or folder, or no data files in it: {path!r}")
+    fmt = fmt.lower() if fmt else format_of(path, names)
     if fmt == "parquet":
         return spark.read.parquet(path)
     ensure_charsets(spark)
@@ -138,21 +170,24 @@ def replace_literals(col: Column, mapping: Mapping[str, str]) -> Column:
 
 def replace_in_text_file(spark: SparkSession, in_path: str, out_path: str, mapping: Mapping[str, str],
                          encoding: str = "utf8") -> DataFrame:
-    """A5 on files: every line of ``in_path`` with the replacements applied, written as text."""
-    ensure_charsets(spark)
-    lines = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
-             .option("header", "false").csv(in_path))
-    out = lines.select(F.coalesce(replace_literals(F.col("_c0"), mapping), F.lit("")).alias("value"))
+    """A5 on files: every line of ``in_path``, blank ones too, with the replacements applied, written as text."""
+    out = decoded_lines(spark, in_path, encoding).select(replace_literals(F.col("value"), mapping).alias("value"))
     out.write.mode("overwrite").text(out_path)
     return spark.read.text(out_path)
 
 
 def write_report_tables(tables: Mapping[str, DataFrame], out_dir: str, fmt: str = "parquet",
                         partition_by: Sequence[str] | None = None) -> dict[str, str]:
-    """One dataset per report table (``{name: path}``)."""
+    """One dataset per report table (``{name: path}``); CSV gets arrays as ``[a, b]``."""
+    if fmt not in SINKS:
+        raise ValueError(f"unknown format {fmt!r}; expected one of {list(SINKS)}")
     paths = {}
     for name, df in tables.items():
         p = f"{out_dir.rstrip('/')}/{name}"
+        if fmt == "csv":
+            df = df.select(*[F.concat(F.lit("["), F.array_join(F.col(f"`{f.name}`").cast("array<string>"), ", ", "null"),
+                                      F.lit("]")).alias(f.name) if isinstance(f.dataType, T.ArrayType)
+                             else F.col(f"`{f.name}`") for f in df.schema.fields])
         w = df.write.mode("overwrite")
         if partition_by and all(c in df.columns for c in partition_by):
             w = w.partitionBy(*partition_by)
