@@ -60,3 +60,41 @@ def test_cat_cutoff_pools_rare_categories(spark):
     assert any("r0" in r.bin for r in t)          # the pooled categories are listed in their bin
     full = optimal_binning(df, ["c"], "y", "binary", min_prebin_size=0.0).table
     assert full.filter("kind = 'totals'").first()["count"] == 1000
+
+
+def test_split_counts_are_the_inner_nodes(spark):
+    from pyspark.ml.regression import GBTRegressor
+    from binscope.operators.factors import assemble_features, split_counts
+    rng = np.random.default_rng(7)
+    rows = [(float(a), float(b), float(3 * a + b * b)) for a, b in rng.normal(size=(500, 2))]
+    df = spark.createDataFrame(rows, "label double, features double, y double")     # names the vectors use too
+    data, slots, _ = assemble_features(df, ["label", "features"], {"Numeric": ["label", "features"]}, F.col("y"))
+    model = GBTRegressor(maxIter=5, seed=1).fit(data)
+    data.unpersist()
+    assert slots == ["label", "features"]
+    assert sum(split_counts(model, 2)) == sum((t.numNodes - 1) // 2 for t in model.trees)
+
+
+def test_noise_factors_score_far_below_the_signal(spark):
+    from binscope.operators.factors import importance_classification, importance_regression
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 3))
+    df = spark.createDataFrame([(*map(float, r), float(10 * r[0]), "abc"[int(np.digitize(r[0], [-0.5, 0.5]))]) for r in x],
+                               "s double, n1 double, n2 double, y double, c string")
+    tm = {"Numeric": ["s", "n1", "n2"]}
+    for table in (importance_regression(df, ["s", "n1", "n2"], "y", tm, n_trees=15),
+                  importance_classification(df, ["s", "n1", "n2"], "c", tm, n_trees=6)):
+        v = {r.factor: r.feature_importance for r in table.collect()}
+        assert max(v["n1"], v["n2"]) < 0.1 * v["s"]
+
+
+def test_nan_targets_and_numeric_strings(spark):
+    from binscope.operators.binning.optimal import target_kind
+    from binscope.plans.analysis import binning_analysis
+    rows = [(str(i % 50), float(i % 2) if i % 3 else float("nan")) for i in range(600)]
+    df = spark.createDataFrame(rows, "`a.b` string, y double")
+    assert target_kind(df, "y", "classification") == "binary"
+    out = binning_analysis(df, ["a.b"], "y", "classification", {"Numeric": ["a.b"], "Categorical": ["y"]})
+    bins = out["table"].filter("kind = 'regular'").collect()
+    assert sum(r["count"] for r in bins) == 400 and bins[0]["bin"].startswith("(-inf")
+    assert out["woe_series"].count() == out["series"].count()

@@ -63,3 +63,24 @@ def test_replace_in_text_file(spark):
         expected.append(line)
     assert sorted(r.value for r in out.collect()) == sorted(expected)
     assert "<b>Report</b>" in expected
+
+
+def test_json_forms_and_blank_lines(spark, tmp_path):
+    import pytest
+    from binscope.sources import readers as R
+    lines, array, text = tmp_path / "l.json", tmp_path / "a.json", tmp_path / "t.txt"
+    lines.write_text("\n".join('{"a": %d, "b": "x"}' % i for i in range(5)) + "\n")
+    array.write_text('[\n {"a": 1, "b": "x"},\n {"a": 2, "b": "y"}\n]')
+    assert R.read_table(spark, str(lines)).count() == 5
+    assert R.read_table(spark, str(array)).count() == 2
+    text.write_text("one\n\n   \ntwo�\n")
+    assert R.detect_encoding(spark, str(text)) == "utf8"
+    got = [r.value for r in R.replace_in_text_file(spark, str(text), str(tmp_path / "o"), {"o": "0"}).collect()]
+    assert got == ["0ne", "", "   ", "tw0�"]
+    with pytest.raises(ValueError):
+        R.read_table(spark, str(tmp_path / "missing.csv"))
+    arrays = spark.createDataFrame([([1, 2],)], "bins array<int>")
+    p = R.write_report_tables({"t": arrays}, str(tmp_path / "out"), "csv")["t"]
+    assert spark.read.option("header", "true").csv(p).first()["bins"] == "[1, 2]"
+    with pytest.raises(ValueError):
+        R.write_report_tables({"t": arrays}, str(tmp_path / "out"), "orc2")
