@@ -2,9 +2,10 @@
 
 Distinct lines are represented by the minima of two one-permutation hashes of
 their character shingles; bands of them bring similar lines together; lines
-that collide are verified against leaders by exact Jaccard similarity of the
-shingle sets; a distributed union-find forms the classes, and one line of each
-stays in the corpus.
+that collide are verified by exact Jaccard similarity of the shingle sets,
+first against a leader, then the lines of a key that are still in different
+components against each other in blocks; a distributed union-find forms the
+classes, and one line of each stays in the corpus.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscope.llm.common import ASCII_SPACE, components, map_slices, record, small_side, stored
+from binscope.llm.common import ASCII_SPACE, Forest, components, map_slices, record, small_side, stored
 
 SEED = 42
 #: characters of a shingle and the least similarity
@@ -30,8 +31,12 @@ _MULTIPLIERS = (0x7FEB352D, 0x846CA68B)
 _WIDE = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 #: code points hashed at a time: the arrays stay in the processor's cache
 PIECE = 1 << 15
-#: times that lines of a key which are not yet connected are compared with a new leader
+#: most rounds against leaders before the lines left are compared in blocks
 ROUNDS = 3
+#: lines outside a key's largest component that a block holds, and lines compared with them in one group
+BLOCK, PROBES = 128, 4096
+#: leader rounds end once the blocks need at most so many rows for each line of an open key
+ENOUGH = 4
 
 
 def line_id(line: str) -> int:
@@ -178,15 +183,87 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return map_slices(joined, run, "a long, b long, near boolean")
 
 
+def _blocks(open_keys: DataFrame, block: int, probes: int) -> DataFrame:
+    """(key, block, part, held, lid, root): the comparisons that are left, as groups of bounded size.
+
+    Lines of a key's largest component need no comparison with each other. The
+    others are dealt into blocks; a group holds the lines of one block and a
+    part of the lines to compare with them: the largest component and the
+    lines of later blocks.
+    """
+    of_root = open_keys.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = (of_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
+             .select("key", F.col("main.root").alias("main"),
+                     F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("blocks"),
+                     F.ceil(F.col("n") / probes).cast("int").alias("parts")))
+    placed = (open_keys.join(sizes, "key").withColumn("major", F.col("root") == F.col("main"))
+              .withColumn("own", F.when(F.col("major"), F.col("blocks")).otherwise(F.pmod(F.xxhash64("lid", "key"), "blocks")).cast("int"))
+              .withColumn("at", F.pmod(F.xxhash64("key", "lid"), "parts").cast("int")))
+    held = (placed.where("not major").select("key", F.col("own").alias("block"),
+                                             F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                                             F.lit(True).alias("held"), "lid", "root"))
+    probing = (placed.where("own > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("block"),
+                                              F.col("at").alias("part"), F.lit(False).alias("held"), "lid", "root"))
+    return held.unionByName(probing)
+
+
+def _compared(shingle: int, similarity: float):
+    """Stream of groups, held lines first, to links (a, b) between different components.
+
+    Memory: the held lines of one group. Within a group a link that joins
+    nothing new is neither looked for nor given.
+    """
+    def near(x: set[str], y: set[str]) -> bool:
+        least, most = sorted((len(x), len(y)))
+        if least < similarity * most:
+            return False
+        both = len(x & y)
+        return both >= similarity * (least + most - both)
+
+    def top(forest: Forest, root: int) -> int:
+        return forest.find(root) if root in forest.parent else root
+
+    def run(batches):
+        group, held, forest = None, [], Forest()
+        for batch in batches:
+            out = []
+            for key, block, part, is_held, lid, root, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, block, part) != group:
+                    group, held, forest = (key, block, part), [], Forest()
+                own = shingles(line, shingle)
+                # the lines of a block are compared with each other in its first part only
+                if not is_held or part == 0:
+                    mine = top(forest, root)
+                    for other, other_root, theirs in held:
+                        if top(forest, other_root) != mine and near(own, theirs):
+                            forest.join(root, other_root)
+                            mine = forest.find(root)
+                            out.append((other, lid))
+                if is_held:
+                    held.append((lid, root, own))
+            yield record({"a": pa.int64(), "b": pa.int64()}, {"a": [a for a, _ in out], "b": [b for _, b in out]})
+    return run
+
+
+def remaining_links(open_keys: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY,
+                    block: int = BLOCK, probes: int = PROBES) -> DataFrame:
+    """(a, b): links that connect all similar lines of a key of ``open_keys(key, lid, root)``."""
+    group = ["key", "block", "part"]
+    return (_blocks(open_keys, block, probes).join(texts, "lid").select(*group, "held", "lid", "root", "line")
+            .repartition(*group).sortWithinPartitions(*group, F.desc("held"))
+            .mapInArrow(_compared(shingle, similarity), "a long, b long").distinct())
+
+
 def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY,
-                    rounds: int = ROUNDS) -> DataFrame:
+                    rounds: int = ROUNDS, block: int = BLOCK, probes: int = PROBES) -> DataFrame:
     """(node, root): components of different similar lines that share a band key.
 
-    Lines of a key are compared with one leader, so a key costs as many pairs
-    as it has lines, whatever its size. Lines that stay unconnected are
-    compared again, one line for each component in the key, with another
-    leader, up to ``rounds`` times. The leader follows a hash of the line and
-    the round, so the keys of a group agree on it and repeat no pair.
+    Every similar pair that shares a key is connected. Lines of a key are
+    first compared with one leader, which costs as many pairs as it has lines;
+    the leader follows a hash of the line and the round, so the keys of a
+    group agree on it and repeat no pair. Keys whose lines are then not all
+    connected stay open: if their comparisons are many, another leader is
+    tried, up to ``rounds`` in all; the rest is compared in blocks.
     """
     keyed = stored(banded(docs, shingle).repartition("key").sortWithinPartitions("key", "lid")
                    .mapInArrow(_shared, "key long, lid long"), "line-keys")
@@ -196,7 +273,7 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
                    .where("line <> ''").withColumn("lid", F.xxhash64("line"))
                    .join(small_side(lids, lids.count()), "lid", "left_semi")
                    .groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
-    open_keys, tried, roots = keyed.withColumn("root", F.col("lid")), None, None
+    open_keys, tried, near = keyed.withColumn("root", F.col("lid")), None, None
     for turn in range(rounds):
         rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: B023, E731
         reps = open_keys.groupBy("key", "root").agg(F.min(F.struct(rank("lid").alias("rank"), "lid")).alias("rep"))
@@ -208,18 +285,20 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         checked = stored(verified(pairs, texts, shingle, similarity), "line-pairs")
         tried = checked if tried is None else tried.unionByName(checked)
-        near = checked.where("near").select("a", "b")
-        if roots is not None:
-            near = near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        near = tried.where("near").select("a", "b")
         roots = stored(components(near), "line-roots")
-        if checked.isEmpty() or turn + 1 == rounds:
-            break
-        # keys whose lines are not all connected stay open
-        now = (open_keys.select("key", "lid").join(roots.withColumnRenamed("node", "lid"), "lid", "left")
+        now = (keyed.join(roots.withColumnRenamed("node", "lid"), "lid", "left")
                .select("key", "lid", F.coalesce("root", "lid").alias("root")))
         mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         open_keys = stored(now.join(mixed.select("key"), "key"), "line-open")
-    return roots
+        if turn + 1 < rounds:
+            of_root = open_keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+                F.sum("n").alias("n"), F.max("n").alias("main"))
+            work = of_root.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ceil((F.col("n") - F.col("main")) / block)).alias("rows")).first()
+            if (work["rows"] or 0) <= ENOUGH * (work["n"] or 0):
+                break
+    rest = stored(remaining_links(open_keys, texts, shingle, similarity, block, probes), "line-rest")
+    return stored(components(near.unionByName(rest)), "line-roots")
 
 
 def removals(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -248,6 +248,33 @@ def test_lines(spark, sf_dir):
             assert r.n_removed == len(gone)
 
 
+@pytest.mark.parametrize("block,probes,rounds", [(128, 4096, 3), (2, 3, 1)])
+def test_lines_of_a_key_lose_no_link(spark, block, probes, rounds):
+    """Components are those of all similar pairs that share a band key, also for many blocks and parts."""
+    from binscope.llm import op9_lines as L
+    rng = random.Random(4)
+    base = " ".join(f"w{rng.randrange(10 ** 5)}" for _ in range(40))
+    lines = set()
+    for _ in range(150):                    # chains of copies whose ends are no longer alike
+        words = base.split()
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(40)] = f"v{rng.randrange(300)}"
+        lines.add(" ".join(words))
+    lines = sorted(lines)
+    keys, grams = L.band_keys(lines), [L.shingles(x) for x in lines]
+    forest = {L.line_id(x): L.line_id(x) for x in lines}
+    for i in range(len(lines)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if (keys[i] == keys[j]).any() and both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                a, b = forest[L.line_id(lines[i])], forest[L.line_id(lines[j])]
+                forest = {k: min(a, b) if v in (a, b) else v for k, v in forest.items()}
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = dict.fromkeys(forest)
+    got.update({r.node: r.root for r in L.line_components(docs, rounds=rounds, block=block, probes=probes).collect()})
+    assert {k: v if v is not None else k for k, v in got.items()} == forest
+
+
 def test_quality(spark, sf_dir, sf001):
     got = Q.op1(spark, sf_dir).collect()
     assert len(got) == len(docs_of(spark, sf_dir))
