@@ -35,6 +35,8 @@ PIECE = 1 << 15
 ROUNDS = 3
 #: lines outside a key's largest component that a block holds, and lines compared with them in one group
 BLOCK, PROBES = 128, 4096
+#: bits of a line's shingle map
+MAP_BITS = 1024
 #: leader rounds end once the blocks need at most so many rows for each line of an open key
 ENOUGH = 4
 
@@ -211,14 +213,14 @@ def _compared(shingle: int, similarity: float):
     """Stream of groups, held lines first, to links (a, b) between different components.
 
     Memory: the held lines of one group. Within a group a link that joins
-    nothing new is neither looked for nor given.
+    nothing new is neither looked for nor given. Shingles fall into the bits
+    of a map: a bit that only one of two lines has is a shingle they do not
+    share, which bounds their common shingles from above and rules most
+    unlike lines out; the others are compared exactly.
     """
     def near(x: set[str], y: set[str]) -> bool:
-        least, most = sorted((len(x), len(y)))
-        if least < similarity * most:
-            return False
         both = len(x & y)
-        return both >= similarity * (least + most - both)
+        return both >= similarity * (len(x) + len(y) - both)
 
     def top(forest: Forest, root: int) -> int:
         return forest.find(root) if root in forest.parent else root
@@ -231,16 +233,23 @@ def _compared(shingle: int, similarity: float):
                 if (key, block, part) != group:
                     group, held, forest = (key, block, part), [], Forest()
                 own = shingles(line, shingle)
+                bits = 0
+                for x in own:
+                    bits |= 1 << hash(x) % MAP_BITS
+                size, doubled = len(own), len(own) - bits.bit_count()
                 # the lines of a block are compared with each other in its first part only
                 if not is_held or part == 0:
                     mine = top(forest, root)
-                    for other, other_root, theirs in held:
+                    for other, other_root, theirs, their_bits, their_size, their_doubled in held:
+                        most = (bits & their_bits).bit_count() + min(doubled, their_doubled)
+                        if most < similarity * (size + their_size - most):
+                            continue
                         if top(forest, other_root) != mine and near(own, theirs):
                             forest.join(root, other_root)
                             mine = forest.find(root)
                             out.append((other, lid))
                 if is_held:
-                    held.append((lid, root, own))
+                    held.append((lid, root, own, bits, size, doubled))
             yield record({"a": pa.int64(), "b": pa.int64()}, {"a": [a for a, _ in out], "b": [b for _, b in out]})
     return run
 
