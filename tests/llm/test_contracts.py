@@ -313,6 +313,45 @@ def test_chat_segments_follow_the_whole_path(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("conv", [None, 7])
+def test_chat_crowded_turns_follow_the_whole_path(spark, monkeypatch, conv):
+    """Repeated and missing turns, more than a segment holds: small segments, the roles of one Viterbi run."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from binscope.llm import op6_chat as C
+    monkeypatch.setattr(C, "SEGMENT", 5)
+    monkeypatch.setattr(C, "PART", 7, raising=False)
+    held, order = spark.sparkContext.accumulator(0), C._order
+
+    def counted(pdf):
+        out = order(pdf)
+        held.add(int(out["w"].sum() if "w" in out else len(out)) > 20)
+        return out
+    monkeypatch.setattr(C, "_order", counted)
+    rng = random.Random(3)
+    text = lambda i: f"{i} " + "w " * rng.choice((10, 30, 100, 200)) + rng.choice(("?", ""))
+    rows = [(conv, t, rng.choice(C.ROLES + [None]), text(t)) for t in range(-3, 30)]
+    rows += [(conv, 4, "user", "same")] * 90 + [(conv, 2, "assistant", text(i)) for i in range(60)]
+    rows += [(conv, None, None, text(i)) for i in range(40)] + [(conv, None, None, None)] * 33
+    rows += [(8, 0, "user", "hi?"), (8, 1, "assistant", "ho")]
+    turns = C.observed(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    model = C.fit(turns)
+    count, known = np.ones((3, 3)), [r for r in rows if r[2] and r[1] is not None]
+    for a in known:
+        for b in known:
+            if a[0] == b[0] and a[1] + 1 == b[1]:
+                count[C.ROLES.index(a[2]), C.ROLES.index(b[2])] += 1
+    assert np.allclose(model["trans"], np.log(count / count.sum(1, keepdims=True)))
+    seen = turns.withColumn("tie", F.xxhash64("text")).collect()
+    want = []
+    for c in (conv, 8):
+        mine = sorted((r for r in seen if r.conv_id == c), key=lambda r: (r.turn is None, r.turn or 0, r.tie))
+        path = C.viterbi(np.array([r.obs for r in mine]), model)
+        want += [(c, r.turn, r.text, C.ROLES[s]) for r, s in zip(mine, path)]
+    same([tuple(r) for r in C.recover_roles(turns, model).collect()], want)
+    assert held.value == 0
+
+
 def test_chat_raw_transcript(spark):
     from binscope.llm import op6_chat as C
     raw = spark.createDataFrame([(1, "User: hi there?\nAssistant: hello\nmore\n\nHuman: ok\nBot: bye"), (2, None), (3, "")],
