@@ -10,7 +10,9 @@ for bytes it cannot map.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ def decoded_lines(spark: SparkSession, path: str, encoding: str = "utf8") -> Dat
     if is_utf8(encoding):
         return lines
     ensure_charsets(spark)
-    return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+    return lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
 
 
 def bad_lines(spark: SparkSession, path: str, encoding: str) -> int:
@@ -98,24 +100,50 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     return r.csv(path)
 
 
+def whole_json_files(spark: SparkSession, path: str, encoding: str = "utf8") -> tuple[list[str], list[str]]:
+    """Files of JSON Lines, and files that hold one JSON text over several lines, by one pass over all lines.
+
+    A file is one text if its first line is not a record by itself and either
+    an array spans the file or less than half of its lines are records; so bad
+    lines, the first or the last one too, leave a file JSON Lines.
+    """
+    line = F.trim(F.regexp_replace("value", "^\ufeff", ""), F.lit(" \t\r"))
+    lines = (decoded_lines(spark, path, encoding).select(line.alias("line"), F.col("_metadata.file_path").alias("file"), F.struct(
+        F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")).where("line <> ''"))
+    record = (F.json_object_keys("line").isNotNull() | F.json_array_length("line").isNotNull()) & F.col("line").rlike(r"[}\]]$")
+    files = lines.withColumn("record", record).groupBy("file").agg(
+        F.min_by(F.struct("record", "line"), "at").alias("first"), F.max_by("line", "at").alias("last"),
+        F.avg(F.col("record").cast("int")).alias("records"))
+    spans = F.col("first.line").startswith("[") & F.col("last").endswith("]")
+    found = files.select("file", (~F.col("first.record") & (spans | (F.col("records") < 0.5))).alias("whole")).collect()
+    escaped = {r["file"]: re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(r["file"])) for r in found}
+    return [sorted(escaped[r["file"]] for r in found if r["whole"] == w) for w in (False, True)]
+
+
 def read_json_table(spark: SparkSession, path: str, encoding: str = "utf8",
                     multi_line: bool | None = None) -> DataFrame:
     """A2: JSON Lines, or one array of records.
 
-    ``multi_line=None`` looks: text that begins with a bracket is an array,
-    and text whose lines are not records themselves is read whole.
+    ``multi_line=None`` looks: if some line is not a record by itself, each
+    file is read by lines or whole (:func:`whole_json_files`). Bad lines
+    become rows with a ``_corrupt_record``; all other records stay.
     """
-    def read(whole: bool) -> DataFrame:
-        r = spark.read.option("multiLine", str(whole).lower()).option("encoding", encoding)
-        return r.json(path) if whole else r.option("lineSep", "\n").json(path)
+    def read(whole: bool, files: str | list[str] = path, **options) -> DataFrame:
+        r = spark.read.option("multiLine", str(whole).lower()).option("encoding", encoding).options(**options)
+        return r.json(files) if whole else r.option("lineSep", "\n").json(files)
     if multi_line is None:
-        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-        multi_line = bool(first) and first[0]["value"].lstrip("\ufeff \t").startswith("[")
-        if not multi_line:
-            df = read(False)
-            if "_corrupt_record" not in df.columns:
-                return df
-            multi_line = True
+        df = read(False)
+        if "_corrupt_record" not in df.columns:
+            return df
+        by_line, whole = whole_json_files(spark, path, encoding)
+        if not whole:
+            return df
+        if by_line:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+            base = {"basePath": path} if fs.exists(where) and fs.getFileStatus(where).isDirectory() else {}
+            return read(False, by_line, **base).unionByName(read(True, whole, **base), allowMissingColumns=True)
+        multi_line = True
     df = read(multi_line)
     fields = df.schema.fields
     if fields and all(f.dataType.typeName() == "struct" for f in fields) and multi_line:

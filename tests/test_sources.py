@@ -84,3 +84,27 @@ def test_json_forms_and_blank_lines(spark, tmp_path):
     assert spark.read.option("header", "true").csv(p).first()["bins"] == "[1, 2]"
     with pytest.raises(ValueError):
         R.write_report_tables({"t": arrays}, str(tmp_path / "out"), "orc2")
+
+
+def test_json_lines_with_bad_lines_keep_every_record(spark, tmp_path):
+    from binscope.sources import readers as R
+    good = ['{"a": %d, "b": "甲 {x} [%d]"}' % (i, i) for i in range(50)]
+    pretty = '[\n {\n  "a": 100,\n  "b": "p"\n },\n {\n  "a": 101,\n  "b": "q"\n }\n]\n'
+    last, first, mixed, gb = (tmp_path / n for n in ("last", "first", "mi xed", "gb"))
+    for d in (last, first, mixed, gb):
+        d.mkdir()
+    (last / "1.json").write_text("\n".join(good[:25]) + "\n", "utf8")
+    (last / "2.json").write_text("\n".join(good[25:]) + '\n{"a": 7, "b": "cut', "utf8")
+    (first / "1.json").write_text('{"a": 7,\n' + "\n".join(good), "utf8")
+    (mixed / "1 x.json").write_text(pretty, "utf8")
+    (mixed / "2 [y].json").write_text("not json\n" + "\n\n".join(good), "utf8")
+    (gb / "1.json").write_text("\n".join([*good[:9], "bad", *good[9:]]), "gb18030")
+    want = {(i, f"甲 {{x}} [{i}]") for i in range(50)}
+    for path, more in ((last, set()), (first, set()), (f"{tmp_path}/mi*", {(100, "p"), (101, "q")}), (gb, set())):
+        got = R.read_table(spark, str(path), fmt="json").collect()
+        assert {(r.a, r.b) for r in got if r._corrupt_record is None} == want | more
+        assert len(got) == len(want | more) + 1
+    (tmp_path / "pretty.json").write_text(pretty)
+    (tmp_path / "nested.json").write_text('{"rows": [\n{"x": 1},\n{"x": 2},\n{"x": 3}\n], "n": 3}')
+    assert R.read_table(spark, str(tmp_path / "pretty.json")).count() == 2
+    assert [x.x for x in R.read_table(spark, str(tmp_path / "nested.json")).first().rows] == [1, 2, 3]
