@@ -50,9 +50,9 @@ def main() -> None:
                                                             "quality", "binary").table,
         "kendall_tau_b": lambda: R.kendall_tau_b(to_long(li(), three, target="l_extendedprice")),
         "spearman": lambda: R.spearman(to_long(li(), three, target="l_extendedprice")),
-        "factor_analysis_regression": lambda: A.fit_regression(li(), X.REG_X, "l_extendedprice", n_trees=20),
+        "factor_analysis_regression": lambda: A.fit_regression(li(), X.REG_X, "l_extendedprice", n_trees=50),
         "factor_analysis_classification": lambda: A.fit_classification(li(), X.BIN_X, "l_returnflag",
-                                                                       n_trees=20),
+                                                                       n_trees=50),
         "word_frequencies": lambda: P.word_frequencies(X.table(spark, sf_dir, "documents"), ["text"]),
     }
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]

@@ -417,14 +417,14 @@ def q_join_tokens(spark, d):
 def q_imp_reg(spark, d):
     li = X.table(spark, d, "lineitem")
     tm = A.type_map_of(li, X.REG_X + ["l_extendedprice"])
-    return GF.importance_regression(li, X.REG_X, "l_extendedprice", tm, n_trees=20)
+    return GF.importance_regression(li, X.REG_X, "l_extendedprice", tm)
 
 
 @register("importance_classification")
 def q_imp_cls(spark, d):
     li = X.table(spark, d, "lineitem")
     tm = A.type_map_of(li, X.BIN_X + ["l_returnflag"])
-    return GF.importance_classification(li, X.BIN_X, "l_returnflag", tm, n_trees=20)
+    return GF.importance_classification(li, X.BIN_X, "l_returnflag", tm)
 
 
 def _fa_out(df):
@@ -435,18 +435,17 @@ def _fa_out(df):
 
 @register("factor_analysis_regression")
 def q_fa_reg(spark, d):
-    return _fa_out(A.fit_regression(X.table(spark, d, "lineitem"), X.REG_X, "l_extendedprice", n_trees=20))
+    return _fa_out(A.fit_regression(X.table(spark, d, "lineitem"), X.REG_X, "l_extendedprice"))
 
 
 @register("factor_analysis_classification")
 def q_fa_cls(spark, d):
-    return _fa_out(A.fit_classification(X.table(spark, d, "lineitem"), X.BIN_X, "l_returnflag", n_trees=20))
+    return _fa_out(A.fit_classification(X.table(spark, d, "lineitem"), X.BIN_X, "l_returnflag"))
 
 
 @register("factor_analysis_binary")
 def q_fa_bin(spark, d):
-    return _fa_out(A.fit_classification(X.bin_documents(spark, d), ["n_chars", "lang", "source"], "quality",
-                                        n_trees=20))
+    return _fa_out(A.fit_classification(X.bin_documents(spark, d), ["n_chars", "lang", "source"], "quality"))
 FLAGSHIP = "binning_table_continuous"
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from binscope.operators.binning.optimal import optimal_binning
@@ -98,3 +99,19 @@ def test_nan_targets_and_numeric_strings(spark):
     bins = out["table"].filter("kind = 'regular'").collect()
     assert sum(r["count"] for r in bins) == 400 and bins[0]["bin"].startswith("(-inf")
     assert out["woe_series"].count() == out["series"].count()
+
+
+@pytest.mark.parametrize("name, fits", [("importance_regression", 1), ("importance_classification", 3),
+                                        ("factor_analysis_regression", 1), ("factor_analysis_classification", 3),
+                                        ("factor_analysis_binary", 1)])
+def test_registered_importances_fit_all_trees(spark, sf001, monkeypatch, name, fits):
+    from binscope.operators import factors as GF
+    from binscope.plans.queries import QUERIES
+    asked, fitted = [], GF._fitted
+
+    def few(data, n_trees, learner, regression):
+        asked.append(n_trees)
+        return fitted(data, 1, learner, regression)
+    monkeypatch.setattr(GF, "_fitted", few)
+    assert QUERIES[name](spark, sf001).count() > 0
+    assert asked == [GF.DEFAULT_TREES] * fits and GF.DEFAULT_TREES == 2000
