@@ -361,6 +361,7 @@ def keep_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
 
     A document all of whose lines are kept elsewhere is a copy and goes.
     """
-    out = dedup_lines(docs.drop("removed") if "removed" in docs.columns else docs, shingle, similarity)
+    out = dedup_lines(docs.withColumnRenamed("removed", "_own_removed"), shingle, similarity)
     blank = F.trim(F.coalesce("text", F.lit("")), F.lit(ASCII_SPACE)) == ""
-    return out.where(F.col("removed").isNull() | ~blank).select(*[c for c in docs.columns])
+    return out.where(F.col("removed").isNull() | ~blank).select(
+        *[F.col("_own_removed").alias(c) if c.lower() == "removed" else c for c in docs.columns])

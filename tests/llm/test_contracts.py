@@ -410,3 +410,12 @@ def test_pipeline(spark, sf_dir):
             same([tuple(r) for r in after], [tuple(r) for r in before if not naive.contamination(r.text, items)[1]])
     assert set(columns) < set(docs.columns)
     assert docs.count() == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_lines_stage_keeps_a_column_named_removed(spark):
+    from binscope.llm import op9_lines as L
+    line = "a line of words that is long enough to be compared"
+    rows = [(1, f"{line}\nfirst", "x"), (2, f"{line}\nsecond", "y"), (3, None, None), (4, line, "z")]
+    out = L.keep_lines(spark.createDataFrame(rows, "doc_id long, text string, removed string"))
+    assert out.columns == ["doc_id", "text", "removed"]
+    same([tuple(r) for r in out.collect()], [rows[0], (2, "second", "y"), rows[2]])
