@@ -1,4 +1,4 @@
-"""The ten queries against plain definitions, on the smallest tables and on an edge table."""
+"""The queries against plain definitions, on the smallest tables and on an edge table."""
 
 import os
 import random
@@ -41,13 +41,17 @@ def edge_dir(spark, tmp_path_factory, sf001):
     spark.createDataFrame([(1, 0, "user", "Hi?"), (1, 1, None, None), (1, 1, None, None), (None, None, "odd", ""), (2, 700, "user", "x"),
                            (2, 3, None, "assistant: y")], "conv_id long, turn int, role string, text string"
                           ).write.parquet(f"{d}/conversations.parquet")
+    pages = [(1, "http://a.example/1", "<p>one &amp; two</p>", "x", "y"), (1, "http://a.example/1", "<p>one &amp; two</p>", "x", "y"),
+             (2, None, "<p>x", None, None), (None, "no url", None, "p", "q"), (3, "", "", None, None),
+             (4, "http://a.example/2", "<div>" * 5000 + "deep" + "</div>" * 5000, "z", None), (5, "http://a.example/3", "< <3 <p", None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string, host string, text string").write.parquet(f"{d}/pages.parquet")
     return d
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, edge_dir, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "pages"):
         spark.read.parquet(f"{edge_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
