@@ -74,3 +74,14 @@ def bool_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOL_LINEITEM_SQL = """bool_lineitem AS (
   SELECT l_returnflag = 'R' AS is_returned, l_discount > 0.05 AS big_discount FROM lineitem)"""
+
+
+#: y is made of the first two of these, the first more; the others are noise
+PLANTED_X = ["l_quantity", "l_discount", "l_tax", "l_suppkey"]
+
+
+def planted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with y = quantity / 50 + 5 x discount + a tenth of a hash of the row's keys."""
+    li = table(spark, sf_dir, "lineitem")
+    noise = F.crc32(F.concat_ws(":", "l_orderkey", "l_linenumber")) / F.lit(float(1 << 32))
+    return li.withColumn("y", F.col("l_quantity") / 50.0 + 5.0 * F.col("l_discount") + 0.1 * noise)

@@ -589,7 +589,9 @@ SQL["factor_stats"] = with_ctes(X.NULLS_ORDERS_SQL) + union([
     f"""SELECT {q(c)} AS factor, {i} AS position, round(round((count(*) - count({c})) / count(*), 2), 4) AS missing,
   {f'round(stddev_samp(CAST({c} AS DOUBLE)), 4)' if num else '0.0'} AS std,
   {f'round(min(CAST({c} AS DOUBLE)), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS min_value,
-  {f'round(max(CAST({c} AS DOUBLE)), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS max_value FROM nulls_orders"""
+  {f'round(max(CAST({c} AS DOUBLE)), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS max_value,
+  {'CAST(NULL AS VARCHAR)' if num else f'min({c})'} AS min_text, {'CAST(NULL AS VARCHAR)' if num else f'max({c})'} AS max_text
+  FROM nulls_orders"""
     for i, (c, num) in enumerate([("o_totalprice", True), ("o_custkey", True), ("o_orderpriority", False),
                                   ("o_orderstatus", False)])])
 
@@ -781,3 +783,34 @@ WHERE alert IS NOT NULL"""
 
 SQL["profile_alerts"] = _alerts_sql()
 SQL["profile_alerts_lineitem"] = _alerts_sql("lineitem", "")
+
+
+# ---------------------------------------------------------------------------
+# G8, G12, G13
+# ---------------------------------------------------------------------------
+SQL["assemble_features"] = f"""SELECT doc_id, 'n_chars' AS factor, CAST(NULL AS VARCHAR) AS token, CAST(n_chars AS DOUBLE) AS value FROM documents
+UNION ALL
+SELECT doc_id, 'lang', NULL, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) FROM documents
+UNION ALL
+SELECT doc_id, 'text', token, tfidf FROM ({SQL["tfidf"]})"""
+
+SQL["ordered_target_statistics"] = with_ctes(X.BIN_DOCUMENTS_SQL) + """
+, rows AS (SELECT doc_id, c.column_name, c.value, quality AS y, o, md5(CAST(doc_id AS VARCHAR) || ':' || o) AS h
+  FROM (SELECT * FROM bin_documents WHERE quality IS NOT NULL) d,
+       (SELECT unnest([0, 1, 2, 3]) AS o),
+       LATERAL (SELECT 'lang' AS column_name, d.lang AS value UNION ALL SELECT 'source', d.source) c),
+before AS (SELECT doc_id, column_name, o,
+    coalesce(sum(y) OVER w, 0) AS s, count(*) OVER w AS n
+  FROM rows WINDOW w AS (PARTITION BY column_name, value, o ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, column_name, round(avg((s + (SELECT avg(quality) FROM bin_documents)) / (n + 1)), 8) AS code
+FROM before GROUP BY doc_id, column_name"""
+
+SQL["importance_planted"] = """WITH v AS (
+  SELECT 'l_quantity' AS factor, var_pop(l_quantity / 50) AS v FROM lineitem
+  UNION ALL SELECT 'l_discount', var_pop(5 * l_discount) FROM lineitem
+  UNION ALL SELECT 'l_tax', 0 UNION ALL SELECT 'l_suppkey', 0)
+SELECT factor, CASE WHEN v > 0 THEN CAST(row_number() OVER (ORDER BY v DESC) AS INTEGER) END AS place, v = 0 AS below_tenth FROM v"""
+
+SQL["rank_factors"] = f"""SELECT name, round(iv, 3) AS feature_importance, round(js, 3) AS js, round(gini, 3) AS gini,
+  CAST(row_number() OVER (ORDER BY round(iv, 3) DESC, round(js, 3) DESC, name) AS INTEGER) AS place
+FROM (SELECT factor AS name, iv, js, gini FROM ({SQL["iv_js_gini"]}))"""

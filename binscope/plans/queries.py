@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -694,12 +694,44 @@ def q_binning_factors(spark, d):
 
 @register("assemble_features")
 def q_assemble(spark, d):
-    li = X.table(spark, d, "lineitem")
-    tm = A.type_map_of(li, X.REG_X)
-    data, slots, _ = GF.assemble_features(li, X.REG_X, tm, F.col("l_extendedprice"))
-    from pyspark.ml.functions import vector_to_array
-    return data.select(F.array_join(F.transform(vector_to_array("features"), lambda v: v.cast("string")), "|")
-                       .alias("features"), "label")
+    docs = X.table(spark, d, "documents")
+    tm = {"Numeric": ["n_chars"], "Categorical": ["lang"], "Text": ["text"]}
+    out = GF.assemble_features(docs, ["n_chars", "lang", "text"], tm, [F.lit(0.0)], F.col("doc_id")).long()
+    return rounded(out.withColumnRenamed("row_id", "doc_id"), 8)
+
+
+@register("ordered_target_statistics")
+def q_target_statistics(spark, d):
+    docs = X.bin_documents(spark, d)
+    return rounded(GF.ordered_target_statistics(docs, "doc_id", ["lang", "source"], F.col("quality")), 8)
+
+
+@register("importance_native_categorical")
+def q_imp_native(spark, d):
+    tm = {"Numeric": ["n_chars"], "Categorical": ["lang", "source"], "Text": ["text"]}
+    return GF.importance_native_categorical(X.bin_documents(spark, d), "doc_id", ["n_chars", "lang", "source", "text"],
+                                            "quality", tm, "classification")
+
+
+@register("importance_planted")
+def q_imp_planted(spark, d):
+    """Factors by importance, strongest first, for a target of known make-up, and whether noise is under a tenth."""
+    li = X.planted_lineitem(spark, d)
+    imp = GF.importance_regression(li, X.PLANTED_X, "y", {"Numeric": X.PLANTED_X}, importance_type="gain")
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("feature_importance"))      # a row per factor
+    return imp.select("factor", F.row_number().over(w).alias("place"), F.max("feature_importance").over(
+        Window.partitionBy(F.lit(1))).alias("top"), "feature_importance").select(
+            "factor", F.when(F.col("feature_importance") >= 0.1 * F.col("top"), F.col("place")).alias("place"),
+            (F.col("feature_importance") < 0.1 * F.col("top")).alias("below_tenth"))
+
+
+@register("rank_factors")
+def q_rank_factors(spark, d):
+    table = B.binning_table_binary(X.bin_lineitem(spark, d), X.BIN_X, "y", X.BIN_SPLITS)
+    summ = B.binary_summary(table).select(F.col("factor").alias("name"), F.col("iv").alias("feature_importance"), "js", "gini")
+    ranked = A.rank_factors(summ, ["js"])
+    order = Window.partitionBy(F.lit(1)).orderBy(F.monotonically_increasing_id())     # a row per factor
+    return ranked.withColumn("place", F.row_number().over(order))
 
 
 @register("chart_series_binary")

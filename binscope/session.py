@@ -71,6 +71,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/binscope-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh table of the shared scratch folder and read from there."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._binscope_table = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove the scratch table that :func:`written` made for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._binscope_table)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (never ``localCheckpoint``).
 

@@ -64,16 +64,92 @@ def test_cat_cutoff_pools_rare_categories(spark):
 
 
 def test_split_counts_are_the_inner_nodes(spark):
-    from pyspark.ml.regression import GBTRegressor
-    from binscope.operators.factors import assemble_features, split_counts
+    """Every split has its two halves of rows; a node's parent is split too; counts add up to all splits."""
+    from binscope.operators.factors import _importance_table, assemble_features, factor_splits
     rng = np.random.default_rng(7)
-    rows = [(float(a), float(b), float(3 * a + b * b)) for a, b in rng.normal(size=(500, 2))]
-    df = spark.createDataFrame(rows, "label double, features double, y double")     # names the vectors use too
-    data, slots, _ = assemble_features(df, ["label", "features"], {"Numeric": ["label", "features"]}, F.col("y"))
-    model = GBTRegressor(maxIter=5, seed=1).fit(data)
-    data.unpersist()
-    assert slots == ["label", "features"]
-    assert sum(split_counts(model, 2)) == sum((t.numNodes - 1) // 2 for t in model.trees)
+    rows = [(float(a), float(b), float(3 * a + b * b)) for a, b in rng.normal(size=(1500, 2))]
+    df = spark.createDataFrame(rows, "label double, features double, y double")     # names the rows use too
+    names = ["label", "features"]
+    features = assemble_features(df, names, {"Numeric": names}, [F.col("y") / 3])
+    splits = factor_splits(features, 150, 1)
+    found = splits.collect()
+    nodes = {(r.tree, r.node) for r in found}
+    assert len(nodes) == len(found) and all(n == 0 or (t, (n - 1) // 2) in nodes for t, n in nodes)
+    assert {r.factor for r in found} == set(names) and all(r.gain > 0 for r in found)
+    counts = [r.feature_importance for r in _importance_table(splits, names, names, "split").collect()]
+    assert sum(counts) == len(found)
+    features.drop()
+
+
+def test_boosting_fits_and_follows_its_bags(spark):
+    """Residuals shrink block by block; a forest leaves them alone; sparse features are found."""
+    from binscope.operators import boosting as B
+    rng = np.random.default_rng(1)
+    n = 4000
+    x, w = rng.normal(size=(n, 2)), rng.random((n, 6)) < 0.3
+    y = x[:, 0] + 4 * w[:, 3]
+    y = (y - y.mean()) / y.std()
+    rows = [([float(a) for a in x[i]], [2 + int(j) for j in np.flatnonzero(w[i])], [0.5] * int(w[i].sum()), [float(y[i])])
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "dense array<double>, slots array<long>, weights array<double>, residual array<double>")
+    cuts = [np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1]).tolist() for j in range(2)]
+    out = B.boosted_splits(df, cuts, 6, 60, block_trees=20, feature_share=0.5).toPandas()
+    assert set(out.slot) == {0, 5}
+    gain = out.assign(block=out.tree // 20).groupby("block").gain.sum()
+    assert gain[0] > 2 * gain[2]
+    forest = B.boosted_splits(df, cuts, 6, 60, block_trees=20, feature_share=0.5, rate=0.0).toPandas()
+    gain = forest.assign(block=forest.tree // 20).groupby("block").gain.sum()
+    assert gain[2] > 0.7 * gain[0]
+    # the best split of the root, counted again by hand
+    root = out[(out.node == 0) & (out.slot == 5) & (out.tree < 20)].iloc[0]
+    bag = n * 0.67
+    hit = w[:, 3]
+    expect = bag * (hit.mean() * y[hit].mean() ** 2 + (1 - hit.mean()) * y[~hit].mean() ** 2)
+    assert root.gain == pytest.approx(expect, rel=0.1)
+
+
+def test_target_statistics_by_hand(spark, monkeypatch):
+    import hashlib
+
+    from binscope.operators import factors as GF
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"c{i % 7}", None if i % 13 == 0 else float(rng.normal())) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, c string, y double")
+    got = {r.id: r.code for r in GF.ordered_target_statistics(df, "id", ["c"], F.col("y"), orders=2).collect()}
+    known = [(i, c, y) for i, c, y in rows if y is not None]
+    mean = sum(y for *_, y in known) / len(known)
+    for i, c, _ in known:
+        code = 0
+        for o in range(2):
+            h = lambda k: hashlib.md5(f"{k}:{o}".encode()).hexdigest()  # noqa: B023, E731
+            before = [y for j, d, y in known if d == c and h(j) < h(i)]
+            code += (sum(before) + mean) / (len(before) + 1) / 2
+        assert got[i] == pytest.approx(code)
+    assert len(got) == len(known)
+
+
+def test_large_vocabularies_join_alike(spark, sf001, monkeypatch):
+    from binscope.operators import factors as GF
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    want = {(r.doc_id, r.token): r.tfidf for r in GF.tfidf(docs, "doc_id", "text").collect()}
+    monkeypatch.setattr(GF, "VOCABULARY_ROWS", 10)
+    monkeypatch.setattr(GF, "FREQUENT", 0.1)
+    got = {(r.doc_id, r.token): r.tfidf for r in GF.tfidf(docs, "doc_id", "text").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    vocab = GF.vocabulary(GF.term_counts(docs, "doc_id", F.col("text"))).orderBy("code").collect()
+    assert [r.code for r in vocab] == list(range(len(vocab)))
+    assert [r.token.encode() for r in vocab] == sorted(r.token.encode() for r in vocab)
+
+
+def test_native_categories_rank_above_noise(spark):
+    from binscope.operators.factors import importance_native_categorical
+    rng = np.random.default_rng(2)
+    rows = [(i, "abcdefgh"[i % 8], float(rng.normal()), "plain words" + (" special" if i % 5 == 0 else ""),
+             float((i % 8 in (1, 4, 6)) + 0.5 * (i % 5 == 0) + 0.1 * rng.normal())) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, c string, n double, t string, y double")
+    tm = {"Numeric": ["n"], "Categorical": ["c"], "Text": ["t"]}
+    v = {r.factor: r.feature_importance for r in importance_native_categorical(df, "id", ["c", "n", "t"], "y", tm, n_trees=200).collect()}
+    assert v["c"] > v["t"] > 10 * v["n"] and sum(v.values()) == pytest.approx(100, abs=0.1)
 
 
 def test_noise_factors_score_far_below_the_signal(spark):
@@ -101,17 +177,17 @@ def test_nan_targets_and_numeric_strings(spark):
     assert out["woe_series"].count() == out["series"].count()
 
 
-@pytest.mark.parametrize("name, fits", [("importance_regression", 1), ("importance_classification", 3),
-                                        ("factor_analysis_regression", 1), ("factor_analysis_classification", 3),
-                                        ("factor_analysis_binary", 1)])
-def test_registered_importances_fit_all_trees(spark, sf001, monkeypatch, name, fits):
+@pytest.mark.parametrize("name, targets", [("importance_regression", 1), ("importance_classification", 3),
+                                           ("factor_analysis_regression", 1), ("factor_analysis_classification", 3),
+                                           ("factor_analysis_binary", 1)])
+def test_registered_importances_fit_all_trees(spark, sf001, monkeypatch, name, targets):
     from binscope.operators import factors as GF
     from binscope.plans.queries import QUERIES
-    asked, fitted = [], GF._fitted
+    asked, fitted = [], GF.boosted_splits
 
-    def few(data, n_trees, learner, regression):
-        asked.append(n_trees)
-        return fitted(data, 1, learner, regression)
-    monkeypatch.setattr(GF, "_fitted", few)
+    def few(rows, cuts, sparse, n_trees, n_targets, *args, **kw):
+        asked.append((n_trees, n_targets))
+        return fitted(rows, cuts, sparse, 1, n_targets, *args, **kw)
+    monkeypatch.setattr(GF, "boosted_splits", few)
     assert QUERIES[name](spark, sf001).count() > 0
-    assert asked == [GF.DEFAULT_TREES] * fits and GF.DEFAULT_TREES == 2000
+    assert asked == [(GF.DEFAULT_TREES, targets)] and GF.DEFAULT_TREES == 2000
