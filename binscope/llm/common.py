@@ -37,6 +37,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plain_names(df: DataFrame, *kept: str) -> DataFrame:
+    """``df`` with columns c0, c1, ... but for ``kept``: names that Python functions over rows can take."""
+    return df.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(df.columns)])
+
+
+def quoted(name: str) -> F.Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its counted ``rows`` are under ``limit``."""
     return F.broadcast(df) if rows <= limit else df
@@ -168,11 +190,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links")
     while not _stars_only(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        large = stored(large, "large-star")
+        # large star: a node's larger neighbours go to its smallest neighbour; only a parent that has a
+        # parent itself changes anything
+        low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = stored(edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binscope.llm.common import map_slices, record, sample_share, stored, unit_hash
+from binscope.llm.common import map_slices, plain_names, record, sample_share, stored, unit_hash
 
 #: n-grams in a profile, and of a document that are compared
 PROFILE = 400
@@ -160,10 +160,20 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
 
 
 def keep_known(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text gets a language (not ``und``)."""
+    """The rows of ``docs``, all columns, whose text gets a language (not ``und``).
+
+    Texts that are null, empty or without a letter go. Without profiles (no
+    row to learn from) nothing else is known about a text: all with a letter
+    stay. Rows that repeat stay; columns may have any name; an empty table
+    gives an empty result.
+    """
     model = Profiles(profiles)
 
+    def known(text: str | None) -> bool:
+        return model.predict(text)[0] != UNKNOWN if profiles else any(map(str.isalpha, text or ""))
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column(b.schema.get_field_index("text")).to_pylist()
-        return b.filter(pa.array([model.predict(t)[0] != UNKNOWN for t in texts], pa.bool_()))
-    return map_slices(docs, run, docs.schema)
+        return b.filter(pa.array([known(t) for t in texts], pa.bool_()))
+    plain = plain_names(docs, "text")
+    return map_slices(plain, run, plain.schema).toDF(*docs.columns)

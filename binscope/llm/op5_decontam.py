@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binscope.llm.common import stored
+from binscope.llm.common import free_names, stored
 
 #: what separates words once A-Z are lower-cased; splitting is linear in the text, extracting each match is not
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,7 +131,13 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of an item."""
+    """The rows of ``docs``, all columns, that hold no window of an item.
+
+    Null and empty texts hold none and stay, null ids too; rows that repeat id
+    and text go or stay together. Columns may have any name; an empty table
+    gives an empty result, empty items leave all rows.
+    """
+    own_id, own_hash = free_names(docs, "id", "hash")
     bad = (contamination(docs, items, length).where("contaminated")
-           .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+           .select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash)), "left_anti")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binscope.llm.common import Forest, components, key_runs, map_slices, record, stored
+from binscope.llm.common import Forest, components, key_runs, map_slices, plain_names, record, stored
 
 SEED = 42
 #: fingerprints that may share a variant and be verified pair by pair; larger groups go to :func:`_stars`
@@ -188,11 +188,15 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col
 
 
 def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns: of each group the one with the smallest id (null last, ties: the first stored)."""
-    row, fp = "__row", "__fp"
-    marked = stored(with_fingerprint(docs.withColumn(row, F.monotonically_increasing_id()), "text", shingle, fp),
-                    "simhash-documents")
+    """The rows of ``docs``, all columns: of each group the one with the smallest id (null last, ties: the first stored).
+
+    Texts without words, null included, are one group. Columns may have any
+    name; an empty table gives an empty result.
+    """
+    row, fp = "row", "fp"
+    plain = plain_names(docs, "doc_id", "text").withColumn(row, F.monotonically_increasing_id())
+    marked = stored(with_fingerprint(plain, "text", shingle, fp), "simhash-documents")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
     first = groups(marked.select(F.col(fp).alias("fp"), rank.alias("rank")), "rank", distance)
     kept = first.select(F.col("first.row").alias(row)).distinct()
-    return marked.join(kept, row, "left_semi").drop(row, fp)
+    return marked.join(kept, row, "left_semi").drop(row, fp).toDF(*docs.columns)
