@@ -3,10 +3,15 @@
 import os
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
+from binscope.llm import op5_decontam
 from binscope.llm import queries as Q
+from binscope.llm.common import stored
 from tests.llm import naive
 
 TEXTS = [
@@ -134,23 +139,43 @@ def test_mixing(spark, sf_dir):
     got = Q.op4(spark, sf_dir).collect()
     src = {i: s for i, _, _, s in docs}
     by_text = {i: naive.size(t) for i, t, *_ in docs}
-    taken, largest = {}, {}
+    taken, largest, none = {}, {}, [r for r in docs if r[0] is None]
     assert len(got) == len(docs)
     for r in got:
-        if r.doc_id is None:
-            continue
-        s = src[r.doc_id]
-        assert r["size"] == by_text[r.doc_id] and r.source_size == sizes[s]
+        # rows without an id are told apart by their size
+        s = src[r.doc_id] if r.doc_id is not None else next(x for _, t, _, x in none if naive.size(t) == r["size"])
+        assert (r.doc_id is None or r["size"] == by_text[r.doc_id]) and r.source_size == sizes[s]
         assert r.target == pytest.approx(target[s], rel=1e-9)
         assert r.taken % max(r["size"], 1) == 0 and r.taken <= 2 * r["size"]
         taken[s] = taken.get(s, 0) + r.taken
         largest[s] = max(largest.get(s, 0), r["size"])
-    if None not in src:
-        # the threshold is refined to one hash: the error is at most half of one document
-        assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in target)
+    # the threshold is refined to one hash, and its equal rows are counted: the error is at most half of one document
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in target)
     same(got, Q.op4(spark, sf_dir).collect())
 
 
+@pytest.mark.parametrize("equal,rest", [(1000, 0), (600, 400), (300, 5)])
+def test_mixing_repeated_rows(spark, equal, rest):
+    """A source that is mostly one row repeated still meets its target, by row and by document."""
+    from binscope.llm import op4_mixing as M
+    rows = [(7, "one two three four five six", "a", 1)] * equal + [(100 + i, "w " * (i % 9), "a", 2) for i in range(rest)]
+    rows += [(i, "w " * 30, "b", 3) for i in range(10_000, 10_060)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_times int").repartition(5)
+    out = M.mix(docs, [3.0, 1.0]).collect()
+    target = {r.source_size: r.target for r in out}
+    got = {}
+    for r in out:
+        got[r.source_size] = got.get(r.source_size, 0) + r.taken
+    assert all(abs(got[k] - target[k]) <= 15.5 for k in target) and len(out) == len(rows)
+    mixed = M.mixed_documents(docs, [3.0, 1.0])
+    assert mixed.columns == ["doc_id", "text", "source", "mix_times", "mix_times_"]
+    words = {}
+    for r in mixed.collect():
+        assert r.mix_times == (1 if r.doc_id == 7 else 2 if r.doc_id < 10_000 else 3)
+        words[r.source] = words.get(r.source, 0) + naive.size(r.text) * r.mix_times_
+    assert sorted(words.values()) == sorted(got.values())
+
+
 def test_decontamination(spark, sf_dir):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     got = Q.op5(spark, sf_dir).collect()
@@ -211,10 +236,11 @@ def test_simhash_links(spark, distance, monkeypatch):
 def test_lines(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     seen, lines = set(), []
-    for i, t, *_ in docs:
+    for k, (i, t, *_) in enumerate(docs):
         for p, line in enumerate((t or "").split("\n")):
-            if line.strip(" \t\n\r\x0b\x0c") and (i, p, line) not in seen:
-                seen.add((i, p, line))
+            # rows without an id are documents of their own
+            if line.strip(" \t\n\r\x0b\x0c") and (i, p, line, i is None and k) not in seen:
+                seen.add((i, p, line, i is None and k))
                 lines.append(((i is None, i or 0, p), line.strip(" \t\n\r\x0b\x0c"), i, p))
     lines.sort(key=lambda x: x[0])
     distinct = sorted({x[1] for x in lines}, key=len)
@@ -252,8 +278,66 @@ def test_lines(spark, sf_dir):
             assert r.n_removed == len(gone)
 
 
-@pytest.mark.parametrize("block,probes,rounds", [(128, 4096, 3), (2, 3, 1)])
-def test_lines_of_a_key_lose_no_link(spark, block, probes, rounds):
+def test_lines_of_rows_without_id(spark):
+    """Copies without an id are copies; a row listed twice under its id is one document."""
+    from binscope.llm import op9_lines as L
+    text = "the first line of a text that is copied\nthe second line of it, longer"
+    docs = spark.createDataFrame([(None, text, 1)] * 3 + [(5, "short\nshort\nother", 2)] * 2 + [(None, None, 3)],
+                                 "doc_id long, text string, row int")
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in L.line_report(docs).collect()), key=str)
+    assert got == sorted([(None, 2, 0, text), (None, 2, 2, ""), (None, 2, 2, ""), (None, 0, 0, None),
+                          (5, 3, 1, "short\nother"), (5, 3, 1, "short\nother")], key=str)
+    kept = L.keep_lines(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.row for r in kept.collect())) == [1, 2, 2, 3]
+
+
+def test_many_equal_lines_in_one_text(spark):
+    import time
+
+    from binscope.llm import op9_lines as L
+    docs = spark.createDataFrame([(1, "the same line again\n" * 160_000), (2, "other")], "doc_id long, text string")
+    L.line_report(docs.limit(1)).collect()
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in L.line_report(docs).collect()}
+    assert got == {1: (160_000, 159_999, "the same line again\n"), 2: (1, 0, "other")}
+    assert time.time() - began < 20
+
+
+def test_unlike_lines_of_one_key_make_few_rows(spark):
+    from binscope.llm import op9_lines as L
+    keyed = spark.range(50_000).select(F.lit(1).cast("long").alias("key"), F.xxhash64("id").alias("lid"), F.xxhash64("id").alias("root"))
+    assert L._blocks(keyed, L.BLOCK, L.PROBES).count() < 1_000_000
+
+
+def test_similarity_without_sets():
+    from binscope.llm import op9_lines as L
+    rng = random.Random(9)
+    near = 0
+    for _ in range(3000):
+        x = "".join(rng.choice("ab ") for _ in range(rng.randint(7, 80)))
+        y = list(x)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(y))
+            y[at:at + rng.randint(0, 3)] = rng.choice(["", "c", "ab", "dd a"])
+        y = "".join(y)
+        if len(y) >= 7:
+            a, b = L.shingles(x), L.shingles(y)
+            want = len(a & b) >= 0.8 * len(a | b)
+            assert L._alike(x, y, len(a), len(b), 7, 0.8) == want
+            # characters that do not fit a number
+            assert L._alike(x + "\u4e2d" * 3, y + "\u4e2d" * 3, len(L.shingles(x + "\u4e2d" * 3)), len(L.shingles(y + "\u4e2d" * 3)), 7, 0.8) == (
+                len(L.shingles(x + "\u4e2d" * 3) & L.shingles(y + "\u4e2d" * 3)) >= 0.8 * len(L.shingles(x + "\u4e2d" * 3) | L.shingles(y + "\u4e2d" * 3)))
+            near += want
+    assert 300 < near < 2700
+    lines = ["abcdefg", "aaaaaaaaaa", "abcabcabcabc"]
+    for some in (lines, [*lines, "\u4e2d\u6587abcdefgabcdefg"]):
+        points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+        assert L._sizes(some, points, 7) == [len(L.shingles(x)) for x in some]
+
+
+@pytest.mark.parametrize("block,probes,rounds,small", [(2048, 16384, 3, 1024), (16, 50, 1, 8), (64, 200, 1, 4), (2, 3, 1, 1024)])
+def test_lines_of_a_key_lose_no_link(spark, block, probes, rounds, small):
     """Components are those of all similar pairs that share a band key, also for many blocks and parts."""
     from binscope.llm import op9_lines as L
     rng = random.Random(4)
@@ -275,7 +359,7 @@ def test_lines_of_a_key_lose_no_link(spark, block, probes, rounds):
                 forest = {k: min(a, b) if v in (a, b) else v for k, v in forest.items()}
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     got = dict.fromkeys(forest)
-    got.update({r.node: r.root for r in L.line_components(docs, rounds=rounds, block=block, probes=probes).collect()})
+    got.update({r.node: r.root for r in L.line_components(docs, rounds=rounds, block=block, probes=probes, small=small).collect()})
     assert {k: v if v is not None else k for k, v in got.items()} == forest
 
 
@@ -388,6 +472,38 @@ def test_rule_learner():
     assert R.learn_rules(x, 0 * y, np.ones(600, bool)) == [] and R.rules_sql([]) == "0"
 
 
+PRIVATE = ["_id", "_h", "_pos", "_s", "id", "hash", "row", "row_", "gone", "removed", "fp", "__fp", "__row", "s", "copies",
+           "below", "extra", "h", "chosen", "mix_times", "target", "source_size", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every name a stage might use for itself, with values to compare; and a second run over the result."""
+    docs = [(i, t, "en", "a" if i % 2 else None) for i, t in enumerate(TEXTS)] + [(None, "a text without id", "de", "a")] * 2
+    rows = [(*r, *[f"{c}{k}" for c in PRIVATE]) for k, r in enumerate(docs)]
+    names = ["doc_id", "text", "lang", "source", *PRIVATE]
+    table = spark.createDataFrame(rows, T.StructType([T.StructField(c, T.LongType() if c == "doc_id" else T.StringType()) for c in names]))
+    items = spark.createDataFrame([(1, "one two three one two three one two three one two")], "item_id long, text string")
+    stages = {name: stage for name, stage in corpus_pipeline.STAGES if name != "decontamination"}
+    stages["decontamination"] = lambda spark, d, _: op5_decontam.drop_contaminated(d, items)
+    for name, stage in stages.items():
+        out = stored(stage(spark, table, ""), f"names-{name}")
+        assert out.columns[:len(names)] == names and 0 < out.count() <= len(rows)
+        if name == "mixing":
+            assert out.columns[len(names):] == ["mix_times_"]
+            out = stored(stage(spark, out, ""), f"again-{name}")
+            assert out.columns[len(names):] == ["mix_times_", "mix_times__"]
+        for r in out.collect():
+            k = int(r["_id"][3:])
+            assert [r[c] for c in PRIVATE] == [f"{c}{k}" for c in PRIVATE]
+            assert (r.doc_id, r.lang, r.source) == (docs[k][0], docs[k][2], docs[k][3])
+
+
+def test_languages_without_profiles(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, "12 34", None), (3, None, None), (None, "é", None)],
+                                 "doc_id long, text string, lang string")
+    assert {r.text for r in corpus_pipeline.language(spark, docs, "").collect()} == {"words", "é"}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against its operator's plain definition, on its own input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
