@@ -20,10 +20,16 @@ each group's size within ``[min_bin_size, max_bin_size]`` and the group metric
 (mean or event rate) following the trend.  State (i, j) = last group covers
 pre-bins i..j; peak / valley add a phase.  O(m^3) with m <= max_n_prebins,
 vectorised over the predecessor index.
+
+For several classes each class has a trend of its own: the state of (i, j)
+also carries, for every class, where it has got to (no change yet, rising,
+falling, turned); states that are no better than another which allows as much
+are dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,8 +114,10 @@ def prebin_cart(stats: np.ndarray, kind: str, max_n_prebins: int = MAX_N_PREBINS
     """Start indices of pre-bins over the fine bins (best-first impurity splits).
 
     A split is valid when both sides hold at least ``min_prebin_size`` of the
-    rows.  When ``max_bin_size`` is given, pre-bins still above it are split
-    further (at their best point) so that the size limit can be met.
+    rows, and it leaves enough of ``max_n_prebins`` to cut every segment down
+    to ``max_bin_size``. Segments above that size are split even without gain.
+    Where the limits exclude each other, segments above the size remain (the
+    solver then finds no partition).
     """
     m = len(stats)
     if m <= 1:
@@ -118,14 +126,14 @@ def prebin_cart(stats: np.ndarray, kind: str, max_n_prebins: int = MAX_N_PREBINS
     min_n = min_prebin_size * N
     cum = np.vstack([np.zeros(stats.shape[1]), np.cumsum(stats, axis=0)])
 
-    def best_split(a: int, b: int, min_side: float):
-        """Best split point s in (a, b) of segment [a, b): (gain, s)."""
+    def best_split(a: int, b: int, min_side: float, fits: np.ndarray):
+        """Best split point s in (a, b) of segment [a, b) among those that fit: (gain, s)."""
         if b - a < 2:
             return None
         tot = cum[b] - cum[a]
         left = cum[a + 1:b] - cum[a]
         right = tot - left
-        ok = (left[:, 0] >= min_side) & (right[:, 0] >= min_side)
+        ok = (left[:, 0] >= min_side) & (right[:, 0] >= min_side) & fits
         if not ok.any():
             return None
         gain = impurity(tot[None, :], kind)[0] - impurity(left, kind) - impurity(right, kind)
@@ -133,32 +141,36 @@ def prebin_cart(stats: np.ndarray, kind: str, max_n_prebins: int = MAX_N_PREBINS
         k = int(np.argmax(gain))
         return float(gain[k]), a + 1 + k
 
-    segs = [(0, m)]
+    limit = max_bin_size * N + 1e-9 if max_bin_size is not None else np.inf
+
+    def need(a: int, b: int) -> int:
+        """Fewest pieces of [a, b) within the size limit (a fine bin above it is a piece)."""
+        pieces = 0
+        while a < b:
+            a = min(b, max(a + 1, int(np.searchsorted(cum[:, 0], cum[a][0] + limit, "right")) - 1))
+            pieces += 1
+        return pieces
+
+    # a split may take no more pre-bins than are left beside those the size limit will need
+    segs, needed = [(0, m)], {}
+    for a in range(m if max_bin_size is not None else 0):
+        for b in range(a + 1, m + 1):
+            needed[a, b] = need(a, b)
+    of = lambda a, b: needed.get((a, b), 1)
     while len(segs) < max_n_prebins:
+        room = max_n_prebins - sum(of(a, b) for a, b in segs)
         cands = []
         for idx, (a, b) in enumerate(segs):
-            r = best_split(a, b, min_n)
-            if r is not None and r[0] > 1e-12:
-                cands.append((r[0], idx, r[1]))
+            large = of(a, b) > 1
+            fits = np.array([of(a, x) + of(x, b) - of(a, b) <= max(room, 0 if large else room) for x in range(a + 1, b)], bool)
+            r = best_split(a, b, min_n, fits)
+            if r is not None and (r[0] > 1e-12 or large):
+                cands.append((r[0] > 1e-12, r[0], idx, r[1]))
         if not cands:
             break
-        _, idx, s = max(cands)
+        _, _, idx, x = max(cands)
         a, b = segs[idx]
-        segs[idx:idx + 1] = [(a, s), (s, b)]
-    if max_bin_size is not None:
-        limit = max_bin_size * N
-        changed = True
-        while changed:
-            changed = False
-            for idx, (a, b) in enumerate(segs):
-                if cum[b][0] - cum[a][0] > limit and b - a >= 2:
-                    r = best_split(a, b, 0.0)
-                    if r is None:
-                        continue
-                    s = r[1]
-                    segs[idx:idx + 1] = [(a, s), (s, b)]
-                    changed = True
-                    break
+        segs[idx:idx + 1] = [(a, x), (x, b)]
     return [a for a, _ in segs]
 
 
@@ -268,13 +280,95 @@ def solve_dp(pstats: np.ndarray, kind: str, trend: str, max_bin_size: float | No
     return float(val), sorted(starts)
 
 
-def optimal_groups(pstats: np.ndarray, kind: str, monotonic_trend: str | None = "auto",
+# where a class has got to: no change yet, rising, falling, risen then falling, fallen then rising
+_FLAT, _UP, _DOWN, _PEAK, _VALLEY = range(5)
+_NEXT = {(_FLAT, 1): _UP, (_FLAT, -1): _DOWN, (_UP, 1): _UP, (_UP, -1): _PEAK, (_DOWN, -1): _DOWN, (_DOWN, 1): _VALLEY,
+         (_PEAK, -1): _PEAK, (_VALLEY, 1): _VALLEY}
+_REACHED = {"ascending": {_FLAT, _UP}, "descending": {_FLAT, _DOWN}, "auto": {_FLAT, _UP, _DOWN},
+            "peak": {_FLAT, _UP, _DOWN, _PEAK}, "valley": {_FLAT, _UP, _DOWN, _VALLEY},
+            "one turn": {_FLAT, _UP, _DOWN, _PEAK, _VALLEY}}
+_NAMES = {_FLAT: "flat", _UP: "ascending", _DOWN: "descending", _PEAK: "peak", _VALLEY: "valley"}
+
+
+def solve_classes(pstats: np.ndarray, trends: Sequence[str], max_bin_size: float | None,
+                  min_bin_size: float | None) -> tuple[float, list[int], list[str]] | None:
+    """Best partition of multiclass pre-bins in which each class follows its trend; None when infeasible.
+
+    A trend is ascending, descending, peak, valley, auto (rising or falling,
+    whichever is better), one turn, or none. Gives the objective, the starts of
+    the groups and the trend each class has.
+    """
+    m, classes = len(pstats), pstats.shape[1] - 1
+    total = pstats.sum(axis=0)
+    obj, _, size = _range_tables(pstats, total, "multiclass")
+    cum = np.vstack([np.zeros(pstats.shape[1]), np.cumsum(pstats, axis=0)])
+    stats = cum[None, 1:, :] - cum[:-1, None, :]
+    rate = stats[:, :, 1:] / np.maximum(stats[:, :, :1], 1e-300)
+    lo = -np.inf if min_bin_size is None else min_bin_size * total[0] - 1e-9
+    hi = np.inf if max_bin_size is None else max_bin_size * total[0] + 1e-9
+    free = [t == "none" for t in trends]
+    # (i, j) -> {state: (objective, predecessor's i, predecessor's state)}
+    best: dict[tuple[int, int], dict[tuple, tuple]] = {}
+    for j in range(m):
+        for i in range(j + 1):
+            if not lo <= size[i, j] <= hi:
+                continue
+            here: dict[tuple, tuple] = {}
+            if i == 0:
+                here[(_FLAT,) * classes] = (float(obj[0, j]), -1, ())
+            for k in range(i):
+                before = best.get((k, i - 1))
+                if not before:
+                    continue
+                change = rate[i, j] - rate[k, i - 1]
+                sign = np.where(change > _EPS, 1, np.where(change < -_EPS, -1, 0))
+                for state, (value, _, _) in before.items():
+                    to = _stepped(state, sign, trends, free)
+                    if to is not None and value + obj[i, j] > here.get(to, (NEG,))[0]:
+                        here[to] = (float(value + obj[i, j]), k, state)
+            if here:
+                best[i, j] = _undominated(here)
+    ends = [(v[0], i, state) for i in range(m) for state, v in best.get((i, m - 1), {}).items()]
+    if not ends:
+        return None
+    value, i, state = max(ends)
+    names, starts, j = [_NAMES[x] for x in state], [], m - 1
+    while True:
+        starts.append(i)
+        _, k, before = best[i, j][state]
+        if k < 0:
+            break
+        i, j, state = k, i - 1, before
+    return value, sorted(starts), ["none" if f else n for f, n in zip(free, names)]
+
+
+def _stepped(state: tuple, sign: np.ndarray, trends: Sequence[str], free: Sequence[bool]) -> tuple | None:
+    out = []
+    for x, s, trend, any_way in zip(state, sign.tolist(), trends, free):
+        if s and not any_way:
+            x = _NEXT.get((x, s))
+            if x not in _REACHED[trend]:
+                return None
+        out.append(x)
+    return tuple(out)
+
+
+def _undominated(states: dict[tuple, tuple]) -> dict[tuple, tuple]:
+    """Drop a state if another of at least its value is the same but for classes that have not changed yet."""
+    kept: dict[tuple, tuple] = {}
+    for state, v in sorted(states.items(), key=lambda x: (-x[1][0], sum(map(bool, x[0])))):
+        if not any(all(a in (_FLAT, b) for a, b in zip(other, state)) for other in kept):
+            kept[state] = v
+    return kept
+
+
+def optimal_groups(pstats: np.ndarray, kind: str, monotonic_trend: str | Sequence[str] | None = "auto",
                    max_bin_size: float | None = None, min_bin_size: float | None = None) -> Solution:
     """E6-E8 with the fallbacks: trend -> (auto: peak/valley) -> no trend -> one bin."""
     if len(pstats) == 0:
         return Solution([0], "INFEASIBLE", "none", 0.0)
-    if kind == "multiclass" and monotonic_trend == "auto":
-        monotonic_trend = None
+    if kind == "multiclass" and monotonic_trend:
+        return _class_groups(pstats, monotonic_trend, max_bin_size, min_bin_size)
     if monotonic_trend == "auto":
         mono = [(r, t) for t in ("ascending", "descending")
                 if (r := solve_dp(pstats, kind, t, max_bin_size, min_bin_size)) is not None]
@@ -299,6 +393,27 @@ def optimal_groups(pstats: np.ndarray, kind: str, monotonic_trend: str | None =
     return Solution([0], "INFEASIBLE", "none", 0.0)
 
 
+def _class_groups(pstats: np.ndarray, wanted: str | Sequence[str], max_bin_size: float | None,
+                  min_bin_size: float | None) -> Solution:
+    """One trend for all classes, or one for each; ``auto`` takes one turn a class where it is much better."""
+    classes = pstats.shape[1] - 1
+    trends = [wanted] * classes if isinstance(wanted, str) else [t or "none" for t in wanted]
+    if len(trends) != classes:
+        raise ValueError(f"{len(trends)} trends for {classes} classes")
+    r = solve_classes(pstats, trends, max_bin_size, min_bin_size)
+    if "auto" in trends:
+        turned = solve_classes(pstats, ["one turn" if t == "auto" else t for t in trends], max_bin_size, min_bin_size)
+        if turned is not None and (r is None or turned[0] >= AUTO_PEAK_FACTOR * r[0]):
+            r = turned
+        if r is None:
+            free = solve_classes(pstats, ["none" if t == "auto" else t for t in trends], max_bin_size, min_bin_size)
+            if free is not None:
+                return Solution(free[1], "RELAXED_TREND", ",".join(free[2]), free[0])
+    if r is None:
+        return Solution([0], "INFEASIBLE", ",".join(trends), 0.0)
+    return Solution(r[1], "OPTIMAL", ",".join(r[2]), r[0])
+
+
 def brute_force(pstats: np.ndarray, kind: str, trend: str, max_bin_size=None, min_bin_size=None):
     """Exhaustive search over all partitions (tests only, m <= 12)."""
     import itertools

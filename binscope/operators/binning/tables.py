@@ -331,6 +331,25 @@ def monotonic_trend(table: DataFrame, metric: str, group: Sequence[str] = ("fact
     return s.select(*g, trend.alias("monotonic_trend"))
 
 
+def trend_shape(table: DataFrame, metric: str) -> DataFrame:
+    """``(factor, trend_shape)``: how ``metric`` bends over the middles of the regular bins.
+
+    Slopes between neighbouring bins are taken at the exact middles of their
+    values: convex (no slope falls), concave (none rises), linear (neither),
+    mixed; undefined with fewer than three bins.
+    """
+    w = Window.partitionBy("factor").orderBy("bin_id")
+    mid = (F.col("min_x") + F.col("max_x")) / 2
+    reg = table.filter((F.col("kind") == "regular") & F.col("min_x").isNotNull()).withColumn("__x", mid)
+    slope = (F.col(metric) - F.lag(metric).over(w)) / (F.col("__x") - F.lag("__x").over(w))
+    bend = reg.withColumn("__s", slope).withColumn("__b", F.col("__s") - F.lag("__s").over(w))
+    n = bend.groupBy("factor").agg(F.count_if(F.col("__b") > 0).alias("__up"), F.count_if(F.col("__b") < 0).alias("__down"),
+                                   F.count("__b").alias("__n"))
+    shape = (F.when(F.col("__n") == 0, "undefined").when((F.col("__up") == 0) & (F.col("__down") == 0), "linear")
+             .when(F.col("__down") == 0, "convex").when(F.col("__up") == 0, "concave").otherwise("mixed"))
+    return n.select("factor", shape.alias("trend_shape"))
+
+
 def gini_from_table(table: DataFrame) -> DataFrame:
     """Gini of a binary table: bins by event rate descending, trapezoid AUC, abs(2 AUC - 1)."""
     b = table.filter(F.col("kind") != "totals").filter(F.col("count") > 0)
