@@ -32,7 +32,18 @@ DATETIME_FORMATS = (
     "MM/dd/yyyy HH:mm:ss",
     "dd.MM.yyyy",
     "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSSSSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXXX",
+    "yyyy-MM-dd HH:mm:ssXXX",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
 )
+# no value of these formats is longer: a longer text is not parsed
+DATETIME_MAX = 40
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                  T.FloatType, T.DoubleType, T.DecimalType)

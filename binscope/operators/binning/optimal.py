@@ -2,8 +2,9 @@
 
 Plan (numeric factors):
 
-1. candidate cuts: one global aggregation of ``percentile_approx`` per factor
-   (no shuffle; at most ``max_candidates - 1`` values per factor reach the driver);
+1. candidate cuts: all values of a factor that has few, else exact discrete
+   quantiles found by narrowing value ranges (``rankcuts``); at most
+   ``max_candidates - 1`` values per factor reach the driver;
 2. fine-bin statistics: every factor's fine bin from its own comparison tree,
    one explode and one ``groupBy(factor, fine_bin)`` - the only pass over the
    data; the result (at most #factors x (max_candidates + 2) rows) is
@@ -26,17 +27,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binscope.functions.exprs import qcol, target_values, as_double
 from binscope.operators.binning import solve as S
 from binscope.operators.binning import tables as B
-from binscope.session import materialize
+from binscope.session import materialize, ship_package
 
 MAX_CANDIDATES = 256
-PERCENTILE_ACCURACY = 10_000
 MAX_CLASSES = 1_000
 OTHERS = "others"
 
@@ -77,39 +77,33 @@ def _event_value(df: DataFrame, y: str):
     return df.select(F.max(target_values(y, _dtypes(df)[y]))).first()[0]
 
 
-def candidate_cuts(df: DataFrame, factors: Sequence[str], max_candidates: int = MAX_CANDIDATES,
-                   accuracy: int = PERCENTILE_ACCURACY) -> dict[str, list[float]]:
-    """Cuts per factor: every distinct value but the smallest, or ``max_candidates - 1`` quantiles.
+def candidate_cuts(df: DataFrame, factors: Sequence[str], max_candidates: int = MAX_CANDIDATES) -> dict[str, list[float]]:
+    """Cuts per factor: every distinct value but the smallest, or ``max_candidates - 1`` exact quantiles.
 
-    Quantiles (existing values, deduplicated) are taken for factors with more
-    than ``max_candidates`` distinct values. Being approximate, they may differ
-    slightly with the partitioning.
+    Discrete quantiles (existing values, deduplicated) are taken for factors
+    with more than ``max_candidates`` distinct values. They follow from the
+    rows alone, not from their partitioning.
     """
     if not factors:
         return {}
+    from binscope.operators.longform import to_long
+    from binscope.operators.rankcuts import rank_values
     dt = _dtypes(df)
-    probs = [i / max_candidates for i in range(1, max_candidates)]
     cols = [as_double(qcol(f), dt[f]).alias(f"__x{i}") for i, f in enumerate(factors)]
-    row = df.select(*cols).agg(*[F.percentile_approx(f"__x{i}", probs, accuracy).alias(f"__c{i}")
-                                 for i in range(len(factors))],
-                               *[F.approx_count_distinct(f"__x{i}").alias(f"__d{i}") for i in range(len(factors))],
+    row = df.select(*cols).agg(*[F.approx_count_distinct(f"__x{i}").alias(f"__d{i}") for i in range(len(factors))],
                                *[F.min(f"__x{i}").alias(f"__m{i}") for i in range(len(factors))]).first()
     # the estimate only picks the factors whose values are few enough to list exactly
     few = [f for i, f in enumerate(factors) if row[f"__d{i}"] <= 1.5 * max_candidates]
     listed = {}
     if few:
-        from binscope.operators.longform import to_long
         listed = {r["factor"]: r["vals"] for r in to_long(df, few).filter(F.col("x").isNotNull())
                   .select("factor", "x").distinct().groupBy("factor")
                   .agg(F.sort_array(F.collect_set("x")).alias("vals")).collect()}
-    out = {}
-    for i, f in enumerate(factors):
-        vals = row[f"__c{i}"] or []
-        if f in listed and len(listed[f]) <= max_candidates:
-            vals = listed[f]
-        # the smallest value opens the first bin anyway: a cut there leaves (-inf, min) empty
-        out[f] = sorted({float(v) for v in vals if v is not None and v > row[f"__m{i}"]})
-    return out
+        listed = {f: v for f, v in listed.items() if len(v) <= max_candidates}
+    many = [f for i, f in enumerate(factors) if f not in listed and row[f"__m{i}"] is not None]
+    cuts = rank_values(df, many, [i / max_candidates for i in range(1, max_candidates)]) if many else {}
+    # the smallest value opens the first bin anyway: a cut there leaves (-inf, min) empty
+    return {f: sorted({float(v) for v in listed.get(f, cuts.get(f, [])) if v > row[f"__m{i}"]}) for i, f in enumerate(factors)}
 
 
 def _y_expr(df: DataFrame, y: str, kind: str, event_value=None) -> Column:
@@ -130,6 +124,7 @@ def _stats_schema(kind: str) -> str:
 def _solver(kind: str, cuts: dict[str, list[float]], classes: list[str], monotonic_trend, max_n_prebins,
             min_prebin_size, max_bin_size, min_bin_size, categorical: bool):
     """The per-factor function for ``applyInPandas`` (closure holds only tiny values)."""
+    ship_package(SparkSession.getActiveSession())
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         factor = pdf["factor"].iloc[0]

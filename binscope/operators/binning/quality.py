@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binscope.session import ship_package
+
 # Fixed value: where the score's IV term peaks
 QUALITY_C = 0.39573882184806863
 
@@ -151,4 +153,5 @@ def quality_score(table: DataFrame, kind: str, summary: DataFrame | None = None)
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"factor": [pdf["factor"].iloc[0]], "quality_score": [float(_score(pdf, kind))]})
 
+    ship_package(table.sparkSession)
     return t.groupBy("factor").applyInPandas(fn, "factor string, quality_score double")

@@ -26,7 +26,8 @@ from binscope.functions.exprs import qcol, as_double, finite
 
 # distinct values per rank bucket the window sorts in one task
 RANK_BUCKET_ROWS = 2_000_000
-MAX_RANK_BUCKETS = 4096
+# cut values that one step of a search looks through
+SEARCH_STEP = 256
 TOPK_SALTS = 64
 
 
@@ -63,7 +64,7 @@ def value_counts(long_df: DataFrame, group: str = "factor", value: str = "x") ->
 def _bucket_count(counts: DataFrame, group: str) -> int:
     """Buckets needed so no bucket holds more than RANK_BUCKET_ROWS distinct values."""
     mx = counts.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    return int(min(MAX_RANK_BUCKETS, max(1, math.ceil(mx / RANK_BUCKET_ROWS))))
+    return buckets_for(mx)
 
 
 def with_value_buckets(df: DataFrame, group: str, value: str, n_buckets: int,
@@ -71,20 +72,32 @@ def with_value_buckets(df: DataFrame, group: str, value: str, n_buckets: int,
     """Order-preserving bucket id per row: open ranges get even ids, cut values odd ids."""
     if n_buckets <= 1:
         return df.withColumn(out, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = (df.groupBy(group)
-            .agg(F.array_distinct(F.percentile_approx(value, probs, 10 * n_buckets + 1000))
-                 .alias("__cuts")))
-    # one row per group, at most n_buckets values each: a bounded table
+    if isinstance(df.schema[value].dataType, T.StringType):
+        # texts have no approximate quantiles: a share of the values, chosen by their hash, are the cuts
+        chosen = df.where(F.pmod(F.xxhash64(value), F.lit(RANK_BUCKET_ROWS)) == 0)
+        cuts = (df.select(group).distinct().join(chosen.groupBy(group).agg(F.sort_array(F.collect_set(value)).alias("__cuts")), group, "left")
+                .withColumn("__cuts", F.coalesce("__cuts", F.array().cast("array<string>"))))
+    else:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = (df.groupBy(group)
+                .agg(F.array_distinct(F.percentile_approx(value, probs, 10 * n_buckets + 1000))
+                     .alias("__cuts")))
+    # every SEARCH_STEP-th cut: a value is looked up there first, then in one step's cuts
+    cuts = cuts.withColumn("__coarse", F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("__cuts") - 1) / SEARCH_STEP)).cast("int")),
+        lambda i: F.get("__cuts", i * SEARCH_STEP)))
+    # one row per group with a cut for each RANK_BUCKET_ROWS values: eight bytes of it for millions of values
     j = df.join(F.broadcast(cuts), on=group, how="left")
-    below = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col(value)))
-    hit = F.array_contains(F.col("__cuts"), F.col(value)).cast("int")
-    return j.withColumn(out, below * 2 + hit).drop("__cuts")
+    step = F.greatest(F.lit(0), F.size(F.filter("__coarse", lambda c: c < F.col(value))) - 1)
+    j = j.withColumn("__at", step * SEARCH_STEP).withColumn("__near", F.slice("__cuts", F.col("__at") + 1, SEARCH_STEP + 1))
+    below = F.col("__at") + F.size(F.filter("__near", lambda c: c < F.col(value)))
+    hit = F.array_contains("__near", F.col(value)).cast("int")
+    return j.withColumn(out, below * 2 + hit).drop("__cuts", "__coarse", "__at", "__near")
 
 
 def buckets_for(largest: int) -> int:
     """Rank buckets so that no bucket holds more than RANK_BUCKET_ROWS distinct values."""
-    return int(min(MAX_RANK_BUCKETS, max(1, math.ceil((largest or 0) / RANK_BUCKET_ROWS))))
+    return max(1, math.ceil((largest or 0) / RANK_BUCKET_ROWS))
 
 
 def ranked_values(counts: DataFrame, group: str = "factor", value: str = "x",

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binscope.operators.longform import buckets_for, ranked_values, with_value_buckets
+from binscope.session import ship_package
 
 LOCAL_PAIRS = 2_000_000
-MAX_BUCKETS = 2048
 
 
 # ---------------------------------------------------------------------------
@@ -89,6 +89,7 @@ def _local_s(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFram
         out = {k: [pdf[k].iloc[0]] for k in keys}
         out["s"] = [s]
         return pd.DataFrame(out)
+    ship_package(df.sparkSession)
     return df.select(*keys, x, y, w).groupBy(*keys).applyInPandas(fn, _s_schema(keys))
 
 
@@ -109,7 +110,7 @@ def kendall_s(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS, largest: int | N
         largest = largest_group(pairs)
     if largest <= local_pairs or depth >= 2:
         return _local_s(pairs, ["factor"], "x", "y", "w")
-    nb = int(min(MAX_BUCKETS, max(2, math.ceil(2 * largest / local_pairs))))
+    nb = max(2, math.ceil(2 * largest / local_pairs))
     b = with_value_buckets(pairs, "factor", "x", nb, out="xb")
     b = with_value_buckets(b, "factor", "y", nb, out="yb")
     # odd bucket ids hold one value only: their inner pairs add nothing

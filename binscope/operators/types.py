@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binscope.functions.exprs import (DATETIME_FORMATS, FLOAT_TYPES, INTEGER_TYPES, NESTED_TYPES,
+from binscope.functions.exprs import (DATETIME_FORMATS, DATETIME_MAX, FLOAT_TYPES, INTEGER_TYPES, NESTED_TYPES,
                                       NUMERIC_STRING_RE, NUMERIC_TYPES, TEMPORAL_TYPES, tokens)
 from binscope.operators.longform import string_long, typed_value_counts
 
@@ -121,8 +121,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
               .otherwise(0)).alias("n_boolean_like"),
     ]
     for i, fmt in enumerate(DATETIME_FORMATS):
-        aggs.append(F.count_if(nonblank & is_str & F.try_to_timestamp(v, F.lit(fmt)).isNull())
-                    .alias(f"__bad_dt{i}"))
+        parsed = F.when(F.length(v) <= DATETIME_MAX, F.try_to_timestamp(v, F.lit(fmt)))
+        aggs.append(F.count_if(nonblank & is_str & parsed.isNull()).alias(f"__bad_dt{i}"))
     stats = vt.groupBy("column_name").agg(*aggs)
     fmt_pick = F.lit(None).cast("string")
     for i in reversed(range(len(DATETIME_FORMATS))):

@@ -85,3 +85,28 @@ def planted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     noise = F.crc32(F.concat_ws(":", "l_orderkey", "l_linenumber")) / F.lit(float(1 << 32))
     return li.withColumn("y", F.col("l_quantity") / 50.0 + 5.0 * F.col("l_discount") + 0.1 * noise)
+
+
+#: columns of :func:`date_strings`: order dates as ISO with a fraction, with Z, with an offset, with month names, and a mixture
+DATE_STRINGS = ["iso_micro", "iso_z", "iso_offset", "named", "long_name", "mixture"]
+
+
+def date_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders' dates written as text in several shapes; every second date of ``mixture`` is of another shape."""
+    o = table(spark, sf_dir, "orders")
+    day = F.to_date("o_orderdate")
+    stamp = F.concat(day.cast("string"), F.lit("T00:00:"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))
+    micro = F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")
+    return o.select(F.concat(stamp, F.lit("."), micro).alias("iso_micro"), F.concat(stamp, F.lit("Z")).alias("iso_z"),
+                    F.concat(stamp, F.lit("+02:00")).alias("iso_offset"), F.date_format(day, "d MMM yyyy").alias("named"),
+                    F.date_format(day, "MMMM d, yyyy").alias("long_name"),
+                    F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "d MMM yyyy")).otherwise(day.cast("string")).alias("mixture"))
+
+
+DATE_STRINGS_SQL = """date_strings AS (
+  SELECT stamp || '.' || micro AS iso_micro, stamp || 'Z' AS iso_z, stamp || '+02:00' AS iso_offset,
+    strftime(day, '%-d %b %Y') AS named, strftime(day, '%B %-d, %Y') AS long_name,
+    CASE WHEN o_orderkey % 2 = 0 THEN strftime(day, '%-d %b %Y') ELSE CAST(day AS VARCHAR) END AS mixture
+  FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day,
+          CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || 'T00:00:' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS stamp,
+          lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS micro FROM orders))"""

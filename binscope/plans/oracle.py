@@ -36,7 +36,9 @@ SCHEMAS["nulls_orders"] = SCHEMAS["orders"]
 # Spark datetime patterns of exprs.DATETIME_FORMATS in strftime form, same order
 DUCK_DATETIME_FORMATS = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%g", "%Y-%m-%dT%H:%M:%S",
                          "%Y-%m-%dT%H:%M:%S.%g", "%Y/%m/%d", "%Y/%m/%d %H:%M:%S", "%m/%d/%Y",
-                         "%m/%d/%Y %H:%M:%S", "%d.%m.%Y", "%Y-%m-%d %H:%M")
+                         "%m/%d/%Y %H:%M:%S", "%d.%m.%Y", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f",
+                         "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%d %H:%M:%S%z", "%d %b %Y", "%d %B %Y",
+                         "%b %d, %Y", "%B %d, %Y", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%fZ", "%Y-%m-%d %H:%M:%SZ")
 
 
 def q(s: str) -> str:
@@ -814,3 +816,66 @@ SELECT factor, CASE WHEN v > 0 THEN CAST(row_number() OVER (ORDER BY v DESC) AS
 SQL["rank_factors"] = f"""SELECT name, round(iv, 3) AS feature_importance, round(js, 3) AS js, round(gini, 3) AS gini,
   CAST(row_number() OVER (ORDER BY round(iv, 3) DESC, round(js, 3) DESC, name) AS INTEGER) AS place
 FROM (SELECT factor AS name, iv, js, gini FROM ({SQL["iv_js_gini"]}))"""
+
+
+# ---------------------------------------------------------------------------
+# C5 on date strings; E4, E6, E7, E15 over all partitions
+# ---------------------------------------------------------------------------
+SCHEMAS["date_strings"] = [(c, "string") for c in X.DATE_STRINGS]
+SQL["get_data_types_date_strings"] = types_sql("date_strings", X.DATE_STRINGS_SQL)
+
+SQL["candidate_cuts"] = union([f"""SELECT DISTINCT '{c}' AS factor, v.x AS cut FROM
+    (SELECT x, sum(n) OVER (ORDER BY x) AS upto, n, sum(n) OVER () AS total, min(x) OVER () AS least
+     FROM (SELECT CAST({c} AS DOUBLE) AS x, count(*) AS n FROM lineitem GROUP BY 1)) v,
+    (SELECT unnest(range(1, 256)) AS i) p
+  WHERE v.upto >= greatest(1, ceil(i * total / 256.0)) AND v.upto - v.n < greatest(1, ceil(i * total / 256.0)) AND v.x > v.least"""
+    for c in ("l_extendedprice", "l_orderkey", "l_partkey")])
+
+SQL["candidate_bins"] = f"""WITH few AS ({SQL["candidate_bins_distinct"]}),
+cuts AS (SELECT * FROM few WHERE factor <> 'l_linenumber' UNION ALL
+         SELECT * FROM ({SQL["candidate_cuts"]}) WHERE factor = 'l_extendedprice'),
+listed AS (SELECT factor, list(cut ORDER BY cut) AS c FROM cuts GROUP BY factor),
+rows AS ({union([f"SELECT '{c}' AS factor, CAST({c} AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem" for c in X.BIN_X])}),
+v AS (SELECT factor, x, count(*) AS k FROM rows GROUP BY 1, 2),
+f AS (SELECT factor, x, CAST(len(list_filter(c, lambda e: e <= x)) AS INTEGER) AS fine_id FROM v JOIN listed USING (factor))
+SELECT factor, fine_id, count(*) AS n, round(sum(y), 4) AS sum_y, round(var_pop(y) * count(*), -3) AS m2_y, round(min(y), 4) AS min_y,
+  round(max(y), 4) AS max_y, count(*) FILTER (WHERE y = 0) AS zeros, round(min(x), 4) AS min_x, round(max(x), 4) AS max_x
+FROM rows JOIN f USING (factor, x) GROUP BY 1, 2"""
+
+
+def all_partitions_sql(objective: str, metric: str, event: str) -> str:
+    """The best of the 64 partitions of l_linenumber's 7 values by the rule for ``auto``.
+
+    Rising or falling partitions compete; those with one turn win if their
+    objective is at least 1.1 times as great.
+    """
+    return f"""WITH v AS (SELECT l_linenumber AS x, count(*) AS n, sum({event}) AS s FROM lineitem GROUP BY 1),
+r AS (SELECT x, n, s, row_number() OVER (ORDER BY x) - 1 AS i FROM v),
+g AS (SELECT mask, bit_count(mask & ((1 << CAST(i AS INTEGER)) - 1)) AS bin, x, n, s FROM r, (SELECT unnest(range(64)) AS mask)),
+b AS (SELECT mask, bin, min(x) AS lo, sum(n) AS n, CAST(sum(s) AS DOUBLE) AS s FROM g GROUP BY 1, 2),
+t AS (SELECT sum(n) AS nn, CAST(sum(s) AS DOUBLE) AS ss FROM v),
+c AS (SELECT mask, bin, lo, {objective} AS o, {metric} - lag({metric}) OVER (PARTITION BY mask ORDER BY bin) AS d FROM b, t),
+p AS (SELECT mask, sum(o) AS objective, count(*) AS n_bins,
+    coalesce(max(bin) FILTER (WHERE d > 1e-12), -1) AS last_up, coalesce(min(bin) FILTER (WHERE d > 1e-12), 99) AS first_up,
+    coalesce(max(bin) FILTER (WHERE d < -1e-12), -1) AS last_down, coalesce(min(bin) FILTER (WHERE d < -1e-12), 99) AS first_down,
+    string_agg(printf('%.6f', CAST(lo AS DOUBLE)), '|' ORDER BY lo) FILTER (WHERE bin > 0) AS splits FROM c GROUP BY mask),
+mono AS (SELECT * FROM p WHERE last_up = -1 OR last_down = -1 ORDER BY objective DESC LIMIT 1),
+turn AS (SELECT * FROM p WHERE last_up < first_down OR last_down < first_up ORDER BY objective DESC LIMIT 1),
+best AS (SELECT * FROM turn WHERE objective >= 1.1 * (SELECT objective FROM mono)
+         UNION ALL SELECT * FROM mono WHERE NOT EXISTS (SELECT 1 FROM turn WHERE objective >= 1.1 * (SELECT objective FROM mono)))
+SELECT 'l_linenumber' AS factor, coalesce(splits, '') AS splits, CAST(n_bins AS INTEGER) AS n_bins, round(objective, 6) AS objective FROM best"""
+
+
+SQL["optimal_binning_all_partitions"] = all_partitions_sql("abs(s / n - ss / nn)", "s / n", "l_extendedprice")
+SQL["optimal_binning_all_partitions_binary"] = all_partitions_sql(
+    "CASE WHEN s > 0 AND s < n THEN ((n - s) / (nn - ss) - s / ss) * ln(((n - s) / (nn - ss)) / (s / ss)) ELSE 0 END",
+    "s / n", "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")
+
+SQL["trend_shape"] = with_ctes(assigned_sql(_LI, X.REG_SPLITS, f"CAST({_REG_Y} AS DOUBLE)")) + """
+, b AS (SELECT factor, bin_id, avg(y) AS m, (min(x) + max(x)) / 2 AS mid FROM d WHERE y IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT *, (m - lag(m) OVER w) / (mid - lag(mid) OVER w) AS slope FROM b WINDOW w AS (PARTITION BY factor ORDER BY bin_id)),
+e AS (SELECT *, slope - lag(slope) OVER (PARTITION BY factor ORDER BY bin_id) AS bend FROM s)
+SELECT factor, CASE WHEN count(bend) = 0 THEN 'undefined'
+  WHEN count(*) FILTER (WHERE bend > 0) = 0 AND count(*) FILTER (WHERE bend < 0) = 0 THEN 'linear'
+  WHEN count(*) FILTER (WHERE bend < 0) = 0 THEN 'convex' WHEN count(*) FILTER (WHERE bend > 0) = 0 THEN 'concave'
+  ELSE 'mixed' END AS trend_shape FROM e GROUP BY factor"""

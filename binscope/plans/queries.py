@@ -310,7 +310,7 @@ def q_candidate_bins(spark, d):
     li = X.table(spark, d, "lineitem")
     cuts = O.candidate_cuts(li, X.BIN_X)
     a = B.assign_bins(li, X.BIN_X, cuts, y="l_extendedprice")
-    return rounded(B.continuous_bin_stats(a).withColumnRenamed("bin_id", "fine_id"), 4)
+    return rounded(B.continuous_bin_stats(a).withColumnRenamed("bin_id", "fine_id"), 4, {"m2_y": -3})
 
 
 @register("optimal_binning_continuous")
@@ -771,3 +771,53 @@ def q_semantic_docs(spark, d):
 @register("profile_alerts_lineitem")
 def q_alerts_li(spark, d):
     return P.profile_alerts(X.table(spark, d, "lineitem"))
+
+
+# ---------------------------------------------------------------------------
+# C5 on date strings; E4, E6, E7, E15, E19 checked over all partitions
+# ---------------------------------------------------------------------------
+@register("get_data_types_date_strings")
+def q_types_dates(spark, d):
+    return C.get_data_types(X.date_strings(spark, d))
+
+
+@register("candidate_cuts")
+def q_candidate_cuts(spark, d):
+    """E4 for factors of many values: exact discrete quantiles."""
+    cuts = O.candidate_cuts(X.table(spark, d, "lineitem"), ["l_extendedprice", "l_orderkey", "l_partkey"])
+    return spark.createDataFrame([(f, float(c)) for f, cs in cuts.items() for c in cs], "factor string, cut double")
+
+
+def _best_partition(res, objective):
+    total = res.table.where("kind = 'regular'").groupBy("factor").agg(F.sum(objective).alias("objective"), F.count("*").cast("int").alias("n_bins"))
+    splits = F.array_join(F.transform("splits", lambda v: F.format_string("%.6f", v)), "|").alias("splits")
+    return rounded(res.splits.select("factor", splits).join(total, "factor"))
+
+
+@register("optimal_binning_all_partitions")
+def q_all_partitions(spark, d):
+    res = O.optimal_binning(X.table(spark, d, "lineitem"), ["l_linenumber"], "l_extendedprice", "continuous", min_prebin_size=0.0)
+    return _best_partition(res, F.abs("woe"))
+
+
+@register("optimal_binning_all_partitions_binary")
+def q_all_partitions_binary(spark, d):
+    res = O.optimal_binning(X.bin_lineitem(spark, d), ["l_linenumber"], "y", "binary", min_prebin_size=0.0)
+    return _best_partition(res, F.col("iv"))
+
+
+@register("trend_shape")
+def q_trend_shape(spark, d):
+    return B.trend_shape(_reg_table(spark, d), "mean")
+
+
+@register("binning_analysis_binary")
+def q_binning_analysis_binary(spark, d):
+    a = A.binning_analysis(X.bin_lineitem(spark, d), X.BIN_X, "y", "classification")
+    return _summary_out(type("R", (), {"summary": a["summary"]}))
+
+
+@register("binning_analysis_multiclass")
+def q_binning_analysis_multiclass(spark, d):
+    a = A.binning_analysis(X.table(spark, d, "lineitem"), X.BIN_X, "l_returnflag", "classification")
+    return _summary_out(type("R", (), {"summary": a["summary"]}))

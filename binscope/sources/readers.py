@@ -116,8 +116,12 @@ def whole_json_files(spark: SparkSession, path: str, encoding: str = "utf8") ->
         F.avg(F.col("record").cast("int")).alias("records"))
     spans = F.col("first.line").startswith("[") & F.col("last").endswith("]")
     found = files.select("file", (~F.col("first.record") & (spans | (F.col("records") < 0.5))).alias("whole")).collect()
-    escaped = {r["file"]: re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(r["file"])) for r in found}
-    return [sorted(escaped[r["file"]] for r in found if r["whole"] == w) for w in (False, True)]
+    return [sorted(_escaped(r["file"]) for r in found if r["whole"] == w) for w in (False, True)]
+
+
+def _escaped(file: str) -> str:
+    """A file's path as a pattern that matches only it."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(file))
 
 
 def read_json_table(spark: SparkSession, path: str, encoding: str = "utf8",
@@ -136,6 +140,18 @@ def read_json_table(spark: SparkSession, path: str, encoding: str = "utf8",
         if "_corrupt_record" not in df.columns:
             return df
         by_line, whole = whole_json_files(spark, path, encoding)
+        if whole:
+            # only a file that parses as one text is one
+            texts = read(True, whole, columnNameOfCorruptRecord="_corrupt_record")
+            if "_corrupt_record" in texts.columns:
+                others = [c for c in texts.columns if c != "_corrupt_record"]
+                # Spark wants a field beside the corrupt record to be read
+                read_ = F.count(F.col("`" + others[0].replace("`", "``") + "`")) if others else F.lit(0)
+                files = texts.select("*", F.col("_metadata.file_path").alias("__file")) if others else None
+                broken = set(whole) if files is None else {
+                    _escaped(r["__file"]) for r in files.groupBy("__file").agg(
+                        F.count("_corrupt_record").alias("bad"), read_.alias("n")).collect() if r["bad"]}
+                by_line, whole = sorted([*by_line, *broken]), [f for f in whole if f not in broken]
         if not whole:
             return df
         if by_line:

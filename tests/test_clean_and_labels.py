@@ -75,3 +75,13 @@ def test_common_counts_normalise_floats(spark):
     r = {x.column_name: x for x in profile_common(df).collect()}
     assert (r["x"].n, r["x"].n_missing, r["x"].n_distinct, r["x"].n_unique) == (3, 2, 2, 1)
     assert (r["k"].n, r["k"].n_missing, r["k"].n_distinct, r["k"].n_unique) == (4, 1, 3, 2)
+
+
+def test_bands_of_numeric_strings(spark):
+    from binscope.operators.bands import quartile_bands
+    df = spark.createDataFrame([(str(i) if i % 9 else " ", f"t{i}", float(i)) for i in range(1, 81)], "n string, t string, x double")
+    out = quartile_bands(df)
+    assert out.columns == ["n", "t", "x", "n_band", "n_colour", "x_band", "x_colour"]
+    rows = out.collect()
+    assert all((r.n_band is None) == (r.n == " ") for r in rows) and {r.n_band for r in rows} == {None, 1, 2, 3, 4}
+    assert all(r.n_band == 1 for r in rows if r.n != " " and int(r.n) <= 18)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from binscope.operators.longform import to_long
 from binscope.operators.ranks import kendall_s_local, kendall_tau_b, spearman
@@ -74,3 +75,23 @@ def test_bucketed_ranks_equal_single_window(spark):
     assert q1 == q7
     xa = np.sort(np.array([v for f, v in rows if f == "a"]))
     assert abs(dict(((f, p), q) for f, p, q in q1)[("a", 0.5)] - np.quantile(xa, 0.5)) < 1e-12
+
+
+def test_small_buckets_without_a_cap(spark, monkeypatch):
+    """50,000 values in buckets of about ten: far more buckets than one search step holds."""
+    from binscope.operators import longform as L
+    from binscope.operators.factors import label_encode
+    monkeypatch.setattr(L, "RANK_BUCKET_ROWS", 10)
+    rng = np.random.default_rng(8)
+    v = rng.permutation(50_000)
+    df = spark.createDataFrame([(int(x), f"k{x:05d}") for x in v[:20_000]], "x int, s string")
+    counts = L.value_counts(L.to_long(df, ["x"]))
+    b = L.with_value_buckets(counts, "factor", "x", L.buckets_for(20_000))
+    sizes = b.groupBy("bucket").count()
+    assert sizes.count() > 2000 and sizes.agg(F.max("count")).first()[0] < 100
+    assert b.groupBy("bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
+        F.count_if(F.col("lo") > F.col("hi"))).first()[0] == 0
+    ranked = {r.x: r.cum_before for r in L.ranked_values(counts).collect()}
+    assert ranked == {float(x): i for i, x in enumerate(sorted(int(x) for x in v[:20_000]))}
+    codes = {r.value: r.code for r in label_encode(df, ["s"]).collect()}
+    assert codes == {s: i for i, s in enumerate(sorted(f"k{x:05d}" for x in v[:20_000]))}

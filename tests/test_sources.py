@@ -108,3 +108,21 @@ def test_json_lines_with_bad_lines_keep_every_record(spark, tmp_path):
     (tmp_path / "nested.json").write_text('{"rows": [\n{"x": 1},\n{"x": 2},\n{"x": 3}\n], "n": 3}')
     assert R.read_table(spark, str(tmp_path / "pretty.json")).count() == 2
     assert [x.x for x in R.read_table(spark, str(tmp_path / "nested.json")).first().rows] == [1, 2, 3]
+
+
+def test_json_form_is_decided_by_parsing(spark, tmp_path):
+    """Mostly broken lines, or lines that look like an array, are still lines; a text that parses is one."""
+    from binscope.sources.readers import read_json_table
+    good = ['{"a": 1}', '{"a": 2}', '{"a": 3}']
+    cases = {"broken": (["{bad", "x", "y}", *good[:2]], 2), "bracketed": (["[bad", *good, "tail]"], 3),
+             "array": (["[", '{"a": 1},', '{"a": 2}', "]"], 2), "pretty": (['[{"a":', "1}, {", '"a": 5}]'], 2)}
+    for name, (lines, n) in cases.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text("\n".join(lines))
+        rows = read_json_table(spark, str(path)).collect()
+        assert sum(r["a"] is not None for r in rows) == n, name
+    both = tmp_path / "both"
+    both.mkdir()
+    for name in ("broken", "array"):
+        (both / f"{name}.json").write_text("\n".join(cases[name][0]))
+    assert sum(r["a"] is not None for r in read_json_table(spark, str(both)).collect()) == 4

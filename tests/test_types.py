@@ -75,3 +75,14 @@ def test_driver_tables_match_fixture_map(spark, sf001):
     emb = spark.read.parquet(f"{sf001}/embeddings.parquet")
     got = {r.column_name: r.data_type for r in get_data_types(emb).collect()}
     assert got["embedding"] == "Unsupported"
+
+
+def test_dates_of_many_shapes(spark):
+    from binscope.operators.types import get_data_types
+    days = [(f"2024-{m:02d}-{d:02d}T01:02:03.{m}{d:05d}", f"2024-{m:02d}-{d:02d}T00:00:00Z", f"2024-{m:02d}-{d:02d} 10:00:00-05:30",
+             f"{d} {'Jan Feb Mar Apr'.split()[m - 1]} 2024", f"{'January February March April'.split()[m - 1]} {d}, 2024",
+             f"{d} {'Jan Feb Mar Apr'.split()[m - 1]} 2024" if d % 2 else f"2024-{m:02d}-{d:02d}", f"2024-{m:02d}-{d + 10:02d}" + "x" * 50)
+            for m in range(1, 5) for d in range(1, 21)]
+    df = spark.createDataFrame(days, "a string, b string, c string, d string, e string, mixed string, long string")
+    got = {r.column_name: r.data_type for r in get_data_types(df).collect()}
+    assert {got[c] for c in "abcde"} == {"DateTime"} and "DateTime" not in (got["mixed"], got["long"])
