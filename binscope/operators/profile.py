@@ -9,8 +9,10 @@ column is ever sorted in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from pyspark import StorageLevel
 from binscope.operators.longform import (buckets_for, exact_quantiles, quantiles_from_counts, string_long,
                                          top_k, typed_value_counts, value_counts)
 from binscope.operators.types import semantic_types
-from binscope.session import materialize
+from binscope.session import materialize, ship_package
 
 # ---------------------------------------------------------------------------
 # Alert thresholds and default quantiles of the profile
@@ -429,37 +431,46 @@ def word_frequencies(df: DataFrame, columns: Sequence[str], tokenizer: str = "wo
 # ---------------------------------------------------------------------------
 # D4 (part): monotonic flags along a caller-given order column
 # ---------------------------------------------------------------------------
-MONOTONIC_BUCKET_ROWS = 2_000_000
-
-
-def profile_monotonic(df: DataFrame, columns: Sequence[str], order_by: str,
-                      rows_per_bucket: int = MONOTONIC_BUCKET_ROWS) -> DataFrame:
+def _steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream sorted by (position, order) to one row for each column of a partition: its steps and both ends."""
+    state: dict[int, list] = {}
+    for batch in batches:
+        at, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("position", "v"))
+        for p in np.unique(at).tolist():
+            x = v[at == p]
+            down, up, first, last = state.get(p, (0, 0, x[0], x[0]))
+            d = np.diff(np.r_[last, x])
+            state[p] = [down + int((d < 0).sum()), up + int((d > 0).sum()), first, x[-1]]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(state), pa.int32()), *[pa.array([s[k] for s in state.values()], t)
+                                              for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]],
+        names=["position", "down", "up", "first", "last"])
+
+
+def profile_monotonic(df: DataFrame, columns: Sequence[str], order_by: str, partitions: int | None = None) -> DataFrame:
     """``(column_name, position, monotonic_increasing, monotonic_decreasing)`` (non-strict, nulls
     skipped) with rows ordered by ``order_by`` (which should be unique: ties have no order).
 
-    The order column is cut into value-range buckets; each bucket checks its own
-    steps with ``lag`` and reports its first and last value, and a table of one
-    row per bucket checks the steps between buckets - no global sort.
+    Rows are dealt out by ranges of (column, order value) and sorted inside
+    their partition, where the steps are counted; the ends of the partitions
+    that follow each other, one row a partition and column, give the steps in
+    between. Nothing of the data's size is broadcast or sorted in one task.
     """
     from pyspark.sql import Window
-    from binscope.operators.longform import with_value_buckets
     cols = _numeric_cols(df, columns)
     parts = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                       qcol(c).cast("double").alias("v")) for i, c in enumerate(cols)]
     lng = (df.select(qcol(order_by).alias("__o"), F.explode(F.array(*parts)).alias("__s"))
            .select("__o", "__s.*").filter(F.col("v").isNotNull() & ~F.isnan("v") & F.col("__o").isNotNull()))
-    n = df.count()
-    nb = max(1, -(-n // rows_per_bucket))
-    b = with_value_buckets(lng, "column_name", "__o", nb)
-    w = Window.partitionBy("column_name", "bucket").orderBy("__o")
-    d = b.withColumn("__d", F.col("v") - F.lag("v").over(w))
-    per_bucket = d.groupBy("column_name", "position", "bucket").agg(
-        F.count_if(F.col("__d") < 0).alias("__down"), F.count_if(F.col("__d") > 0).alias("__up"),
-        F.min_by("v", "__o").alias("__first"), F.max_by("v", "__o").alias("__last"))
-    wb = Window.partitionBy("column_name").orderBy("bucket")   # one row per bucket
-    step = F.col("__first") - F.lag("__last").over(wb)
-    s = per_bucket.select("*", step.alias("__step")).groupBy("column_name", "position").agg(
-        (F.sum("__down") + F.count_if(F.col("__step") < 0)).alias("__nd"),
-        (F.sum("__up") + F.count_if(F.col("__step") > 0)).alias("__nu"))
-    return s.select("column_name", "position", (F.col("__nd") == 0).alias("monotonic_increasing"),
-                    (F.col("__nu") == 0).alias("monotonic_decreasing"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ship_package(df.sparkSession)
+    ends = (lng.repartitionByRange(n, "position", "__o").sortWithinPartitions("position", "__o").select("position", "v")
+            .mapInArrow(_steps, "position int, down long, up long, first double, last double")
+            .withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("position").orderBy("part")   # a row for each partition
+    step = F.col("first") - F.lag("last").over(w)
+    names = F.array(*[F.lit(c) for c in cols])
+    s = ends.withColumn("step", step).groupBy("position").agg(
+        (F.sum("down") + F.count_if(F.col("step") < 0)).alias("nd"), (F.sum("up") + F.count_if(F.col("step") > 0)).alias("nu"))
+    return s.select(F.get(names, F.col("position")).alias("column_name"), "position", (F.col("nd") == 0).alias("monotonic_increasing"),
+                    (F.col("nu") == 0).alias("monotonic_decreasing"))

@@ -659,12 +659,14 @@ SQL["split_by_datetime"] = "SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-
     "ELSE 'test' END AS split FROM events"
 SQL["replace_literals"] = "SELECT conv_id, turn, replace(replace(replace(text, 'the', 'THE'), 'a', 'A'), " \
     "'THE', 'the') AS text FROM conversations"
-_RT = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem"
+_RT = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+  strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM lineitem"""
 SQL["read_delimited"] = _RT
 SQL["read_tsv"] = _RT
 SQL["read_parquet_table"] = _RT
 SQL["read_json_table"] = _RT
-SQL["read_xml_table"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+SQL["read_xml_table"] = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"""
 SQL["read_json_lines"] = _RT
 SQL["read_table_encoded"] = "SELECT doc_id, translate(text, chr(10) || chr(13), '  ') AS text, lang, source FROM documents"
 SQL["detect_encoding"] = "SELECT 'gb18030' AS written, 'GB18030' AS found UNION ALL SELECT 'utf8', 'utf8'"

@@ -531,25 +531,37 @@ def q_replace(spark, d):
                     .alias("text"))
 
 
+_LONGS, _DOUBLES = ("l_orderkey", "l_partkey", "l_suppkey"), ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_TIME = "yyyy-MM-dd HH:mm:ss"
+
+
+def _typed(df):
+    """All columns of lineitem as read from text, with the types of the table and the date-time as text."""
+    return df.select(*[F.col(c).cast("long").alias(c) for c in _LONGS], F.col("l_linenumber").cast("int").alias("l_linenumber"),
+                     *[F.col(c).cast("double").alias(c) for c in _DOUBLES], F.col("l_returnflag").cast("string").alias("l_returnflag"),
+                     F.col("l_linestatus").cast("string").alias("l_linestatus"),
+                     F.date_format(F.col("l_shipdate").cast("timestamp"), _TIME).alias("l_shipdate"))
+
+
 def _round_trip(spark, d, fmt):
-    """Write four lineitem columns with Spark, read them back through read_table."""
-    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    """Write lineitem, all columns, with Spark and read it back through read_table."""
+    li = X.table(spark, d, "lineitem")
     out = scratch_dir(spark, f"roundtrip-{fmt}")
     if fmt == "tsv":
         li.write.option("header", "true").option("sep", "\t").mode("overwrite").csv(f"{out}/t")
-        return RD.read_table(spark, f"{out}/t", fmt="tsv")
+        return _typed(RD.read_table(spark, f"{out}/t", fmt="tsv"))
     RD.write_report_tables({"t": li}, out, fmt)
-    return RD.read_table(spark, f"{out}/t", fmt=fmt)
+    return _typed(RD.read_table(spark, f"{out}/t", fmt=fmt))
 
 
 @register("read_delimited")
 def q_read_csv(spark, d):
-    return _round_trip(spark, d, "csv").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return _round_trip(spark, d, "csv")
 
 
 @register("read_tsv")
 def q_read_tsv(spark, d):
-    return _round_trip(spark, d, "tsv").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return _round_trip(spark, d, "tsv")
 
 
 @register("read_parquet_table")
@@ -559,30 +571,28 @@ def q_read_parquet(spark, d):
 
 @register("read_json_table")
 def q_read_json(spark, d):
-    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     out = scratch_dir(spark, "json")
-    RD.write_report_tables({"t": li}, out, "json")
-    return RD.read_json_table(spark, f"{out}/t", multi_line=False).select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    RD.write_report_tables({"t": X.table(spark, d, "lineitem")}, out, "json")
+    return _typed(RD.read_json_table(spark, f"{out}/t", multi_line=False))
 
 
 @register("read_xml_table")
 def q_read_xml(spark, d):
-    o = X.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     out = scratch_dir(spark, "xml")
-    o.write.format("xml").option("rowTag", "row").option("rootTag", "rows").mode("overwrite").save(f"{out}/t")
+    X.table(spark, d, "orders").write.format("xml").option("rowTag", "row").option("rootTag", "rows").mode("overwrite").save(f"{out}/t")
     return RD.read_table(spark, f"{out}/t/*.xml", encodings=["utf8"]).select(
-        F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus",
-        F.col("o_totalprice").cast("double").alias("o_totalprice"))
+        F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"),
+        F.col("o_orderstatus").cast("string").alias("o_orderstatus"), F.col("o_totalprice").cast("double").alias("o_totalprice"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), _TIME).alias("o_orderdate"),
+        F.col("o_orderpriority").cast("string").alias("o_orderpriority"))
 
 
 @register("read_json_lines")
 def q_read_json_lines(spark, d):
-    """JSON Lines of whole lineitem through read_table, which finds the form itself."""
+    """JSON Lines of whole lineitem, all columns, through read_table, which finds the form itself."""
     out = scratch_dir(spark, "jsonl")
-    RD.write_report_tables({"t": X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
-                                                                      "l_returnflag")}, out, "json")
-    return RD.read_table(spark, f"{out}/t").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    RD.write_report_tables({"t": X.table(spark, d, "lineitem")}, out, "json")
+    return _typed(RD.read_table(spark, f"{out}/t"))
 
 
 def _gb18030(spark, d) -> str:
@@ -749,7 +759,7 @@ def q_monotonic(spark, d):
 def q_monotonic_b(spark, d):
     o = X.nulls_orders(spark, d).withColumn("neg_key", -F.col("o_orderkey"))
     return P.profile_monotonic(o, ["o_orderkey", "o_totalprice", "o_custkey", "neg_key"], "o_orderkey",
-                               rows_per_bucket=700)
+                               partitions=200)
 
 
 @register("optimal_binning_cat_cutoff")

@@ -50,7 +50,7 @@ def test_monotonic_drop_anywhere_is_found(spark):
     cols = [f"c{j}" for j in range(len(drops))]
     rows = [tuple([i] + [float(i - (5 if i >= p else 0)) for p in drops] + [float(i)]) for i in range(n)]
     df = spark.createDataFrame(rows, "o long, " + ", ".join(f"{c} double" for c in cols) + ", up double")
-    out = {r.column_name: r for r in profile_monotonic(df, cols + ["up"], "o", rows_per_bucket=50).collect()}
+    out = {r.column_name: r for r in profile_monotonic(df, cols + ["up"], "o", partitions=40).collect()}
     assert out["up"].monotonic_increasing and not out["up"].monotonic_decreasing
     assert not any(out[c].monotonic_increasing for c in cols)
 
