@@ -827,10 +827,11 @@ SCHEMAS["date_strings"] = [(c, "string") for c in X.DATE_STRINGS]
 SQL["get_data_types_date_strings"] = types_sql("date_strings", X.DATE_STRINGS_SQL)
 
 SQL["candidate_cuts"] = union([f"""SELECT DISTINCT '{c}' AS factor, v.x AS cut FROM
-    (SELECT x, sum(n) OVER (ORDER BY x) AS upto, n, sum(n) OVER () AS total, min(x) OVER () AS least
+    (SELECT x, sum(n) OVER (ORDER BY x) AS upto, n, sum(n) OVER () AS total, min(x) OVER () AS least, count(*) OVER () AS d
      FROM (SELECT CAST({c} AS DOUBLE) AS x, count(*) AS n FROM lineitem GROUP BY 1)) v,
     (SELECT unnest(range(1, 256)) AS i) p
-  WHERE v.upto >= greatest(1, ceil(i * total / 256.0)) AND v.upto - v.n < greatest(1, ceil(i * total / 256.0)) AND v.x > v.least"""
+  WHERE v.x > v.least AND (d <= 256 OR v.upto >= greatest(1, ceil(i * total / 256.0))
+                           AND v.upto - v.n < greatest(1, ceil(i * total / 256.0)))"""
     for c in ("l_extendedprice", "l_orderkey", "l_partkey")])
 
 SQL["candidate_bins"] = f"""WITH few AS ({SQL["candidate_bins_distinct"]}),
