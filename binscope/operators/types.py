@@ -1,15 +1,22 @@
 """C: semantic column types (DateTime, Numeric, Text, Categorical, Id, Unsupported).
 
-One plan does it all:
-
-1. every value as a string in long form ``(column_name, position, value)``;
-   ``groupBy(column, value)`` gives exact distinct values with counts
-   (partial aggregation first, so a constant column costs one row per task);
-2. per column: rows, nulls, distinct count, numeric-string and date-format
-   validity, all evaluated on *distinct* values;
-3. token statistics of the text rule from the same distinct values, weighted
-   by their counts;
-4. the ordered rule as a ``CASE`` over those statistics.
+Each column is read once:
+
+1. every value in long form becomes a short row. A number, date or flag is its
+   column's position and 64 bits. A text is its position, two 64-bit hashes,
+   what it looks like as bits (number, blank, boolean word, more tokens than
+   the text rule asks for) and, only if it is short and begins like a date,
+   the text itself;
+2. ``groupBy`` over that row counts distinct values (partial aggregation
+   first, so a constant column costs one row per task); no long text is ever
+   a shuffle key, and date formats are tried on distinct values only;
+3. per column: rows, nulls, distinct count, bad numbers, the date format that
+   parses all values, the number of blanks;
+4. the ordered rule as a ``CASE`` over those statistics (one row per column).
+
+The text rule wants some token more than three times. A blank is a token of
+its own, so a column with more than three blanks has one; tokens are counted
+only for the columns that this leaves open, in a second scan of just those.
 """
 
 from __future__ import annotations
@@ -21,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binscope.functions.exprs import (DATETIME_FORMATS, DATETIME_MAX, FLOAT_TYPES, INTEGER_TYPES, NESTED_TYPES,
-                                      NUMERIC_STRING_RE, NUMERIC_TYPES, TEMPORAL_TYPES, tokens)
-from binscope.operators.longform import string_long, typed_value_counts
+                                      NUMERIC_STRING_RE, NUMERIC_TYPES, TEMPORAL_TYPES, TOKEN_RE, qcol, tokens)
+from binscope.operators.longform import string_long
 
 # ---------------------------------------------------------------------------
 # Fixed values of the type rules
@@ -39,6 +46,13 @@ SEMANTIC_MAX_CATEGORIES = 50
 SEMANTIC_MAX_CATEGORY_SHARE = 0.5
 BOOLEAN_STRINGS = ("true", "false", "yes", "no", "t", "f", "y", "n", "on", "off")
 
+# how a value of any of the date formats begins (only such texts are kept and parsed)
+DATE_START_RE = r"^(?:[+-]?\d+[-/. ]|[A-Za-z]+\.? \d)"
+# more tokens than MIN_TOKENS_FOR_TEXT: each token as the tokeniser takes it, never a shorter one
+MANY_TOKENS_RE = rf"^(?>{TOKEN_RE}){{{MIN_TOKENS_FOR_TEXT + 1}}}"
+# bits of a text
+BAD_NUMBER, NONBLANK, BOOLEAN_WORD, MANY_TOKENS = 1, 2, 4, 8
+
 
 def _kind(dt: T.DataType) -> str:
     if isinstance(dt, NESTED_TYPES):
@@ -56,98 +70,123 @@ def _kind(dt: T.DataType) -> str:
     return "other"
 
 
-def column_meta(df: DataFrame, columns: Sequence[str] | None = None,
-                declared_categorical: Sequence[str] = ()) -> DataFrame:
-    """One row per column: name, position, physical kind, declared flag (bounded by the schema)."""
-    cols = list(columns or df.columns)
+def _text_row(name: str, position: int, dtype: T.DataType) -> Column:
+    """What the type rules need of a text: place, two hashes, bits, date-like text, number of blanks."""
+    v = qcol(name).cast("string")    # char(n) and collated texts as plain ones
+    bits, date_text, blanks = F.lit(0), F.lit(None).cast("string"), F.lit(0)
+    if isinstance(dtype, T.StringType):
+        trimmed = F.trim(v)
+        nonblank = trimmed != ""
+        word = (F.length(trimmed) <= max(map(len, BOOLEAN_STRINGS))) & F.lower(trimmed).isin(*BOOLEAN_STRINGS)
+        bits = (F.when(nonblank & ~v.rlike(NUMERIC_STRING_RE), BAD_NUMBER).otherwise(0)
+                + F.when(nonblank, NONBLANK).otherwise(0) + F.when(word, BOOLEAN_WORD).otherwise(0)
+                + F.when(v.rlike(MANY_TOKENS_RE), MANY_TOKENS).otherwise(0))
+        date_text = F.when((F.length(v) <= DATETIME_MAX) & v.rlike(DATE_START_RE), v)
+        blanks = F.coalesce(F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit(""))), F.lit(0))
+    return F.struct(F.lit(position).alias("position"), F.when(v.isNotNull(), F.xxhash64(v)).alias("h1"),
+                    F.when(v.isNotNull(), F.xxhash64(F.lit(1), v)).alias("h2"), bits.alias("bits"),
+                    date_text.alias("date_text"), blanks.cast("long").alias("blanks"))
+
+
+def _number_row(name: str, position: int, dtype: T.DataType) -> Column:
+    """Place and value of a number, date or flag as 64 bits (hashing eight bytes into eight loses nothing)."""
+    v = qcol(name)
+    if isinstance(dtype, FLOAT_TYPES):
+        v = v.cast("double")
+        v = F.when(F.isnan(v), F.lit(None)).when(v == 0, F.lit(0.0)).otherwise(v)
+    key = v.cast("long") if isinstance(dtype, (*INTEGER_TYPES, T.BooleanType)) else F.xxhash64(v)
+    return F.struct(F.lit(position).alias("position"), F.when(v.isNotNull(), key).alias("h1"))
+
+
+def _exploded(df: DataFrame, rows: list[Column]) -> DataFrame:
+    return df.select(F.explode(F.array(*rows)).alias("__s")).select("__s.*")
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """One row per distinct value of a column, nulls as one: of the eight-byte columns, and of the others.
+
+    The first is ``(position, h1, cnt)``, the second ``(position, h1, h2,
+    bits, date_text, cnt, blanks)``, where two 64-bit hashes stand for a value;
+    None if there is no such column. ``position`` counts in ``columns``. Each
+    column is read by one of the two.
+    """
     dts = {f.name: f.dataType for f in df.schema.fields}
-    rows = [(c, i, _kind(dts[c]), c in set(declared_categorical)) for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(
-        rows, "column_name string, position int, kind string, declared boolean")
+    short = [i for i, c in enumerate(columns) if _kind(dts[c]) in ("int", "bool", "temporal") or isinstance(dts[c], FLOAT_TYPES)]
+    rest = [i for i in range(len(columns)) if i not in set(short)]
+    n = F.count(F.lit(1)).alias("cnt")
+    numbers = texts = None
+    if short:
+        numbers = _exploded(df, [_number_row(columns[i], i, dts[columns[i]]) for i in short]).groupBy("position", "h1").agg(n)
+    if rest:
+        texts = (_exploded(df, [_text_row(columns[i], i, dts[columns[i]]) for i in rest])
+                 .groupBy("position", "h1", "h2", "bits", "date_text").agg(n, F.sum("blanks").alias("blanks")))
+    return numbers, texts
+
 
+def _frequent_token(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Those of ``columns`` with a token seen more than MIN_TOKEN_FREQUENCY_FOR_TEXT times (their names only)."""
+    if not columns:
+        return set()
+    counts = (string_long(df, columns).select("column_name", F.explode(tokens(F.col("value"))).alias("token"))
+              .groupBy("column_name", "token").agg(F.count(F.lit(1)).alias("n")))
+    found = counts.where(F.col("n") > MIN_TOKEN_FREQUENCY_FOR_TEXT).select("column_name").distinct()
+    return {r["column_name"] for r in found.collect()}
 
-def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, position, value, cnt)`` incl. one null-value row per column with nulls."""
-    return (string_long(df, columns)
-            .groupBy("column_name", "position", "value")
-            .agg(F.count(F.lit(1)).alias("cnt")))
+
+STATS_SCHEMA = ("column_name string, position int, kind string, declared boolean, n_rows long, n_null long, "
+                "n_distinct long, n_bad_numeric long, n_boolean_like long, datetime_format string, "
+                "many_tokens boolean, frequent_token boolean")
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
-                 declared_categorical: Sequence[str] = ()) -> DataFrame:
-    """Per column statistics that drive every type rule."""
+                 declared_categorical: Sequence[str] = (), all_texts: bool = True) -> DataFrame:
+    """Per column statistics that drive every type rule: a row per column (a null ``n_rows`` on an empty table).
+
+    The scan runs at once. With ``all_texts`` off, ``frequent_token`` is only
+    settled for columns that no earlier rule decides.
+    """
+    spark = df.sparkSession
     cols = list(columns or df.columns)
     dts = {f.name: f.dataType for f in df.schema.fields}
     flat = [c for c in cols if not isinstance(dts[c], NESTED_TYPES)]
-    strings = [c for c in flat if isinstance(dts[c], T.StringType)]
-    meta = column_meta(df, cols, declared_categorical)
-    if not flat:
-        return meta.select("*", *[F.lit(None).cast("long").alias(n) for n in
-                                  ("n_rows", "n_null", "n_distinct", "n_bad_numeric",
-                                   "max_tokens", "max_token_freq")],
-                           F.lit(None).cast("string").alias("datetime_format"))
-    non_str = [c for c in flat if c not in set(strings)]
-    v = F.col("value")
-    basic = []
-    for tv in (typed_value_counts(df, non_str) if non_str else []):
-        # numbers, dates and booleans: counts from typed values (no text conversion, no text checks)
-        basic.append(tv.groupBy("column_name").agg(
-            F.sum("cnt").alias("n_rows"),
-            F.sum(F.when(v.isNull(), F.col("cnt")).otherwise(0)).alias("n_null"),
-            F.count(v).alias("n_distinct"),
-            F.lit(0).cast("long").alias("n_bad_numeric"),
-            F.count(v).alias("n_nonblank_distinct"),
-            F.lit(0).cast("long").alias("n_boolean_like"),
-            F.lit(None).cast("string").alias("datetime_format")))
-    if not strings:
-        stats = basic[0]
-        for other in basic[1:]:
-            stats = stats.unionByName(other)
-        stats = stats.withColumn("max_tokens", F.lit(None).cast("long")) \
-                     .withColumn("max_token_freq", F.lit(None).cast("long"))
-        return meta.join(F.broadcast(stats), "column_name", "left")
-    vt = value_table(df, strings)
-    present = v.isNotNull()
-    nonblank = present & (F.trim(v) != "")
-    is_str = F.col("column_name").isin(strings) if strings else F.lit(False)
-    # string-only checks are guarded by is_str first (short-circuit: numeric columns skip the regex)
-    aggs = [
-        F.sum("cnt").alias("n_rows"),
-        F.sum(F.when(~present, F.col("cnt")).otherwise(0)).alias("n_null"),
-        F.count(v).alias("n_distinct"),
-        F.count_if(is_str & nonblank & ~v.rlike(NUMERIC_STRING_RE)).alias("n_bad_numeric"),
-        F.count_if(nonblank).alias("n_nonblank_distinct"),
-        F.sum(F.when(is_str & present & F.lower(F.trim(v)).isin(*BOOLEAN_STRINGS), F.col("cnt"))
-              .otherwise(0)).alias("n_boolean_like"),
-    ]
-    for i, fmt in enumerate(DATETIME_FORMATS):
-        parsed = F.when(F.length(v) <= DATETIME_MAX, F.try_to_timestamp(v, F.lit(fmt)))
-        aggs.append(F.count_if(nonblank & is_str & parsed.isNull()).alias(f"__bad_dt{i}"))
-    stats = vt.groupBy("column_name").agg(*aggs)
-    fmt_pick = F.lit(None).cast("string")
-    for i in reversed(range(len(DATETIME_FORMATS))):
-        fmt_pick = F.when(F.col(f"__bad_dt{i}") == 0, F.lit(DATETIME_FORMATS[i])).otherwise(fmt_pick)
-    stats = stats.withColumn("datetime_format",
-                             F.when(F.col("n_nonblank_distinct") > 0, fmt_pick)) \
-                 .drop(*[f"__bad_dt{i}" for i in range(len(DATETIME_FORMATS))])
-    for other in basic:
-        stats = stats.unionByName(other)
-    if strings:
-        # own value table over the string columns only: its scan reads just those columns
-        svt = value_table(df, strings)
-        toks = (svt.filter(F.col("value").isNotNull())
-                .select("column_name", "cnt", tokens(F.col("value")).alias("__t"))
-                .select("column_name", "cnt", F.size("__t").alias("__nt"), F.explode("__t").alias("token")))
-        tok = (toks.groupBy("column_name", "token")
-               .agg(F.sum("cnt").alias("__freq"), F.max("__nt").alias("__mx"))
-               .groupBy("column_name")
-               .agg(F.max("__mx").alias("max_tokens"), F.max("__freq").alias("max_token_freq")))
-        stats = stats.join(tok, "column_name", "left")
-    else:
-        stats = stats.withColumn("max_tokens", F.lit(None).cast("long")) \
-                     .withColumn("max_token_freq", F.lit(None).cast("long"))
-    # meta and stats hold one row per column
-    return meta.join(F.broadcast(stats), "column_name", "left")
+    found = {}
+    if flat:
+        numbers, texts = distinct_values(df, flat)
+        has = lambda bit: F.col("bits").bitwiseAND(bit) != 0
+        basic = [F.sum("cnt").alias("n_rows"), F.sum(F.when(F.col("h1").isNull(), F.col("cnt")).otherwise(0)).alias("n_null"),
+                 F.count("h1").alias("n_distinct")]
+        of_text = {"n_bad_numeric": F.count_if(has(BAD_NUMBER)), "n_nonblank": F.count_if(has(NONBLANK)),
+                   "n_boolean_like": F.sum(F.when(has(BOOLEAN_WORD), F.col("cnt")).otherwise(0)),
+                   "many_tokens": F.bool_or(has(MANY_TOKENS)), "blanks": F.sum("blanks")}
+        bad = {f"d{i}": F.count_if(has(NONBLANK) & F.try_to_timestamp("date_text", F.lit(fmt)).isNull())
+               for i, fmt in enumerate(DATETIME_FORMATS)}
+        parts = []
+        if numbers is not None:
+            parts.append(numbers.groupBy("position").agg(*basic))
+        if texts is not None:
+            parts.append(texts.groupBy("position").agg(*basic, *[c.alias(k) for k, c in (of_text | bad).items()]))
+        per_column = parts[0] if len(parts) == 1 else parts[1].unionByName(parts[0], allowMissingColumns=True)
+        found = {flat[r["position"]]: r.asDict() for r in per_column.collect()}    # a row per column
+    rows = []
+    for i, c in enumerate(cols):
+        r = found.get(c)
+        head = (c, i, _kind(dts[c]), c in set(declared_categorical))
+        if r is None:
+            rows.append((*head, None, None, None, None, None, None, False, False))
+            continue
+        fmt = next((f for j, f in enumerate(DATETIME_FORMATS) if r.get("n_nonblank") and not r[f"d{j}"]), None)
+        rows.append((*head, r["n_rows"], r["n_null"], r["n_distinct"], r.get("n_bad_numeric") or 0,
+                     r.get("n_boolean_like") or 0, fmt, bool(r.get("many_tokens")),
+                     (r.get("blanks") or 0) > MIN_TOKEN_FREQUENCY_FOR_TEXT))
+    stats = spark.createDataFrame(rows, STATS_SCHEMA)
+    maybe = {r[0] for r in rows if r[-2] and not r[-1]}
+    if maybe and not all_texts:
+        decided = F.col("is_categorical") | F.col("is_numeric") | F.col("is_datetime") | F.col("declared")
+        maybe &= {r["column_name"] for r in column_flags(stats).where(~decided).collect()}
+    frequent = _frequent_token(df, [c for c in cols if c in maybe])
+    if frequent:
+        stats = spark.createDataFrame([(*r[:-1], r[-1] or r[0] in frequent) for r in rows], STATS_SCHEMA)
+    return stats
 
 
 def _flags(int_parity: bool = True) -> dict[str, Column]:
@@ -162,8 +201,7 @@ def _flags(int_parity: bool = True) -> dict[str, Column]:
         is_numeric, (nd <= MAX_CATEGORIES_NUMERIC) & is_integer
     ).otherwise(nd <= MAX_CATEGORIES_TEXT) & F.coalesce(share_ok, F.lit(False))
     is_datetime = (kind == "temporal") | ((kind == "string") & F.col("datetime_format").isNotNull())
-    is_text = (kind == "string") & (F.col("max_tokens") > MIN_TOKENS_FOR_TEXT) & \
-        (F.col("max_token_freq") > MIN_TOKEN_FREQUENCY_FOR_TEXT)
+    is_text = (kind == "string") & F.col("many_tokens") & F.col("frequent_token")
     unsupported = (kind == "nested") | (kind == "other") | (nd < 1)
     return dict(is_numeric=F.coalesce(is_numeric, F.lit(False)),
                 is_integer=is_integer,
@@ -201,12 +239,12 @@ def types_from_stats(stats: DataFrame, int_parity: bool = True) -> DataFrame:
 def get_data_types(df: DataFrame, variables: Sequence[str] | None = None,
                    declared_categorical: Sequence[str] = (), int_parity: bool = True) -> DataFrame:
     """C4 on a table: ``(column_name, position, data_type)``; a column may appear twice."""
-    return types_from_stats(column_stats(df, variables, declared_categorical), int_parity)
+    return types_from_stats(column_stats(df, variables, declared_categorical, all_texts=False), int_parity)
 
 
 def semantic_types(df: DataFrame, variables: Sequence[str] | None = None) -> DataFrame:
     """Profile typeset (Boolean, Numeric, DateTime, Categorical, Text, Unsupported)."""
-    s = column_stats(df, variables)
+    s = column_stats(df, variables, all_texts=False)
     c = F.col
     nd = F.coalesce(c("n_distinct"), F.lit(0))
     kind = c("kind")
@@ -235,7 +273,7 @@ def invert_type_map(types_long: DataFrame) -> DataFrame:
 
 def numeric_columns(df: DataFrame, variables: Sequence[str] | None = None) -> DataFrame:
     """``(column_name, position, is_numeric)``."""
-    return column_flags(column_stats(df, variables)).select("column_name", "position", "is_numeric")
+    return column_flags(column_stats(df, variables, all_texts=False)).select("column_name", "position", "is_numeric")
 
 
 def guess_roles(types_long: DataFrame) -> DataFrame:
