@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from binscope.functions.exprs import qcol, target_values, as_double
 from binscope.operators.binning import solve as S
 from binscope.operators.binning import tables as B
+from binscope.operators.longform import ranked_values
 from binscope.session import materialize, ship_package
 
 MAX_CANDIDATES = 256
@@ -230,14 +231,32 @@ def _metric_from(per: DataFrame, kind: str) -> DataFrame:
         tot = per.groupBy("factor", "position", "category").agg(
             F.sum("n").alias("__n"),
             F.sum(F.when(F.col("class") == first_class, F.col("n")).otherwise(0)).alias("__e"))
-        return tot.select("factor", "position", "category", (F.col("__e") / F.col("__n")).alias("metric"))
-    return per.select("factor", "position", "category", (F.col("sum_y") / F.col("n")).alias("metric"))
+        return tot.select("factor", "position", "category", (F.col("__e") / F.col("__n")).alias("metric"),
+                          F.col("__n").alias("n"))
+    return per.select("factor", "position", "category", (F.col("sum_y") / F.col("n")).alias("metric"), "n")
+
+
+def _units_by_mass(sized: DataFrame, units: int) -> DataFrame:
+    """``sized(factor, ..., metric, n)`` with ``fine_id``: a unit begins at each 1/``units`` of a factor's rows.
+
+    Categories are in metric order and those of one metric stay together, so a
+    unit of several metrics holds less than 1/``units`` of the rows besides its
+    last metric's. Counted exactly: the units do not depend on the partitioning.
+    """
+    per_metric = sized.groupBy("factor", "metric").agg(F.sum("n").alias("cnt"))
+    total = per_metric.groupBy("factor").agg(F.sum("cnt").alias("__t"))
+    begins = (ranked_values(per_metric, "factor", "metric", "cnt").join(F.broadcast(total), "factor")  # one row per factor
+              .select("factor", "metric", F.floor(F.col("cum_before") * units / F.col("__t")).cast("int").alias("fine_id")))
+    return sized.join(begins, ["factor", "metric"])
 
 
 def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, kind: str,
                        max_candidates: int, first_position: int, cat_cutoff: float | None = None):
     """``(fine stats, unit map)`` for string factors; units are categories in metric order.
 
+    A factor of more than ``max_candidates`` categories has units of about
+    equal shares of its rows instead, see :func:`_units_by_mass`.
+
     With ``cat_cutoff``, categories holding less than that share of a factor's
     rows are pooled into one ``others`` category first.
     """
@@ -277,9 +296,7 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
     w = Window.partitionBy("factor").orderBy("metric", "category")
     units = nonnull.filter(~F.col("factor").isin(many)).withColumn("fine_id", F.dense_rank().over(w) - 1)
     if many:
-        from binscope.operators.longform import with_value_buckets
-        units = units.unionByName(with_value_buckets(nonnull.filter(F.col("factor").isin(many)), "factor", "metric",
-                                                     max_candidates // 2, out="fine_id"))
+        units = units.unionByName(_units_by_mass(nonnull.filter(F.col("factor").isin(many)), max_candidates))
     nunits = units.groupBy("factor").agg(F.max("fine_id").alias("n_units"))
     unit_map = units.select("factor", "category", F.col("fine_id").cast("int").alias("fine_id"))
     unit_map = unit_map.join(nunits, "factor").unionByName(

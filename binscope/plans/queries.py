@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binscope.operators import profile as P
+from binscope.operators import sketches as K
 from binscope.operators import types as C
 from binscope.plans import fixtures as X
+from binscope.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -104,6 +106,15 @@ def q_profile_quantiles(spark, d):
     return rounded(P.profile_quantiles(X.table(spark, d, "lineitem"), X.LINEITEM_NUMERIC))
 
 
+@register("quantile_sketch_error")
+def q_quantile_sketch(spark, d):
+    """Sketches per month, merged over the months; every quantile's rank within the stated error."""
+    li = X.table(spark, d, "lineitem").withColumn("month", F.trunc("l_shipdate", "month"))
+    merged = K.merge_sketches(K.quantile_sketches(li, X.LINEITEM_NUMERIC, ["month"], error=0.01))
+    errors = K.rank_errors(li, K.sketch_quantiles(materialize(merged), P.QUANTILES))
+    return errors.select("column_name", "position", "prob", "n", (F.col("rank_error") <= 0.01).alias("within"))
+
+
 @register("profile_quantiles_nulls")
 def q_profile_quantiles_nulls(spark, d):
     return rounded(P.profile_quantiles(X.nulls_orders(spark, d), ["o_totalprice", "o_custkey"]))
