@@ -39,7 +39,8 @@ from binscope.session import materialize, ship_package
 
 MAX_CANDIDATES = 256
 MAX_CLASSES = 1_000
-OTHERS = "others"
+# stands for the pooled categories among the units; never shown, and no category of a table is named so
+OTHERS = "\0others"
 
 
 @dataclass
@@ -119,7 +120,7 @@ def _y_expr(df: DataFrame, y: str, kind: str, event_value=None) -> Column:
 
 def _stats_schema(kind: str) -> str:
     return "factor string, fine_id int, bin_id int, splits array<double>, status string, trend string, " \
-           "objective double"
+           "objective double, others boolean"
 
 
 def _solver(kind: str, cuts: dict[str, list[float]], classes: list[str], monotonic_trend, max_n_prebins,
@@ -171,18 +172,15 @@ def _solver(kind: str, cuts: dict[str, list[float]], classes: list[str], monoton
             splits = [float(c[int(rids[s]) - 1]) for s in starts[1:]] if len(rids) else []
         nb = len(splits)
         out_ids = np.empty(len(fine_ids), dtype=np.int64)
-        ri = 0
-        for idx, fid in enumerate(fine_ids):
-            if fid <= k:
-                out_ids[idx] = int(groups[ri]) if len(rids) else 0
-                ri += 1
-            elif fid == k + 1:
-                out_ids[idx] = nb + 1
-            else:
-                out_ids[idx] = nb + 2
+        others = int(categorical and (fine_ids == k + 3).any())    # pooled categories: a bin of their own
+        out_ids[regular] = groups
+        out_ids[fine_ids == k + 3] = nb + 1
+        out_ids[fine_ids == k + 1] = nb + others + 1
+        out_ids[fine_ids == k + 2] = nb + others + 2
         return pd.DataFrame({"factor": factor, "fine_id": fine_ids.astype(np.int32),
                              "bin_id": out_ids.astype(np.int32), "splits": [splits] * len(fine_ids),
-                             "status": sol.status, "trend": sol.trend, "objective": float(sol.objective)})
+                             "status": sol.status, "trend": sol.trend, "objective": float(sol.objective),
+                             "others": bool(others)})
 
     return fn
 
@@ -250,6 +248,12 @@ def _units_by_mass(sized: DataFrame, units: int) -> DataFrame:
     return sized.join(begins, ["factor", "metric"])
 
 
+def _same_category(left: str, right: str) -> Column:
+    """Equal factor and category of two aliases; a missing category equals itself."""
+    return (F.col(f"{left}.factor") == F.col(f"{right}.factor")) & \
+        F.col(f"{left}.category").eqNullSafe(F.col(f"{right}.category"))
+
+
 def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, kind: str,
                        max_candidates: int, first_position: int, cat_cutoff: float | None = None):
     """``(fine stats, unit map)`` for string factors; units are categories in metric order.
@@ -258,7 +262,8 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
     equal shares of its rows instead, see :func:`_units_by_mass`.
 
     With ``cat_cutoff``, categories holding less than that share of a factor's
-    rows are pooled into one ``others`` category first.
+    rows are pooled into one unit, after the Missing one, that the solver
+    leaves alone: it becomes the ``others`` bin.
     """
     parts = [F.struct(F.lit(f).alias("factor"), F.lit(first_position + i).alias("position"),
                       qcol(f).cast("string").alias("category")) for i, f in enumerate(factors)]
@@ -284,12 +289,13 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
         sums = [F.sum("n").alias("n")] if kind == "multiclass" else [
             F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y"), _merged_m2(),
             F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.sum("zeros").alias("zeros")]
-        with_unit = per.join(pooled, ["factor", "category"])
+        with_unit = per.alias("p").join(pooled.alias("u"), _same_category("p", "u")).select("p.*", "u.__unit")
         per = materialize((with_unit if kind == "multiclass" else _shifted(with_unit)).groupBy(*keys).agg(*sums)
                           .withColumnRenamed("__unit", "category"))
     metric_tbl = _metric_from(per, kind)
     # units: categories in (metric, category) order; null category -> Missing unit
-    nonnull = metric_tbl.filter(F.col("category").isNotNull())
+    rest = F.col("category") == OTHERS if pooled is not None else F.lit(False)
+    nonnull = metric_tbl.filter(F.col("category").isNotNull() & ~rest)
     counts = nonnull.groupBy("factor").count()
     # decided per factor: one row per factor reaches the driver
     many = [r["factor"] for r in counts.filter(F.col("count") > max_candidates).collect()]
@@ -300,10 +306,11 @@ def _categorical_units(df: DataFrame, factors: Sequence[str], y_expr: Column, ki
     nunits = units.groupBy("factor").agg(F.max("fine_id").alias("n_units"))
     unit_map = units.select("factor", "category", F.col("fine_id").cast("int").alias("fine_id"))
     unit_map = unit_map.join(nunits, "factor").unionByName(
-        metric_tbl.filter(F.col("category").isNull()).join(nunits, "factor", "left")
-        .select("factor", "category", (F.coalesce(F.col("n_units"), F.lit(0)) + 2).cast("int").alias("fine_id"),
-                "n_units"))
-    joined = per.join(unit_map, ["factor", "category"], "inner")
+        metric_tbl.filter(F.col("category").isNull() | rest).join(nunits, "factor", "left")
+        .withColumn("n_units", F.coalesce("n_units", F.lit(0)))
+        .select("factor", "category", (F.col("n_units") + F.when(F.col("category").isNull(), 2).otherwise(3))
+                .cast("int").alias("fine_id"), "n_units"))
+    joined = per.alias("p").join(unit_map.alias("u"), _same_category("p", "u")).select("p.*", "fine_id", "n_units")
     if pooled is not None:
         # labels list the original categories: map each one through its pooled unit
         unit_map = (pooled.join(unit_map.withColumnRenamed("category", "__unit"), ["factor", "__unit"])
@@ -387,7 +394,7 @@ def optimal_binning(df: DataFrame, factors: Sequence[str], y: str, kind: str = "
         fine_cat, unit_map = _categorical_units(data, cat, _y_expr(data, y, kind, event_value), kind,
                                                 max_candidates, 0, cat_cutoff)
         if drop_missing_x:
-            fine_cat = fine_cat.filter(F.col("fine_id") <= F.col("n_units"))
+            fine_cat = fine_cat.filter(F.col("fine_id") != F.col("n_units") + 2)
         fine_cat = materialize(fine_cat)
         fn = _solver(kind, {}, classes, monotonic_trend, max_n_prebins, min_prebin_size, max_bin_size,
                      min_bin_size, categorical=True)
@@ -401,7 +408,8 @@ def optimal_binning(df: DataFrame, factors: Sequence[str], y: str, kind: str = "
     posdf = df.sparkSession.createDataFrame([(f, i, "categorical" if f in cat else "numerical")
                                              for f, i in pos.items()], "factor string, position int, dtype string")
     splits = (mapping.groupBy("factor").agg(F.first("splits").alias("splits"), F.first("status").alias("status"),
-                                            F.first("trend").alias("trend"), F.first("objective").alias("objective"))
+                                            F.first("trend").alias("trend"), F.first("objective").alias("objective"),
+                                            F.bool_or("others").alias("others"))
               .join(F.broadcast(posdf), "factor"))  # one row per factor
     sk = B.skeleton_from_splits(splits, label_length)
     if cat_maps is not None:

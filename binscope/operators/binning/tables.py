@@ -423,8 +423,12 @@ def bin_arrays(table: DataFrame, metric: str) -> DataFrame:
 
 
 def skeleton_from_splits(splits_df: DataFrame, label_length: int | None = None) -> DataFrame:
-    """Like :func:`bin_skeleton`, built in Spark from ``(factor, position, splits)`` rows."""
-    sp = splits_df.select("factor", "position", "splits")
+    """Like :func:`bin_skeleton`, built in Spark from ``(factor, position, splits[, others])`` rows.
+
+    Where ``others`` is true, a bin of that kind follows the regular ones.
+    """
+    others = F.col("others") if "others" in splits_df.columns else F.lit(False)
+    sp = splits_df.select("factor", "position", "splits", others.cast("int").alias("__o"))
     k = F.size("splits")
     reg = sp.select("factor", "position", "splits", F.explode(F.sequence(F.lit(0), k)).alias("bin_id"))
     i = F.col("bin_id")
@@ -432,9 +436,11 @@ def skeleton_from_splits(splits_df: DataFrame, label_length: int | None = None)
                      F.when(i > 0, F.element_at("splits", i)).alias("lo"),
                      F.when(i < F.size("splits"), F.element_at("splits", i + 1)).alias("hi"),
                      F.lit("regular").alias("kind"))
-    extra = sp.select("factor", "position", F.explode(F.array(
-        F.struct((k + 1).alias("bin_id"), F.lit("special").alias("kind")),
-        F.struct((k + 2).alias("bin_id"), F.lit("missing").alias("kind")))).alias("__e"))
+    extra = sp.select("factor", "position", F.explode(F.concat(
+        F.when(F.col("__o") > 0, F.array(F.struct((k + 1).alias("bin_id"), F.lit("others").alias("kind"))))
+        .otherwise(F.array().cast("array<struct<bin_id:int,kind:string>>")),
+        F.array(F.struct((k + F.col("__o") + 1).alias("bin_id"), F.lit("special").alias("kind")),
+                F.struct((k + F.col("__o") + 2).alias("bin_id"), F.lit("missing").alias("kind"))))).alias("__e"))
     extra = extra.select("factor", "position", F.col("__e.bin_id").alias("bin_id"),
                          F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
                          F.col("__e.kind").alias("kind"))

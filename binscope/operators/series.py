@@ -9,12 +9,15 @@ METRICS = {"continuous": ("mean", "woe", "iv"), "binary": ("event_rate", "woe",
 
 
 def _kinds(add_special: bool, add_missing: bool) -> list[str]:
-    return ["regular"] + (["special"] if add_special else []) + (["missing"] if add_missing else [])
+    return ["regular", "others"] + (["special"] if add_special else []) + (["missing"] if add_missing else [])
 
 
 def bin_series(table: DataFrame, metric: str = "mean", add_special: bool = True, add_missing: bool = True,
                show_bin_labels: bool = False, label_length: int = 27) -> DataFrame:
-    """``(factor, x, count, metric, kind, label)``: bars at positions 0..k-1 plus a metric line."""
+    """``(factor, x, count, metric, kind, label)``: bars at positions 0..k-1 plus a metric line.
+
+    The bin of pooled categories, if there is one, comes after the regular ones with kind ``others``.
+    """
     if metric not in ("mean", "woe", "iv", "event_rate"):
         raise ValueError(f"metric must be one of mean, woe, iv, event_rate; got {metric!r}")
     t = table.filter(F.col("kind").isin(*_kinds(add_special, add_missing)))
@@ -31,14 +34,17 @@ def actual_scale_series(table: DataFrame, metric: str = "mean", show_bin_labels:
     """regular bins at their real x: ``(factor, bin_id, left, right, width, mid, count, metric)``.
 
     Edges are min_x, the splits and max_x; Special and Missing are not drawn.
+    A factor of categories has no scale: reading its rows raises.
     """
     if show_bin_labels:
         raise ValueError("bin labels can only be shown with the bin style, not with the actual scale")
     tot = table.filter(F.col("kind") == "totals").select("factor", F.col("min_x").alias("__lo"),
                                                          F.col("max_x").alias("__hi"))
     reg = table.filter(F.col("kind") == "regular").join(tot, "factor")   # one totals row per factor
-    left = F.coalesce(F.col("lo"), F.col("__lo"))
-    right = F.coalesce(F.col("hi"), F.col("__hi"))
+    no_scale = F.when(F.col("count") > 0, F.raise_error(F.concat(
+        F.col("factor"), F.lit(": bins of categories have no actual scale"))).cast("double"))
+    left = F.coalesce(F.col("lo"), F.col("__lo"), no_scale)
+    right = F.coalesce(F.col("hi"), F.col("__hi"), no_scale)
     return reg.select("factor", "bin_id", left.alias("left"), right.alias("right"),
                       (right - left).alias("width"), ((left + right) / 2).alias("mid"),
                       "count", F.col(metric).alias("metric"))

@@ -890,3 +890,11 @@ SELECT factor, CASE WHEN count(bend) = 0 THEN 'undefined'
 SQL["split_by_samples"] = """SELECT o_orderkey, o_custkey,
   CASE WHEN CAST('0x' || substr(md5('42|' || length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey), 1, 8) AS BIGINT) % 1000
        < 800 THEN 'train' ELSE 'test' END AS split FROM orders"""
+
+SQL["bin_series_others"] = with_ctes(X.BIN_DOCUMENTS_SQL) + union([
+    f"""SELECT {q(f)} AS factor, CAST(sum(n) AS BIGINT) AS count, round(sum(e) / sum(n), 6) AS metric, 'others' AS kind,
+  true AS after_regular
+FROM (SELECT {f}, count(*) AS n, sum(CASE WHEN quality = (SELECT max(quality) FROM bin_documents) THEN 1 ELSE 0 END) AS e,
+      sum(count(*)) OVER () AS nn
+      FROM bin_documents WHERE quality IS NOT NULL GROUP BY {f}) WHERE {f} IS NOT NULL AND n < 0.2 * nn HAVING count(*) > 0"""
+    for f in ("source", "lang")])

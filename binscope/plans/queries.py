@@ -779,6 +779,16 @@ def q_opt_cat_cutoff(spark, d):
                                           cat_cutoff=0.06))
 
 
+@register("bin_series_others")
+def q_bin_series_others(spark, d):
+    """The bar of the pooled categories after all regular ones."""
+    o = O.optimal_binning(X.bin_documents(spark, d), ["source", "lang"], "quality", "binary", cat_cutoff=0.2)
+    s = FS.bin_series(o.table, "event_rate", add_special=False, add_missing=False)
+    last = s.groupBy("factor").agg(F.max("x").alias("last"))
+    return rounded(s.where("kind = 'others'").join(last, "factor")    # a row per factor
+                   .select("factor", "count", "metric", "kind", (F.col("x") == F.col("last")).alias("after_regular")))
+
+
 @register("rank_correlations")
 def q_rank_corr(spark, d):
     return rounded(R.rank_correlations(_rank_long(spark, d, ["l_linenumber", "l_quantity"], "l_tax")), 8)

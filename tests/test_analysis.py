@@ -56,9 +56,12 @@ def test_cat_cutoff_pools_rare_categories(spark):
            [(f"r{i}", 1.0) for i in range(20)]
     df = spark.createDataFrame(rows, "c string, y double")
     res = optimal_binning(df, ["c"], "y", "binary", cat_cutoff=0.05, min_prebin_size=0.0)
-    t = res.table.filter("kind = 'regular'").collect()
+    t = res.table.filter("kind IN ('regular', 'others')").orderBy("bin_id").collect()
     assert sum(r["count"] for r in t) == 1000
-    assert any("r0" in r.bin for r in t)          # the pooled categories are listed in their bin
+    # the pooled categories are listed in a bin of their own, after the regular ones
+    assert [r.kind for r in t].count("others") == 1 and t[-1].kind == "others"
+    assert "r0" in t[-1].bin and t[-1]["count"] == 20 and not any("r0" in r.bin for r in t[:-1])
+    assert [r.kind for r in res.table.orderBy("bin_id").collect() if r.kind != "totals"][-3:] == ["others", "special", "missing"]
     full = optimal_binning(df, ["c"], "y", "binary", min_prebin_size=0.0).table
     assert full.filter("kind = 'totals'").first()["count"] == 1000
 
@@ -191,3 +194,24 @@ def test_registered_importances_fit_all_trees(spark, sf001, monkeypatch, name, t
     monkeypatch.setattr(GF, "boosted_splits", few)
     assert QUERIES[name](spark, sf001).count() > 0
     assert asked == [(GF.DEFAULT_TREES, targets)] and GF.DEFAULT_TREES == 2000
+
+
+@pytest.mark.parametrize("kind", ["continuous", "binary", "multiclass"])
+def test_others_bin_of_every_kind(spark, kind):
+    """Only rare categories, nulls, and a factor without values: each has its bin and no row is lost."""
+    rows = [(f"r{i}", "a" if i % 3 else None, None, float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "rare string, c string, empty string, y double")
+    t = optimal_binning(df, ["rare", "c", "empty"], "y", kind, cat_cutoff=0.1, min_prebin_size=0.0).table
+    count = F.sum("event") if kind == "multiclass" else F.sum("count")
+    got = {(r.factor, r.kind): r.n for r in t.where("kind <> 'totals'").groupBy("factor", "kind").agg(count.alias("n")).collect()}
+    assert {k: n for k, n in got.items() if n} == {("rare", "others"): 60, ("c", "regular"): 40, ("c", "missing"): 20,
+                                                   ("empty", "missing"): 60}
+
+
+def test_categories_have_no_actual_scale(spark):
+    from binscope.operators.series import actual_scale_series
+    df = spark.createDataFrame([("ab"[i % 2], float(i), float(i % 2)) for i in range(40)], "c string, x double, y double")
+    t = optimal_binning(df, ["c"], "y", "binary").table
+    with pytest.raises(Exception, match="no actual scale"):
+        actual_scale_series(t, "event_rate").collect()
+    assert actual_scale_series(optimal_binning(df, ["x"], "y", "binary").table, "event_rate").count() >= 1
