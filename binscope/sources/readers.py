@@ -36,6 +36,14 @@ def is_utf8(encoding: str) -> bool:
     return encoding.lower().replace("-", "") == "utf8"
 
 
+def charset(spark: SparkSession, encoding: str) -> str:
+    """The name Spark's readers take for an encoding: "utf8" is only known with Java's charset list, "UTF-8" always."""
+    if is_utf8(encoding):
+        return "UTF-8"
+    ensure_charsets(spark)
+    return encoding
+
+
 def data_files(spark: SparkSession, path: str) -> list[str]:
     """Names of the files behind a path, folder or pattern, by Hadoop's file system; empty if there are none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,7 +83,7 @@ def bad_lines(spark: SparkSession, path: str, encoding: str) -> int:
     """Lines that ``encoding`` does not decode (one distributed count)."""
     if is_utf8(encoding):
         return spark.read.text(path).filter(~F.is_valid_utf8(F.col("value"))).count()
-    lines = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
+    lines = (spark.read.option("encoding", charset(spark, encoding)).option("sep", "\u0001").option("quote", "\u0000")
              .option("header", "false").schema("_c0 string").csv(path))
     return lines.filter(F.instr(F.col("_c0"), REPLACEMENT_CHAR) > 0).count()
 
@@ -94,7 +102,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
                    infer_schema: bool = True, **options) -> DataFrame:
     """A1: CSV (comma) or TSV (tab) with a header line."""
     r = spark.read.option("header", "true").option("inferSchema", str(infer_schema).lower()) \
-        .option("sep", sep).option("encoding", encoding)
+        .option("sep", sep).option("encoding", charset(spark, encoding))
     for k, v in options.items():
         r = r.option(k, v)
     return r.csv(path)
@@ -132,8 +140,10 @@ def read_json_table(spark: SparkSession, path: str, encoding: str = "utf8",
     file is read by lines or whole (:func:`whole_json_files`). Bad lines
     become rows with a ``_corrupt_record``; all other records stay.
     """
+    known = charset(spark, encoding)
+
     def read(whole: bool, files: str | list[str] = path, **options) -> DataFrame:
-        r = spark.read.option("multiLine", str(whole).lower()).option("encoding", encoding).options(**options)
+        r = spark.read.option("multiLine", str(whole).lower()).option("encoding", known).options(**options)
         return r.json(files) if whole else r.option("lineSep", "\n").json(files)
     if multi_line is None:
         df = read(False)
@@ -173,8 +183,8 @@ def read_json_table(spark: SparkSession, path: str, encoding: str = "utf8",
 def read_xml_table(spark: SparkSession, path: str, row_tag: str = "row", encoding: str = "utf8") -> DataFrame:
     """A3: XML with one element per row (Spark's built-in XML source)."""
     r = spark.read.format("xml").option("rowTag", row_tag)
-    if encoding.lower().replace("-", "") not in ("utf8",):
-        r = r.option("encoding", encoding).option("useLegacyXMLParser", "true")
+    if not is_utf8(encoding):
+        r = r.option("encoding", charset(spark, encoding)).option("useLegacyXMLParser", "true")
     return r.load(path)
 
 

@@ -126,3 +126,22 @@ def test_json_form_is_decided_by_parsing(spark, tmp_path):
     for name in ("broken", "array"):
         (both / f"{name}.json").write_text("\n".join(cases[name][0]))
     assert sum(r["a"] is not None for r in read_json_table(spark, str(both)).collect()) == 4
+
+
+def test_json_and_csv_are_read_in_a_session_without_javas_charset_list(spark):
+    """The default encoding has a name that Spark knows by itself."""
+    from binscope.sources.readers import read_delimited, read_json_table
+    d = tempfile.mkdtemp(prefix="binscope-src-")
+    _write(os.path.join(d, "r.json"), '{"a": 1, "b": "名"}\n{"a": 2, "b": "y"}\n', "utf8")
+    _write(os.path.join(d, "gb.json"), '{"a": 1, "b": "名"}\n', "gb18030")
+    _write(os.path.join(d, "t.csv"), "a,b\n1,名\n", "utf8")
+    key, before = "spark.sql.legacy.javaCharsets", spark.conf.get("spark.sql.legacy.javaCharsets")
+    try:
+        for multi_line in (False, None):
+            spark.conf.set(key, "false")
+            assert [r.b for r in read_json_table(spark, os.path.join(d, "r.json"), multi_line=multi_line).orderBy("a").collect()] == ["名", "y"]
+            assert spark.conf.get(key) == "false"
+        assert read_delimited(spark, os.path.join(d, "t.csv")).first().b == "名"
+        assert read_json_table(spark, os.path.join(d, "gb.json"), "GB18030", False).first().b == "名"
+    finally:
+        spark.conf.set(key, before)
