@@ -215,3 +215,31 @@ def test_categories_have_no_actual_scale(spark):
     with pytest.raises(Exception, match="no actual scale"):
         actual_scale_series(t, "event_rate").collect()
     assert actual_scale_series(optimal_binning(df, ["x"], "y", "binary").table, "event_rate").count() >= 1
+
+
+def test_one_pass_a_block_grows_the_same_trees(spark, monkeypatch):
+    """Trees grown on sums by combination of bins are those grown level by level, and take one job's pass a block."""
+    from binscope.operators import boosting as B
+    rng = np.random.default_rng(1)
+    n = 3000
+    x = np.column_stack([rng.normal(size=(n, 2)), rng.integers(0, 5, n)])
+    y = np.stack([x[:, 0] + x[:, 1] ** 2 + 0.3 * x[:, 2] * x[:, 0], np.sign(x[:, 1])], 1)
+    y = (y - y.mean(0)) / y.std(0)
+    df = spark.createDataFrame([(x[i].tolist(), [], [], y[i].tolist()) for i in range(n)],
+                               "dense array<double>, slots array<long>, weights array<double>, residual array<double>")
+    cuts = [np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1]).tolist() for j in range(2)] + [[1.0, 2.0, 3.0, 4.0]]
+    passes, grown = [], B._grow_crossed
+    monkeypatch.setattr(B, "_grow_crossed", lambda *a: passes.append(1) or grown(*a))
+
+    def fitted():
+        return B.boosted_splits(df, cuts, 0, 30, 2, block_trees=10).toPandas().sort_values(["tree", "target", "node"]).reset_index(drop=True)
+    once = fitted()
+    assert len(passes) == 3
+    monkeypatch.setattr(B, "CROSSED_CELLS", 0)
+    levels = fitted()
+    assert len(passes) == 3 and len(once) > 100
+    key = ["tree", "target", "node", "slot"]
+    assert once[key].equals(levels[key]) and np.allclose(once.gain, levels.gain)
+    monkeypatch.setattr(B, "CROSSED_CELLS", 1 << 13)
+    monkeypatch.setattr(B, "HISTOGRAM_BYTES", 1 << 16)      # little room: fewer trees a block, several passes
+    assert len(fitted()) > 100
