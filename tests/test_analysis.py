@@ -232,7 +232,7 @@ def test_one_pass_a_block_grows_the_same_trees(spark, monkeypatch):
     monkeypatch.setattr(B, "_grow_crossed", lambda *a: passes.append(1) or grown(*a))
 
     def fitted():
-        return B.boosted_splits(df, cuts, 0, 30, 2, block_trees=10).toPandas().sort_values(["tree", "target", "node"]).reset_index(drop=True)
+        return B.boosted_splits(df, cuts, 0, 24, 2, block_trees=8).toPandas().sort_values(["tree", "target", "node"]).reset_index(drop=True)
     once = fitted()
     assert len(passes) == 3
     monkeypatch.setattr(B, "CROSSED_CELLS", 0)
@@ -241,5 +241,25 @@ def test_one_pass_a_block_grows_the_same_trees(spark, monkeypatch):
     key = ["tree", "target", "node", "slot"]
     assert once[key].equals(levels[key]) and np.allclose(once.gain, levels.gain)
     monkeypatch.setattr(B, "CROSSED_CELLS", 1 << 13)
-    monkeypatch.setattr(B, "HISTOGRAM_BYTES", 1 << 16)      # little room: fewer trees a block, several passes
-    assert len(fitted()) > 100
+    monkeypatch.setattr(B, "HISTOGRAM_BYTES", 1 << 18)      # little room: two passes a block, for some of its trees each
+    passes_ = B._summed
+    monkeypatch.setattr(B, "_summed", lambda *a: passes.append(2) or passes_(*a))
+    parted = fitted()
+    assert passes.count(2) == 6 and parted[key].equals(once[key]) and np.allclose(parted.gain, once.gain)
+
+
+def test_terms_are_counted_where_their_texts_are(spark):
+    """Texts are shuffled once by their key, their words never are; rows of one key count together."""
+    import math
+
+    from binscope.operators.factors import term_counts, tfidf
+    df = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, "AA"), (None, "cc cc"), (3, None)], "k int, t string")
+    terms = term_counts(df, "k", F.col("t"))
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "token" not in next(x for x in plan.splitlines() if "Exchange" in x)
+    assert {(r.k, r.token): r.tf for r in terms.collect()} == {(1, "aa"): 2, (1, "bb"): 2, (1, "cc"): 1, (2, "aa"): 1, (None, "cc"): 2}
+    got = {(r.k, r.token): r.tfidf for r in tfidf(df, "k", "t").collect()}
+    idf = {"aa": math.log(5 / 3) + 1, "bb": math.log(5 / 2) + 1, "cc": math.log(5 / 3) + 1}
+    norm = math.sqrt((2 * idf["aa"]) ** 2 + (2 * idf["bb"]) ** 2 + idf["cc"] ** 2)
+    assert got[2, "aa"] == got[None, "cc"] == pytest.approx(1) and got[1, "bb"] == pytest.approx(2 * idf["bb"] / norm)
+    assert len(got) == 5
