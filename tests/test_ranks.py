@@ -95,3 +95,27 @@ def test_small_buckets_without_a_cap(spark, monkeypatch):
     assert ranked == {float(x): i for i, x in enumerate(sorted(int(x) for x in v[:20_000]))}
     codes = {r.value: r.code for r in label_encode(df, ["s"]).collect()}
     assert codes == {s: i for i, s in enumerate(sorted(f"k{x:05d}" for x in v[:20_000]))}
+
+
+def test_values_find_their_bucket_by_binary_search(spark):
+    """Bucket ids follow the cuts (a cut value has an odd one of its own), without a scan of the cuts per row."""
+    from binscope.operators.longform import with_value_buckets
+    rng = np.random.default_rng(4)
+    values = [*(float(v) for v in rng.integers(0, 400, 3000)), None, float("nan"), -1.0, 1e9]
+    df = spark.createDataFrame([("abc"[i % 3], v) for i, v in enumerate(values)], "factor string, x double")
+    for n in (2, 3, 17, 300):
+        out = with_value_buckets(df, "factor", "x", n)
+        assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+        for f in "abc":
+            mine = [(r.x, r.bucket) for r in rows if r.factor == f and r.x is not None]
+            order = sorted(mine, key=lambda r: (r[0] != r[0], r[0]))
+            assert [b for _, b in order] == sorted(b for _, b in order)
+            assert 1 < len({b for _, b in order if b % 2}) + 1 <= n
+            odd = {}
+            for v, b in order:
+                if b % 2:
+                    assert odd.setdefault(b, v) == v
+            cuts = sorted(odd.values())
+            assert all(b == 2 * int(np.searchsorted(cuts, v)) + (v in cuts) for v, b in order if v == v)
+        assert [r.bucket for r in rows if r.x is None] == [None]
