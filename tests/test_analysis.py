@@ -263,3 +263,62 @@ def test_terms_are_counted_where_their_texts_are(spark):
     norm = math.sqrt((2 * idf["aa"]) ** 2 + (2 * idf["bb"]) ** 2 + idf["cc"] ** 2)
     assert got[2, "aa"] == got[None, "cc"] == pytest.approx(1) and got[1, "bb"] == pytest.approx(2 * idf["bb"] / norm)
     assert len(got) == 5
+
+
+def test_words_are_counted_by_tree_and_split_like_by_hand(monkeypatch):
+    """A task sends one array a tree and chunk, however many words it has; splits are those of a count by hand."""
+    import pyarrow as pa
+
+    from binscope.operators import boosting as B
+    rng = np.random.default_rng(4)
+    n, dense, n_words, levels, leaf, seed = 900, 2, 80, 3, 20, 42
+    level = rng.integers(1, levels + 1, (n, n_words)) * (rng.random((n, n_words)) < rng.random(n_words) * 0.6)
+    code, rid = rng.integers(0, 8, (n, dense)), rng.integers(0, 1 << 62, n)
+    y = (level[:, 5] > 1) * 1.0 - (level[:, 9] > 0) + 0.2 * (code[:, 0] > 3) + 0.3 * rng.normal(size=n)
+    lists = lambda v, t: pa.array([list(map(t, x)) for x in v])
+    held = [np.flatnonzero(x)[::-1] for x in level]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(rid), lists(code, int).cast(pa.list_(pa.int16())), lists([h + dense for h in held], int),
+         lists([x[h] for x, h in zip(level, held)], int).cast(pa.list_(pa.int16())), lists(y[:, None], float)],
+        names=["rid", "bins", "slots", "levels", "residual"])
+    trees = B.Trees(np.arange(6), np.zeros(6, np.int64), np.tile([0, 1], (6, 1)))
+    # tree 5 stays a root; the others have split it on a word, a word that no row has, or a dense feature
+    for t, (slot, cut) in enumerate([(5 + dense, 2), (9 + dense, 1), (9 + dense, 3), (n_words + dense, 1), (0, 4)]):
+        trees.split[t, 0], trees.slot[t, 0], trees.cut[t, 0] = True, slot, cut
+
+    def by_hand(t, depth):
+        slot, cut = trees.slot[t, 0], trees.cut[t, 0]
+        node = np.zeros(n, int)
+        if depth:
+            of = code[:, slot] if slot < dense else level[:, slot - dense] if slot < n_words + dense else np.zeros(n)
+            node = (of >= cut).astype(int)
+        bag = B._share(rid.astype(np.uint64), t, seed, 0.67)
+        words = B._share(np.arange(n_words) + dense, t, seed + 1, 0.5)
+        for k in range(1 << depth):
+            r, best = y[bag & (node == k)], (0.0,)
+            for f in [*range(dense), *np.flatnonzero(words) + dense]:
+                x = (code[:, f] if f < dense else level[:, f - dense])[bag & (node == k)]
+                for c in range(1, 8 if f < dense else levels + 1):
+                    right = x >= c
+                    if min(right.sum(), (~right).sum()) >= leaf:
+                        gain = r[right].sum() ** 2 / right.sum() + r[~right].sum() ** 2 / (~right).sum() - r.sum() ** 2 / len(r)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, f, c, right.sum())
+            if len(r):
+                yield k, len(r), best
+
+    for depth in (0, 1):
+        for entries in (1 << 22, 300):
+            monkeypatch.setattr(B, "ENTRIES", entries)
+            count = B._counted(trees, depth, dense, levels, 1, 8, 0.67, 0.5, seed)
+            parts = list(count([batch.slice(i, 90) for i in range(0, n, 90)]))
+            sent = sum(p.num_rows for p in parts)
+            grown = range(5) if depth else range(6)
+            assert sent == 2 * len(grown) if entries > 300 else sent > 4 * len(grown)
+            stream = pa.Table.from_batches(parts).sort_by("tree").to_batches()
+            got = pa.Table.from_batches(B._best(trees, depth, 8, levels, leaf)(stream)).to_pylist()
+            want = [(t, *x) for t in grown for x in by_hand(t, depth)]
+            assert [(g["tree"], g["node"], g["n"]) for g in got] == [w[:3] for w in want]
+            for g, (*_, best) in zip(got, want):
+                assert g["gain"] == pytest.approx(best[0])
+                assert (g["slot"], g["cut"], g["right_n"]) == best[1:] if len(best) > 1 else g["slot"] == -1
