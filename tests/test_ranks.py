@@ -46,6 +46,57 @@ def test_tau_b_against_brute_force(spark):
     assert abs(got_b - _brute_tau(x, y)) < 1e-12
 
 
+def test_few_values_are_walked_along_the_other_side(spark, monkeypatch):
+    """Ties on both sides, either side with few values, without a local group of pairs."""
+    from binscope.operators import ranks as R
+    monkeypatch.setattr(R, "_local_s", None)
+    rng = np.random.default_rng(6)
+    n = 3000
+    few, many = rng.integers(0, 11, n) / 4.0, np.round(rng.normal(size=n) * 300)
+    y = np.round(many / 7 + few * 20 + rng.normal(size=n) * 30, 1)
+    df = spark.createDataFrame([(float(a), float(b), 2.0, None if i % 5 == 0 else float(a), float(c), float(d)) for i, (a, b, c, d) in
+                                enumerate(zip(few, many, y, rng.integers(-2, 3, n) * 0.5))],
+                               "few double, many double, one double, gaps double, y double, few_y double")
+    got = {r.factor: r.kendall_tau_b for r in kendall_tau_b(to_long(df, ["few", "one", "gaps"], target="y"), local_pairs=10_000).collect()}
+    some = np.arange(n) % 5 != 0
+    assert set(got) == {"few", "one", "gaps"} and got["one"] is None
+    assert abs(got["few"] - _brute_tau_fast(few, y)) < 1e-12 and abs(got["gaps"] - _brute_tau_fast(few[some], y[some])) < 1e-12
+    few_y = np.array([r.few_y for r in df.select("few_y").collect()])
+    got = kendall_tau_b(to_long(df, ["many"], target="few_y"), local_pairs=10_000).first().kendall_tau_b
+    assert abs(got - _brute_tau_fast(many, few_y)) < 1e-12
+
+
+def _brute_tau_fast(x, y):
+    dx, dy = (np.sign(v[:, None] - v[None, :]) for v in (x, y))
+    return (dx * dy).sum() / np.sqrt((dx != 0).sum() * (dy != 0).sum())
+
+
+def test_walk_in_steps(monkeypatch):
+    """S by steps and ranges is S of all points, whatever y the ranges part."""
+    import pyarrow as pa
+    from binscope.operators import ranks as R
+    monkeypatch.setattr(R, "WALKED", 50)
+    rng = np.random.default_rng(2)
+    for levels in (1, 2, 7, 33):
+        code, y, w = rng.integers(0, levels, 900), np.sort(rng.integers(0, 150, 900) / 2.0), rng.integers(1, 4, 900)
+        y[800:] = np.nan                               # goes on, as y[300] does below
+        f = rng.choice([0, 3], 900)
+        rows = pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(code, pa.int32()), pa.array(y, pa.float64()), pa.array(w)],
+                                          names=["f", "code", "y", "w"])
+        y[300:700] = y[300]
+        cuts = [0, 120, 310, 400, 500, 640, 740, 820, 900]
+        ranges = [b for a, c in zip(cuts, cuts[1:])
+                  for b in R._walked({0: levels, 3: levels})([rows.slice(i, min(13, c - i)) for i in range(a, c, 13)])]
+        pdf = pa.Table.from_batches(ranges).to_pandas()
+        place = np.unique(y, return_inverse=True)[1]
+        for k in (0, 3):
+            own = f == k
+            got = R._joined(pdf[pdf["f"] == k])
+            assert got["s"].iloc[0] == kendall_s_local(code[own], place[own], w[own])
+            t = np.bincount(place[own], w[own])
+            assert got["tied"].iloc[0] == (t * (t - 1) / 2).sum()
+
+
 def test_spearman_and_constant(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=300)
