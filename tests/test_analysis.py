@@ -322,3 +322,32 @@ def test_words_are_counted_by_tree_and_split_like_by_hand(monkeypatch):
             for g, (*_, best) in zip(got, want):
                 assert g["gain"] == pytest.approx(best[0])
                 assert (g["slot"], g["cut"], g["right_n"]) == best[1:] if len(best) > 1 else g["slot"] == -1
+
+
+def test_bags_are_summed_by_combination_in_blocks():
+    """Sums of bags by combination, of blocks whose combinations have many rows (common lines) and of such that have few."""
+    import pyarrow as pa
+    from binscope.operators import boosting as B
+    rng = np.random.default_rng(4)
+    for sizes, n in (([3, 4, 2], 6000), ([40, 30, 20], 1500)):
+        codes = np.stack([rng.integers(0, s, n) for s in sizes], 1).astype(np.int16)
+        codes = codes[np.lexsort(codes.T[::-1])]
+        ids, target = rng.integers(-2**62, 2**62, n), rng.normal(size=(n, 2))
+        flat = lambda v, t: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(v.shape[1])), pa.array(v.ravel(), t))  # noqa: B023, E731
+        rows = pa.RecordBatch.from_arrays([pa.array(ids), flat(codes, pa.int16()), flat(target, pa.float64())], names=["rid", "bins", "residual"])
+        cells = list(B._cells(sizes)([rows.slice(i, min(700, n - i)) for i in range(0, n, 700)]))
+        assert (np.diff(np.concatenate([c.column("cell").to_numpy() for c in cells])) >= 0).all()
+        blocks = list(B._packed(2 * 3 + 8 * 2)([c.select(["rid", "row"]) for c in cells]))
+        assert sum(b.num_rows for b in blocks) == 1
+        trees = B.Trees(np.arange(12), np.tile([0, 1], 6), np.array([[0, 1], [2, 1], [2, 0]] * 4))
+        before = {(0, 2): rng.normal(size=(2, sizes[0] * sizes[2]))}
+        got = {t: np.frombuffer(x).reshape(3, -1) for b in B._crossed(trees, sizes, 2, 0.67, 42, before)(blocks)
+               for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        left = target - before[0, 2][:, codes[:, 0].astype(int) * sizes[2] + codes[:, 2]].T
+        for t in range(12):
+            a, b = sorted(trees.draw[t])
+            cell = codes[:, a].astype(int) * sizes[b] + codes[:, b]
+            bag = B._share(ids.astype(np.uint64), t, 42, 0.67)
+            r = left[:, trees.target[t]]
+            expect = np.stack([np.bincount(cell, w * bag, sizes[a] * sizes[b]) for w in (np.ones(n), r, r * r)])
+            assert np.allclose(got[t], expect)
