@@ -351,3 +351,36 @@ def test_bags_are_summed_by_combination_in_blocks():
             r = left[:, trees.target[t]]
             expect = np.stack([np.bincount(cell, w * bag, sizes[a] * sizes[b]) for w in (np.ones(n), r, r * r)])
             assert np.allclose(got[t], expect)
+
+
+def test_texts_are_neither_copied_nor_joined(spark, monkeypatch):
+    """Rows that have an id are not copied, a table of nominal rows is not copied again, and words are named by a broadcast."""
+    from binscope.operators import factors as GF
+    rng = np.random.default_rng(3)
+    rows = [(i % 90 if i % 40 else None, float(i % 7), "ab"[i % 2] if i % 11 else None,
+             " ".join(f"w{j}" for j in rng.integers(0, 30, 8)) if i % 13 else None, float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, n double, c string, t string, y double")
+    copies, real = [], GF.written
+    monkeypatch.setattr(GF, "written", lambda table, name: copies.append((name, [
+        f.name for f in table.schema.fields if f.dataType.simpleString() == "string"])) or real(table, name))
+    tm = {"Numeric": ["n"], "Categorical": ["c"], "Text": ["t"]}
+
+    def values(row_id):
+        f = GF.assemble_features(df, ["n", "c", "t"], tm, [F.lit(0.0)], row_id)
+        long = f.long()
+        assert "SortMergeJoin" not in long._jdf.queryExecution().executedPlan().toString()
+        return sorted(((r.row_id, r.factor, r.token, round(r.value, 9)) for r in long.collect()), key=str)
+    got = values(F.col("id"))
+    assert [c for c in copies if "__t0" in c[1]] == []
+    monkeypatch.setattr(GF, "VOCABULARY_ROWS", 5)
+    assert values(F.col("id")) == got
+    dense = [(r[0], "n", None, r[1]) for r in rows] + [(r[0], "c", None, float("ab".index(r[2])) if r[2] else 0.0) for r in rows]
+    assert sorted((r for r in got if r[1] != "t"), key=str) == sorted(dense, key=str)
+    words = {}
+    for i, *_, t, _ in rows:
+        words.setdefault(i, set()).update((t or "").split())
+    # every row of an id has the words of all its rows; rows without one have none
+    assert sorted((r[0], r[2]) for r in got if r[1] == "t") == sorted((r[0], w) for r in rows if r[0] is not None for w in words[r[0]])
+    copies.clear()
+    out = GF.importance_native_categorical(df, "id", ["n", "c", "t"], "y", tm, n_trees=3)
+    assert out.count() == 3 and [name for name, texts in copies if {"t", "__t0"} & set(texts)] == ["nominal"]
