@@ -384,3 +384,39 @@ def test_texts_are_neither_copied_nor_joined(spark, monkeypatch):
     copies.clear()
     out = GF.importance_native_categorical(df, "id", ["n", "c", "t"], "y", tm, n_trees=3)
     assert out.count() == 3 and [name for name, texts in copies if {"t", "__t0"} & set(texts)] == ["nominal"]
+
+
+def test_levels_leave_no_shuffle_files(spark, monkeypatch):
+    """The histograms of a level or block are dropped when it is grown, and what a scratch table was dealt out by when it is written."""
+    import time
+
+    from binscope.operators import boosting as B
+    from binscope.session import drop_table, written
+    rng = np.random.default_rng(5)
+    rows = [([float(a)], sorted({1 + int(j) for j in rng.integers(0, 9, 4)}), [float(a + rng.normal())]) for a in rng.normal(size=800)]
+    df = spark.createDataFrame(rows, "dense array<double>, slots array<long>, residual array<double>").withColumn(
+        "weights", F.transform("slots", lambda s: F.lit(1.0)))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    calls = []
+
+    def files():
+        return sum("shuffle_" in x for x in disk.getAllFiles().mkString(" ").split())
+
+    def leaves_none(f):
+        def run(*a):
+            before = files()
+            out = f(*a)
+            for _ in range(20):
+                if files() <= before:
+                    break
+                time.sleep(0.1)
+            calls.append(files() - before)
+            return out
+        return run
+    for name in ("_grow", "_grow_crossed", "written"):
+        monkeypatch.setattr(B, name, leaves_none(getattr(B, name)))
+    for sparse in (9, 0):
+        source = df if sparse else df.withColumn("slots", F.array().cast("array<long>")).withColumn("weights", F.array().cast("array<double>"))
+        assert B.boosted_splits(source, [[0.0, 0.5]], sparse, 8, block_trees=4).count() > 0
+    drop_table(leaves_none(written)(df.repartition(3, "dense"), "test"))
+    assert len(calls) > 6 and max(calls) <= 0
